@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unicode white space plus the ASCII separator controls.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -21,12 +22,12 @@ NFKC_STABLE_ONLY = (
 TOKEN = "([a-z0-9_]+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else html.unescape(v))
 

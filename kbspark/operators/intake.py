@@ -81,10 +81,14 @@ def allowed_paths(paths: DataFrame, roots: DataFrame, column: str = "path") -> D
     whatever the number of roots.
     """
     clean_roots = roots.select(F.regexp_replace("root", "/+$", "").alias("_root")).where("_root <> ''").distinct()
+    # A root below another root adds nothing; without those a path meets one root at most.
+    above = clean_roots.select(
+        F.col("_root").alias("_inner"), F.explode(parents_of(F.col("_root"))).alias("_root")
+    ).where("_inner <> _root")
+    nested = above.join(clean_roots, "_root", "left_semi").select(F.col("_inner").alias("_root"))
+    outer = clean_roots.join(nested, "_root", "left_anti")
     keyed = paths.withColumn("_root", F.explode(F.array_distinct(parents_of(F.col(column)))))
-    hits = keyed.join(clean_roots, "_root", "left_semi")
-    # One path may lie below several nested roots.
-    return hits.drop("_root").distinct()
+    return keyed.join(outer, "_root", "left_semi").drop("_root")
 
 
 def new_file_versions(files: DataFrame, manifests: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -26,3 +26,134 @@ def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source_documents(spark, sf_dir)
     return chunking.chunk_documents(docs.withColumn("text", tx.normalize_space(F.col("text"))))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One version per document and a second one for English documents; later steps where
+    labels or vectors exist."""
+    docs = source_documents(spark, sf_dir).select("doc_num", "doc_id", "lang", "source", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc_num"), "quality")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_num"), F.lit(True).alias("_vec"))
+    step = lambda name, n: F.struct(
+        F.lit(name).alias("key"), F.struct(F.lit("done").alias("status"), F.lit(n).alias("chunk_count")).alias("value")
+    )
+    steps = F.map_from_entries(
+        F.filter(
+            F.array(
+                step("ingest_doc", None).cast(_STEP),
+                F.when(F.col("quality").isNotNull(), step("chunk_text", 3).cast(_STEP)),
+                F.when(F.col("_vec"), step("embed_chunks", None).cast(_STEP)),
+            ),
+            lambda x: x.isNotNull(),
+        )
+    )
+    base = docs.join(labels, "doc_num", "left").join(vectors, "doc_num", "left")
+    versions = F.when(F.col("lang") == "en", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return base.select("*", F.explode(versions).alias("_v")).select(
+        "doc_num",
+        F.col("doc_id").alias("source_id"),
+        F.concat(F.lit("v"), "_v", F.lit("-"), F.sha2("text", 256)).alias("source_version"),
+        F.col("source").alias("source_type"),
+        "lang",
+        steps.alias("steps"),
+        F.timestamp_add("MINUTE", (F.col("doc_num") + F.col("_v") * 7), F.lit("2024-01-01").cast("timestamp_ntz")).alias(
+            "updated_at"
+        ),
+    )
+
+
+_STEP = "struct<key:string,value:struct<status:string,chunk_count:int>>"
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector table with the source it belongs to."""
+    docs = source_documents(spark, sf_dir).select(F.col("doc_num").alias("vec_id"), "doc_id")
+    return table(spark, sf_dir, "embeddings").join(docs, "vec_id").select(
+        "vec_id",
+        "doc_id",
+        F.col("doc_id").alias("source_id"),
+        F.lit("chunk_1").alias("segment_id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        "label",
+    )
+
+
+JOB_STATUS = {"purchase": "done", "error": "failed", "click": "queued", "view": "running", "signup": "queued"}
+
+
+def event_key(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = event_key(table(spark, sf_dir, "events"))
+    status = F.create_map(*[F.lit(x) for pair in JOB_STATUS.items() for x in pair])
+    return events.select(
+        F.concat(F.lit("j"), "event_id").alias("job_id"),
+        status[F.col("event_type")].alias("status"),
+        F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("attempts"),
+        F.col("user_id").alias("doc_num"),
+        F.col("ts").alias("created_at"),
+        F.timestamp_add("MINUTE", F.col("k"), F.col("ts")).alias("updated_at"),
+    )
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = event_key(table(spark, sf_dir, "events"))
+    k = F.col("k")
+    return events.select(
+        F.concat(F.lit("r"), "event_id").alias("run_id"),
+        F.col("ts").alias("created_at"),
+        F.col("event_type").alias("component"),
+        F.when(k % 5 == 4, F.lit("")).otherwise(F.concat(F.lit("model_"), (k % 5).cast("string"))).alias("model"),
+        F.when(
+            k % 2 == 0, F.to_json(F.struct((k * 3).alias("egress_policy_input_chars")))
+        ).otherwise(
+            F.to_json(F.struct(k.alias("question_len"), F.lit(10).alias("evidence_prompt_chars")))
+        ).alias("input_json"),
+        F.to_json(
+            F.struct(
+                F.concat(F.lit("answer "), "event_type").alias("answer_text"),
+                F.array(F.lit("ab"), F.col("event_type")).alias("claims"),
+            )
+        ).alias("output_json"),
+        F.when(F.col("event_type") == "error", F.lit("boom")).alias("error"),
+    )
+
+
+def transcript_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as transcript segments of nine seconds, one every ten."""
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"),
+        F.col("turn").alias("seq"),
+        F.concat(F.lit("seg_"), F.col("turn") + 1).alias("segment_id"),
+        (F.col("turn") * 10000).alias("start_ms"),
+        (F.col("turn") * 10000 + 9000).alias("end_ms"),
+        F.when(F.col("role") == "user", "UNKNOWN").when(F.col("role") == "system", "host").alias("speaker_local_id"),
+        "role",
+        "text",
+    )
+
+
+def gallery_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(
+        F.concat(F.lit("vp_"), "s_suppkey").alias("voiceprint_id"),
+        F.when(F.col("s_acctbal") > 2000, F.col("s_name")).alias("display_name"),
+        F.lit("CEO").alias("title"),
+        F.array(F.col("n_name"), F.lit(None).cast("string")).alias("organizations"),
+        F.array(F.lit("supplier")).alias("tags"),
+        F.create_map(F.lit("table"), F.lit("supplier")).alias("source_refs"),
+    )
+
+
+def gallery_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table(spark, sf_dir, "customer").join(nations, "c_nationkey").select(
+        F.concat(F.lit("vp_"), "c_custkey").alias("voiceprint_id"),
+        F.col("c_name").alias("display_name"),
+        F.lit("Channel").alias("title"),
+        F.array("n_name").alias("organizations"),
+        F.array(F.lit("auto"), F.col("c_mktsegment")).alias("tags"),
+        F.create_map(F.lit("table"), F.lit("customer"), F.lit("segment"), F.col("c_mktsegment")).alias("source_refs"),
+    )

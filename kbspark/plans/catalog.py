@@ -6,7 +6,7 @@ import importlib
 
 from kbspark.plans.registry import ORACLE, QUERIES
 
-MODULES = ["text", "privacy"]
+MODULES = ["text", "privacy", "tables", "speech"]
 
 
 def _load() -> None:
