@@ -47,8 +47,18 @@ def normalize_space(text: Column) -> Column:
 
 
 def cut(text: Column, limit: int) -> Column:
-    """The first ``limit`` characters without trailing blanks."""
-    return F.when(F.length(text) <= limit, text).otherwise(F.rtrim(F.substring(text, 1, limit)))
+    """The first ``limit`` characters of a stripped text, without white space at the cut."""
+    return F.rtrim(F.substring(text, 1, limit), F.lit(" \t\r\n"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def non_empty(text: Column) -> Column:
+    """The text, or null where it is empty; the argument is evaluated once."""
+    return F.get(F.filter(F.array(text), lambda t: t != ""), F.lit(0))
 
 
 def user_text(text: Column, limit: int = 4000) -> Column:

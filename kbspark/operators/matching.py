@@ -1,38 +1,105 @@
-"""Text matching for whole tables of queries: shared tokens and contained strings."""
+"""Substring search for whole tables of queries, as equality joins on anchors."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.functions import text as tx
+from kbspark.operators.tables import first_per_key
+from kbspark.session import work_path
 
+GRAM_SIZES = (6, 3, 1)
 
-def overlap_pairs(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str) -> DataFrame:
-    """Token overlap of every query with every text that shares a token with it.
 
-    Equality join on the token. Query tokens carry their multiplicity, so the counts merge
-    map-side; pairs without a common token have overlap zero and do not appear.
-    """
-    asked = queries.select(query_id, tx.tokens(F.col("text")).alias("_q")).where(F.size("_q") > 0)
-    per_token = (
-        asked.select(query_id, F.explode("_q").alias("_token"))
-        .groupBy(query_id, "_token")
-        .agg(F.count(F.lit(1)).alias("_times"))
+def grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters, found in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
+
+
+def whole_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), 0))
+
+
+def inner_words(piece: Column) -> Column:
+    """Words of a piece with white space on both sides: each is a whole word of any text
+    that contains the piece."""
+    return F.array_distinct(
+        F.regexp_extract_all(piece, F.lit(r"(?U)(?<=[\s\x1c-\x1f])[^\s\x1c-\x1f]+(?=[\s\x1c-\x1f])"), 0)
     )
-    sizes = asked.select(
-        query_id, F.size("_q").alias("_all"), F.size(F.array_distinct("_q")).alias("_distinct")
+
+
+def like_regex(query: Column) -> Column:
+    """A contains-pattern in which ``%`` and ``_`` of the query act as wildcards."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(query, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    wild = F.replace(F.replace(quoted, F.lit("%"), F.lit(r"\E.*\Q")), F.lit("_"), F.lit(r"\E.\Q"))
+    return F.concat(F.lit("(?s)"), wild)
+
+
+def _choose(candidates: DataFrame, query_id: str) -> DataFrame:
+    """One anchor per query: the one fewest queries share, then the longest."""
+    shared = candidates.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_shared"))
+    ranked = candidates.join(shared, "_anchor")
+    best = first_per_key(ranked, [query_id], F.col("_shared"), F.length("_anchor").desc(), F.col("_anchor"))
+    return best.drop("_shared")
+
+
+MAX_BROADCAST_ANCHORS = 200_000
+
+
+def contained_pairs(
+    queries: DataFrame, texts: DataFrame, query_id: str, text_id: list[str], wildcards: bool = True
+) -> DataFrame:
+    """All (query, text) with the query's text inside the other text, ignoring case.
+
+    ``queries(query_id, query)`` and ``texts(text_id..., text)``. Each query is looked up by one
+    anchor that any match must hold: a whole word from its inside, else a short run of its
+    characters; a query without a literal character has the empty anchor and matches any text
+    its wildcards fit. The anchors are written once to the shared folder and counted. Up to a
+    bound they are broadcast, and every text is read, looked up and tested in one pass without
+    a shuffle. Beyond it only (id, anchor) pairs are shuffled, and texts are joined back to test.
+    """
+    asked = queries.select(query_id, F.lower("query").alias("_q")).where("_q <> ''")
+    wild = F.col("_q").rlike("[%_]") if wildcards else F.lit(False)
+    pieces = F.split("_q", "[%_]") if wildcards else F.array("_q")
+    longest = F.element_at(
+        F.array_sort(F.transform("_p", lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))), -1
+    )["p"]
+    split = asked.withColumn("_wild", wild).withColumn("_p", pieces).select(
+        query_id, "_q", "_wild", F.flatten(F.transform("_p", inner_words)).alias("_inner"), longest.alias("_long")
     )
-    held = texts.select(text_id, F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("_token"))
-    return (
-        held.join(per_token, "_token")
-        .groupBy(query_id, text_id)
-        .agg(F.sum("_times").alias("_hits"), F.count(F.lit(1)).alias("_common"))
-        .join(sizes, query_id)
-        .select(
-            query_id,
-            text_id,
-            (F.col("_hits") / F.col("_all")).alias("overlap_score"),
-            (F.col("_common") / F.col("_distinct")).alias("set_overlap"),
-        )
+    # Tier 0 looks up whole words, tier n runs of n characters, tier -1 the empty anchor.
+    tier = F.when(F.size("_inner") > 0, 0)
+    keys = F.when(F.col("_tier") == 0, F.col("_inner"))
+    for size in GRAM_SIZES:
+        tier = tier.when(F.length("_long") >= size, size)
+        keys = keys.when(F.col("_tier") == size, grams(F.col("_long"), size))
+    keyed = split.withColumn("_tier", tier.otherwise(-1)).withColumn(
+        "_anchor", F.explode(keys.otherwise(F.array(F.lit(""))))
     )
+    chosen = _choose(keyed.select(query_id, "_q", "_wild", "_tier", "_anchor"), query_id)
+    spark = queries.sparkSession
+    path = work_path(spark, "anchors")
+    chosen.withColumn("_regex", F.when(F.col("_wild"), like_regex(F.col("_q")))).write.parquet(path)
+    anchors = spark.read.parquet(path)
+    tiers = [r[0] for r in anchors.select("_tier").distinct().collect()]  # five at most
+    small = anchors.count() <= MAX_BROADCAST_ANCHORS
+
+    lowered = texts.select(*text_id, F.lower("text").alias("_text"))
+    held_by = {0: whole_words, -1: lambda _: F.array(F.lit(""))}
+    match = F.when(F.col("_wild"), F.expr("_text rlike _regex")).otherwise(F.contains(F.col("_text"), F.col("_q")))
+    found = []
+    for t in tiers:
+        of_text = held_by.get(t) or (lambda text, n=t: grams(text, n))
+        wanted = anchors.where(F.col("_tier") == t).drop("_tier")
+        if small:
+            held = lowered.select("*", F.explode(of_text(F.col("_text"))).alias("_anchor"))
+            found.append(held.join(F.broadcast(wanted), "_anchor").where(match).select(query_id, *text_id))
+        else:
+            held = lowered.select(*text_id, F.explode(of_text(F.col("_text"))).alias("_anchor"))
+            hits = held.join(wanted, "_anchor").drop("_anchor")
+            found.append(hits.join(lowered, text_id).where(match).select(query_id, *text_id))
+    if not found:
+        return lowered.join(asked.select(query_id), F.lit(False)).select(query_id, *text_id)
+    return reduce(DataFrame.unionByName, found)

@@ -157,3 +157,73 @@ def gallery_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("auto"), F.col("c_mktsegment")).alias("tags"),
         F.create_map(F.lit("table"), F.lit("customer"), F.lit("segment"), F.col("c_mktsegment")).alias("source_refs"),
     )
+
+
+def raw_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One memory per event; its text follows one of six forms filled from the event."""
+    events = event_key(table(spark, sf_dir, "events"))
+    k, kind = F.col("k"), F.col("event_type")
+    none = F.lit(None).cast("string")
+    form = F.col("event_id") % 6
+    text = (
+        F.when(form == 0, F.concat(F.lit("My favorite editor is tool_"), k % 10))
+        .when(form == 1, F.concat(F.lit("Step by step workflow: 1. run job_"), k, F.lit(" 2. check")))
+        .when(form == 2, F.concat(F.lit("we talked about "), kind, F.lit(" yesterday")))
+        .when(form == 3, F.concat(F.lit("todo: review "), kind, F.lit(" "), k))
+        .when(form == 4, F.concat(F.lit("I prefer "), kind, F.lit(" "), k % 7, F.lit(".")))
+        .otherwise(F.concat(F.lit("note on "), kind, F.lit(" value "), k))
+    )
+    hint = (
+        F.when(kind == "view", "session").when(kind == "click", "working").when(kind == "purchase", "long_term")
+        .when(kind == "error", " Working ").otherwise("other")
+    )
+    feedback = kind == "error"
+    return events.select(
+        F.concat(F.lit("m"), "event_id").alias("memory_id"),
+        hint.alias("memory_type"),
+        text.alias("text"),
+        F.array(kind, F.when((kind == "signup") & (k % 5 == 0), F.lit(" To-Do")).otherwise(F.lit("topic "))).alias("topics"),
+        F.array(F.concat(F.lit("user_"), "user_id")).alias("entities"),
+        F.when(feedback, "retrieval_feedback").when(kind == "signup", "context_turn").alias("kind"),
+        none.alias("memory_kind"),
+        F.concat(F.lit("u"), "user_id").alias("user_id"),
+        F.concat(F.lit("p"), k % 3).alias("project_id"),
+        none.alias("session_id"),
+        (F.col("value") / 50).alias("importance"),
+        F.lit(None).cast("double").alias("confidence"),
+        (k % 25).alias("access_count"),
+        F.col("ts").alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("expires_at"),
+        F.when(k % 10 == 0, F.timestamp_add("DAY", F.lit(60), F.col("ts"))).alias("pinned_until"),
+        F.when(feedback & (k % 2 == 0), F.array(F.lit("cited"), F.when(k % 4 == 0, "cited").otherwise("missed"))).alias(
+            "signals"
+        ),
+        F.when(feedback, F.lit(1)).alias("cited_count"),
+        F.when(feedback, F.lit(2)).alias("missed_count"),
+    )
+
+
+def memory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.operators import memory
+
+    return memory.write_batch(raw_memories(spark, sf_dir))
+
+
+def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user the type of the latest event, asked within the user's scope; per event type one
+    question without a scope."""
+    events = table(spark, sf_dir, "events")
+    latest = events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    none = F.lit(None).cast("string")
+    columns = lambda qid, text, user: [
+        qid.alias("query_id"), text.alias("query"), none.alias("want_type"), none.alias("want_kind"),
+        user.alias("user_id"), none.alias("project_id"), none.alias("session_id"),
+    ]
+    kind = F.col("event_type")
+    mine = latest.select(
+        *columns(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("Review "), kind), F.concat(F.lit("u"), "user_id"))
+    )
+    shared = events.select("event_type").distinct().select(
+        *columns(F.concat(F.lit("t-"), kind), F.concat(F.lit("prefer "), kind), none)
+    )
+    return mine.unionByName(shared)
