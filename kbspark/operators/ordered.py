@@ -78,3 +78,24 @@ def beyond_newest(df: DataFrame, keys: list[str], limit: int, ts: str, tie: str)
     )
     older = (F.col(ts) < F.col("_edge_ts")) | ((F.col(ts) == F.col("_edge_ts")) & (F.col(tie) < F.col("_edge_tie")))
     return df.join(edge, keys).where(older).drop("_edge_ts", "_edge_tie")
+
+
+def running_sum(
+    df: DataFrame, keys: list[str], ts: str, tie: list[str], value: str, name: str, seconds: int = 60
+) -> DataFrame:
+    """Add the running total of ``value`` within the key, the row itself included."""
+    cut = _bucketed(df, ts, seconds)
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        cut.groupBy(*keys, "_bucket")
+        .agg(F.sum(value).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(outer), F.lit(0)))
+        .drop("_n")
+    )
+    return (
+        cut.withColumn("_inner", F.sum(value).over(inner))
+        .join(before, [*keys, "_bucket"])
+        .withColumn(name, F.col("_before") + F.col("_inner"))
+        .drop("_bucket", "_before", "_inner")
+    )

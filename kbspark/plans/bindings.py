@@ -227,3 +227,36 @@ def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         *columns(F.concat(F.lit("t-"), kind), F.concat(F.lit("prefer "), kind), none)
     )
     return mine.unionByName(shared)
+
+
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the assistant's reply, in stored form; a turn cites its own place."""
+    from kbspark.operators import sessions
+
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    replies = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    return asked.join(replies, ["conv_id", "turn"]).select(
+        F.col("conv_id").alias("session_id"),
+        F.timestamp_add("MINUTE", F.col("conv_id") * 60 + F.col("turn"), start).alias("ts"),
+        F.col("turn").alias("turn_no"),
+        sessions.turn_text(F.col("question"), F.col("answer")).alias("text"),
+        F.array(
+            F.struct(
+                F.concat(F.lit("d"), "conv_id").alias("doc_id"), F.concat(F.lit("seg_"), "turn").alias("segment_id")
+            )
+        ).alias("citations"),
+    )
+
+
+def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as turns of one long-running session per user."""
+    events = event_key(table(spark, sf_dir, "events"))
+    return events.select(
+        F.col("user_id").alias("session_id"),
+        "ts",
+        F.col("event_id").alias("turn_no"),
+        F.concat(F.lit("ask "), "event_type", F.lit(" "), F.col("k") % 4).alias("question"),
+        F.concat(F.lit("answer "), "event_type", F.lit(" "), "k").alias("answer"),
+    )

@@ -6,7 +6,7 @@ import importlib
 
 from kbspark.plans.registry import ORACLE, QUERIES
 
-MODULES = ["text", "privacy", "tables", "speech", "memory"]
+MODULES = ["text", "privacy", "tables", "speech", "memory", "sessions"]
 
 
 def _load() -> None:
