@@ -260,3 +260,64 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ask "), "event_type", F.lit(" "), F.col("k") % 4).alias("question"),
         F.concat(F.lit("answer "), "event_type", F.lit(" "), "k").alias("answer"),
     )
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark texts, and one question per event type that only memories can answer."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding")
+    )
+    none = F.lit(None).cast("string")
+    asked = table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left").select(
+        F.concat(F.lit("b"), "item_id").alias("question_id"),
+        tx.user_text(F.col("text"), 2400).alias("query"),
+        "embedding",
+        F.col("item_id").alias("session_id_num"),
+        none.alias("user_id"),
+        F.concat(F.lit("p"), F.col("item_id") % 3).alias("project_id"),
+    )
+    recalled = table(spark, sf_dir, "events").select("event_type").distinct().select(
+        F.concat(F.lit("m-"), "event_type").alias("question_id"),
+        F.concat(F.lit("Review "), "event_type").alias("query"),
+        F.lit(None).cast("array<double>").alias("embedding"),
+        F.lit(None).cast("long").alias("session_id_num"),
+        none.alias("user_id"),
+        none.alias("project_id"),
+    )
+    return asked.unionByName(recalled)
+
+
+def evidence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors with the text of the chunk they stand for."""
+    first = chunks(spark, sf_dir).where("chunk_index = 1").select("doc_id", "text")
+    return stored_vectors(spark, sf_dir).join(first, "doc_id", "left").select(
+        F.col("vec_id").alias("vector_id"), "embedding", "doc_id", "segment_id", "text"
+    )
+
+
+def feedback_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event on a question (``k``) as feedback on one of its five nearest vectors."""
+    from kbspark.operators.vectors import top_vectors
+
+    asked = questions(spark, sf_dir).where("embedding IS NOT NULL")
+    vectors = stored_vectors(spark, sf_dir)
+    near = top_vectors(asked, vectors.select(F.col("vec_id").alias("vector_id"), "embedding"), 5, "question_id", "vector_id")
+    places = near.join(vectors.select(F.col("vec_id").alias("vector_id"), "doc_id", "segment_id"), "vector_id")
+    events = event_key(table(spark, sf_dir, "events")).select(
+        "event_id", "ts", "event_type", "user_id",
+        F.concat(F.lit("b"), "k").alias("question_id"), (F.col("event_id") % 5 + 1).cast("int").alias("rank"),
+    )
+    outcome = F.when(F.col("event_type").isin("purchase", "click"), "cited").otherwise("missed")
+    return (
+        events.join(places.select("question_id", "rank", "doc_id", "segment_id"), ["question_id", "rank"])
+        .join(asked.select("question_id", "query", "project_id"), "question_id")
+        .select(
+            F.col("event_id").alias("feedback_id"),
+            F.col("ts").alias("created_at"),
+            F.concat(F.lit("u"), "user_id").alias("user_id"),
+            "project_id",
+            F.lit(None).cast("string").alias("session_id"),
+            F.slice(tx.tokens(F.col("query")), 1, 10).alias("query_tokens"),
+            F.array(F.struct("doc_id", "segment_id", outcome.alias("outcome"))).alias("signals"),
+        )
+    )
