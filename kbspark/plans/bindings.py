@@ -321,3 +321,77 @@ def feedback_history(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(F.struct("doc_id", "segment_id", outcome.alias("outcome"))).alias("signals"),
         )
     )
+
+
+def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (
+        ("region", "R", "r_regionkey", "r_name", "region"),
+        ("nation", "N", "n_nationkey", "n_name", "nation"),
+        ("customer", "C", "c_custkey", "c_name", "PERSON"),
+        ("supplier", "S", "s_suppkey", "s_name", "org"),
+    )
+    out = None
+    for name, prefix, key, label, kind in parts:
+        rows = table(spark, sf_dir, name).select(
+            F.concat(F.lit(prefix), key).alias("entity_id"), F.col(label).alias("name"), F.lit(kind).alias("type")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of four sources; some of them break the rules in each possible way."""
+
+    def rows(name, subj, predicate, obj, doc):
+        return table(spark, sf_dir, name).select(
+            F.lit(name).alias("source_id"), subj.alias("subj_entity_id"), predicate.alias("predicate"),
+            obj.alias("obj_entity_id"), doc.alias("doc_id"),
+        )
+
+    key = lambda prefix, column: F.concat(F.lit(prefix), column)
+    nation = rows("nation", key("N", "n_nationkey"), F.lit("Part of"), key("R", "n_regionkey"), F.lit("doc:nation"))
+    supplier = rows(
+        "supplier", key("S", "s_suppkey"), F.when(F.col("s_acctbal") < 500, "part-of").otherwise("located-in"),
+        key("N", "s_nationkey"), F.lit("doc:supplier"),
+    )
+    segment = F.col("c_mktsegment")
+    customer = rows(
+        "customer", key("C", "c_custkey"),
+        F.when(F.col("c_acctbal") < 0, "has_topic").when(segment == "BUILDING", " -- ").when(segment == "MACHINERY", "located in").otherwise("Related To"),
+        key("N", "c_nationkey"), F.lit("doc:customer"),
+    )
+    orders = rows("orders", key("O", "o_orderkey"), F.lit("Mentions"), key("C", "o_custkey"), key("O", "o_orderkey"))
+    return nation.unionByName(supplier).unionByName(customer).unionByName(orders).withColumn(
+        "rel_id", F.concat_ws("-", "subj_entity_id", "predicate", "obj_entity_id")
+    )
+
+
+def graph_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for two of the sources, read off their own tables; the others fall back."""
+    nation = table(spark, sf_dir, "nation").select(
+        F.lit("nation").alias("source_id"), F.lit("part_of").alias("predicate"), F.lit("Nation").alias("domain_type"),
+        F.lit("Region").alias("range_type"),
+    )
+    supplier = table(spark, sf_dir, "supplier").select(
+        F.lit("supplier").alias("source_id"), F.lit("Located In").alias("predicate"), F.lit("Organization").alias("domain_type"),
+        F.lit("Nation").alias("range_type"),
+    )
+    return nation.unionByName(supplier).distinct().withColumn("description", F.lit("")).withColumn("position", F.lit(1))
+
+
+def gallery_with_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gallery entries that carry a two-node JSON-LD graph each."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
+    text = F.format_string(
+        '{"@graph":[{"@id":"urn:s:%s","@type":"Org","ec:name":{"@value":"%s"},"ec:in":{"@id":"urn:n:%s"},'
+        '"ec:refs":[{"@id":"urn:r:%s"},{"id":"urn:n:%s"},"plain"],"note":"x"},{"id":"urn:n:%s","type":"Nation","name":"%s"}]}',
+        "s_suppkey", "s_name", "s_nationkey", "n_regionkey", "s_nationkey", "s_nationkey", "n_name",
+    )
+    return table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(
+        F.concat(F.lit("vp_"), "s_suppkey").alias("voiceprint_id"),
+        F.when(F.col("s_acctbal") > 2000, F.concat(F.lit("person_"), "s_suppkey")).alias("person_id"),
+        F.when(F.col("s_acctbal") > 5000, F.col("s_name")).alias("display_name"),
+        F.lit("CEO").alias("title"),
+        F.array("n_name").alias("organizations"),
+        text.alias("ebucore"),
+    )

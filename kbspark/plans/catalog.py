@@ -6,7 +6,7 @@ import importlib
 
 from kbspark.plans.registry import ORACLE, QUERIES
 
-MODULES = ["text", "privacy", "tables", "speech", "memory", "sessions", "retrieval"]
+MODULES = ["text", "privacy", "tables", "speech", "memory", "sessions", "retrieval", "graph", "operations"]
 
 
 def _load() -> None:
