@@ -6,7 +6,9 @@ import importlib
 
 from kbspark.plans.registry import ORACLE, QUERIES
 
-MODULES = ["text", "privacy", "tables", "speech", "memory", "sessions", "retrieval", "graph", "operations"]
+MODULES = [
+    "text", "privacy", "tables", "speech", "memory", "sessions", "retrieval", "graph", "operations", "streams",
+]
 
 
 def _load() -> None:
