@@ -93,12 +93,11 @@ def set_overlap(left: Column, right: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words of ``text``; empty text has none."""
-    clean = collapse_space(F.coalesce(text, F.lit("")))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"), 0)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"), 0))
+    return F.size(words(text))
 
 
 # Elements whose whole content is dropped, and elements that break a line.

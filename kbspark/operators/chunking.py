@@ -18,7 +18,7 @@ def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 20) -> Data
         raise ValueError("overlap must lie in [0, size)")
     step = size - overlap
     keep = [c for c in docs.columns if c != "text"]
-    split = docs.select(*keep, tx.words(F.col("text")).alias("_words")).where(F.size("_words") > 0)
+    split = docs.select(*keep, tx.words(F.col("text")).alias("_words"))
     extra = F.ceil(F.greatest(F.size("_words") - size, F.lit(0)) / F.lit(step)).cast("int")
     windows = F.transform(
         F.sequence(F.lit(0), extra),
@@ -29,7 +29,7 @@ def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 20) -> Data
         (F.col("_pos") + 1).cast("long").alias("chunk_index"),
         F.concat(F.lit("chunk_"), F.col("_pos") + 1).alias("segment_id"),
         "text",
-    )
+    ).where("text <> ''")  # a text without words has one empty window
 
 
 def text_to_embed(summary, text):

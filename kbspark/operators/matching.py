@@ -49,11 +49,17 @@ MAX_BROADCAST_ANCHORS = 200_000
 
 
 def contained_pairs(
-    queries: DataFrame, texts: DataFrame, query_id: str, text_id: list[str], wildcards: bool = True
+    queries: DataFrame,
+    texts: DataFrame,
+    query_id: str,
+    text_id: list[str],
+    keep: tuple[str, ...] = (),
+    wildcards: bool = True,
 ) -> DataFrame:
     """All (query, text) with the query's text inside the other text, ignoring case.
 
-    ``queries(query_id, query)`` and ``texts(text_id..., text)``. Each query is looked up by one
+    ``queries(query_id, query)`` and ``texts(text_id..., text)``; ``keep`` names further columns
+    of the texts to return. Each query is looked up by one
     anchor that any match must hold: a whole word from its inside, else a short run of its
     characters; a query without a literal character has the empty anchor and matches any text
     its wildcards fit. The anchors are written once to the shared folder and counted. Up to a
@@ -86,7 +92,8 @@ def contained_pairs(
     tiers = [r[0] for r in anchors.select("_tier").distinct().collect()]  # five at most
     small = anchors.count() <= MAX_BROADCAST_ANCHORS
 
-    lowered = texts.select(*text_id, F.lower("text").alias("_text"))
+    lowered = texts.select(*text_id, *keep, F.lower("text").alias("_text"))
+    out = [query_id, *text_id, *keep]
     held_by = {0: whole_words, -1: lambda _: F.array(F.lit(""))}
     match = F.when(F.col("_wild"), F.expr("_text rlike _regex")).otherwise(F.contains(F.col("_text"), F.col("_q")))
     found = []
@@ -95,11 +102,12 @@ def contained_pairs(
         wanted = anchors.where(F.col("_tier") == t).drop("_tier")
         if small:
             held = lowered.select("*", F.explode(of_text(F.col("_text"))).alias("_anchor"))
-            found.append(held.join(F.broadcast(wanted), "_anchor").where(match).select(query_id, *text_id))
+            found.append(held.join(F.broadcast(wanted), "_anchor").where(match).select(*out))
         else:
             held = lowered.select(*text_id, F.explode(of_text(F.col("_text"))).alias("_anchor"))
             hits = held.join(wanted, "_anchor").drop("_anchor")
-            found.append(hits.join(lowered, text_id).where(match).select(query_id, *text_id))
-    if not found:
-        return lowered.join(asked.select(query_id), F.lit(False)).select(query_id, *text_id)
+            found.append(hits.join(lowered, text_id).where(match).select(*out))
+    if not found:  # no query has any text
+        kind = asked.schema[query_id].dataType
+        return lowered.where(F.lit(False)).select(F.lit(None).cast(kind).alias(query_id), *text_id, *keep)
     return reduce(DataFrame.unionByName, found)

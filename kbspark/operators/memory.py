@@ -115,10 +115,20 @@ def supersede(items: DataFrame, look_back: int = 60, block: int = 4096) -> DataF
     return joined.withColumn("expires_at", F.coalesce("superseded_at", "expires_at"))
 
 
-def searchable(items: DataFrame) -> DataFrame:
-    """Items with one text holding the body, the topics and the entities."""
+_POLICY = {"importance": 0.7, "confidence": 0.7, "access_count": 0}  # fixed values of long-term rows
+
+
+def searchable(items: DataFrame, source: str) -> DataFrame:
+    """Items of one source with the text a query is looked for in: the body, and for local
+    items the topics and entities too."""
+    text = F.concat_ws("\u0001", "text", F.to_json("topics"), F.to_json("entities")) if source == "local" else F.col("text")
+    have = items.columns
+    policy = [F.col(n) if n in have else F.lit(v) for n, v in _POLICY.items()]
+    pin = F.col("pinned_until") if "pinned_until" in have else F.lit(None).cast("timestamp_ntz")
     return items.select(
-        "memory_id", F.concat_ws("\u0001", "text", F.to_json("topics"), F.to_json("entities")).alias("text")
+        F.lit(source).alias("source"), "memory_id", "memory_type", "memory_kind", F.col("text").alias("body"),
+        "topics", "entities", *SCOPE, "created_at", *[c.alias(n) for c, n in zip(policy, _POLICY)],
+        pin.alias("pinned_until"), text.alias("text"),
     )
 
 
@@ -139,35 +149,34 @@ def recall(
     Filters run before the limit. Local rows and, when given, long-term rows are ranked in one
     list of ``limit`` per query.
     """
-    q_tokens = queries.withColumn("_qt", tx.tokens(F.col("query")))
     live = items.where(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
-    pairs = contained_pairs(queries, searchable(live), "query_id", ["memory_id"])
-    local = (
-        pairs.join(live.alias("i"), "memory_id").join(q_tokens.alias("q"), "query_id").where(_fits("q", "i"))
-    )
-    text = tx.overlap_score(F.col("_qt"), tx.tokens(F.col("text")))
+    texts = searchable(live, "local")
+    if long_term is not None:
+        texts = texts.unionByName(searchable(long_term, "long_term"))
+    keep = tuple(c for c in texts.columns if c not in ("source", "memory_id", "text"))
+    pairs = contained_pairs(queries, texts, "query_id", ["source", "memory_id"], keep)
+    q_tokens = queries.withColumn("_qt", tx.tokens(F.col("query")))
+    found = pairs.alias("i").join(q_tokens.alias("q"), "query_id").where(_fits("q", "i"))
+    text = tx.overlap_score(F.col("_qt"), tx.tokens(F.col("body")))
     topics = tx.overlap_score(F.col("_qt"), tx.tokens(F.array_join("topics", " ")))
     entities = tx.overlap_score(F.col("_qt"), tx.tokens(F.array_join("entities", " ")))
-    pinned = F.when(F.col("pinned_until") >= as_of, 0.05).otherwise(0.0)
+    recent = routing.recency(F.col("created_at"), as_of)
+    weight = routing.type_weight(F.col("memory_type"))
     raw = (
         0.50 * text
         + 0.20 * F.greatest(topics, entities)
-        + 0.15 * routing.recency(F.col("created_at"), as_of)
+        + 0.15 * recent
         + 0.10 * F.col("importance")
         + 0.05 * F.col("confidence")
     )
-    score = raw * routing.type_weight(F.col("memory_type")) + F.least(F.col("access_count"), F.lit(20)) / 200.0 + pinned
-    columns = ["query_id", "memory_id", "memory_type", "memory_kind", "text", "created_at"]
-    ranked = local.select(*columns, F.round(score, 6).alias("recall_score"), F.lit("local").alias("source"))
-    if long_term is not None:
-        far = contained_pairs(queries, long_term.select("memory_id", "text"), "query_id", ["memory_id"])
-        remote = far.join(long_term.alias("i"), "memory_id").join(q_tokens.alias("q"), "query_id").where(_fits("q", "i"))
-        far_score = (0.65 * text + 0.35 * routing.recency(F.col("created_at"), as_of)) * routing.type_weight(
-            F.col("memory_type")
-        )
-        ranked = ranked.unionByName(
-            remote.select(*columns, F.round(far_score, 6).alias("recall_score"), F.lit("long_term").alias("source"))
-        )
+    pinned = F.when(F.col("pinned_until") >= as_of, 0.05).otherwise(0.0)
+    near = raw * weight + F.least(F.col("access_count"), F.lit(20)) / 200.0 + pinned
+    far = (0.65 * text + 0.35 * recent) * weight
+    score = F.when(F.col("source") == "local", near).otherwise(far)
+    ranked = found.select(
+        "query_id", "memory_id", "memory_type", "memory_kind", F.col("body").alias("text"), "created_at", "source",
+        F.round(score, 6).alias("recall_score"),
+    )
     return newest(
         ranked, ["query_id"], limit, F.col("recall_score").desc(), F.col("source"), F.col("memory_id")
     ).withColumnRenamed("_rank", "rank")

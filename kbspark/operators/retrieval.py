@@ -50,8 +50,8 @@ def vector_candidates(questions: DataFrame, vectors: DataFrame, limit: int) -> D
 
 def keyword_candidates(questions: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
     """Segments that contain the question's text, best token overlap first."""
-    pairs = contained_pairs(questions, segments, "question_id", ["doc_id", "segment_id"])
-    rows = pairs.join(segments, ["doc_id", "segment_id"]).join(questions.select("question_id", "_qt"), "question_id")
+    pairs = contained_pairs(questions, segments, "question_id", ["doc_id", "segment_id"], ("text",))
+    rows = pairs.join(questions.select("question_id", "_qt"), "question_id")
     rows = rows.withColumn("_lex", tx.overlap_score(F.col("_qt"), tx.tokens(F.col("text"))))
     best = newest(rows, ["question_id"], 2 * limit, F.col("_lex").desc(), F.col("doc_id"), F.col("segment_id"))
     return _evidence(best, "keyword", F.col("_lex"), "text")

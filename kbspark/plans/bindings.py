@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import ids
 from kbspark.functions import text as tx
 from kbspark.operators import chunking
 from kbspark.plans.registry import table
+from kbspark.session import stored
 
-AS_OF = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+
+def as_of() -> Column:
+    """The fixed "now" of all queries."""
+    return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
 
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(docs.withColumn("text", tx.normalize_space(F.col("text"))))
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table as an ingest leaves it, for queries that read it more than once."""
+    return stored(chunks(spark, sf_dir), "chunks")
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One version per document and a second one for English documents; later steps where
     labels or vectors exist."""
@@ -209,6 +218,11 @@ def memory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.write_batch(raw_memories(spark, sf_dir))
 
 
+def stored_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory table as a batch write leaves it, for queries that read it more than once."""
+    return stored(memory_items(spark, sf_dir), "memories")
+
+
 def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user the type of the latest event, asked within the user's scope; per event type one
     question without a scope."""
@@ -287,9 +301,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.unionByName(recalled)
 
 
-def evidence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence_vectors(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
     """Stored vectors with the text of the chunk they stand for."""
-    first = chunks(spark, sf_dir).where("chunk_index = 1").select("doc_id", "text")
+    first = segments.where("chunk_index = 1").select("doc_id", "text")
     return stored_vectors(spark, sf_dir).join(first, "doc_id", "left").select(
         F.col("vec_id").alias("vector_id"), "embedding", "doc_id", "segment_id", "text"
     )

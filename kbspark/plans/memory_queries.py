@@ -9,6 +9,7 @@ from kbspark.functions import routing
 from kbspark.functions import text as tx
 from kbspark.operators import memory, tables
 from kbspark.plans import bindings as b
+from kbspark.plans import tables_queries  # noqa: F401  (defines shared tables of the SQL side)
 from kbspark.plans.registry import query, table
 from kbspark.plans.sql import cte, norm, overlap, toks, with_ctes
 
@@ -178,7 +179,7 @@ def memory_remember(spark, sf_dir):
 )
 def memory_scope_filter(spark, sf_dir):
     # Even events keep the scope at the top level of the references, odd ones below "scope".
-    items = b.memory_items(spark, sf_dir)
+    items = b.stored_memories(spark, sf_dir)
     flat = F.to_json(F.struct("user_id", "project_id"))
     nested = F.to_json(F.struct(F.struct("user_id", "project_id").alias("scope")))
     even = F.substring("memory_id", -1, 1).isin("0", "2", "4", "6", "8")
@@ -210,11 +211,11 @@ def memory_expired(spark, sf_dir):
     # Times pass through text, as they are stored there, and are read back leniently.
     text = F.concat(F.date_format("expires_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     items = items.withColumn("expires_at", routing.parse_time(F.coalesce(text, F.lit("never"))))
-    hidden = F.col("expires_at") <= b.AS_OF
+    hidden = F.col("expires_at") <= b.as_of()
     return items.select(
         "memory_id",
         F.coalesce(hidden, F.lit(False)).alias("hidden_from_recall"),
-        F.coalesce(memory.expired(items, b.AS_OF), F.lit(False)).alias("deletable"),
+        F.coalesce(memory.expired(items, b.as_of()), F.lit(False)).alias("deletable"),
     )
 
 
@@ -286,7 +287,7 @@ cte(
     ),
 )
 def memory_supersede(spark, sf_dir):
-    return memory.supersede(b.memory_items(spark, sf_dir)).select(
+    return memory.supersede(b.stored_memories(spark, sf_dir)).select(
         "memory_id",
         "superseded_by",
         F.date_format("superseded_at", "yyyy-MM-dd HH:mm:ss").alias("superseded_at"),
@@ -339,9 +340,9 @@ recall_ctes("recall_q", "recalled", 10)
 
 
 def _recalled(spark, sf_dir):
-    items = b.memory_items(spark, sf_dir)
+    items = b.stored_memories(spark, sf_dir)
     return items, memory.recall(
-        b.recall_queries(spark, sf_dir), items, b.AS_OF, limit=10, long_term=memory.long_term_table(items)
+        b.recall_queries(spark, sf_dir), items, b.as_of(), limit=10, long_term=memory.long_term_table(items)
     )
 
 
@@ -374,7 +375,7 @@ def memory_recall_topk(spark, sf_dir):
 )
 def memory_touch(spark, sf_dir):
     items, ranked = _recalled(spark, sf_dir)
-    return memory.touch(items, ranked, b.AS_OF).select(
+    return memory.touch(items, ranked, b.as_of()).select(
         "memory_id",
         F.col("access_count").cast("long").alias("access_count"),
         F.date_format("last_accessed_at", "yyyy-MM-dd HH:mm:ss").alias("last_accessed_at"),
@@ -397,7 +398,7 @@ def memory_touch(spark, sf_dir):
     ),
 )
 def memory_maintenance(spark, sf_dir):
-    doomed = memory.maintenance(b.memory_items(spark, sf_dir), b.AS_OF, retention_days=7, keep=2, budget=2500)
+    doomed = memory.maintenance(b.stored_memories(spark, sf_dir), b.as_of(), retention_days=7, keep=2, budget=2500)
     by_reason = memory.deletion_breakdown(doomed)
     total = by_reason.agg(F.sum("deleted").alias("deleted_total")).withColumn("_one", F.lit(1))
     return by_reason.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
@@ -426,8 +427,8 @@ def memory_maintenance(spark, sf_dir):
 )
 def memory_stats(spark, sf_dir):
     signals = b.raw_memories(spark, sf_dir).select("memory_id", "signals", "cited_count", "missed_count")
-    items = memory.supersede(b.memory_items(spark, sf_dir)).join(signals, "memory_id")
-    return memory.statistics(items, b.AS_OF, ["user_id"])
+    items = memory.supersede(b.stored_memories(spark, sf_dir)).join(signals, "memory_id")
+    return memory.statistics(items, b.as_of(), ["user_id"])
 
 
 @query(
@@ -441,7 +442,7 @@ def memory_stats(spark, sf_dir):
     ),
 )
 def upsert_memory(spark, sf_dir):
-    items = b.memory_items(spark, sf_dir)
+    items = b.stored_memories(spark, sf_dir)
     target = items.where("memory_type = 'long_term' OR kind = 'context_turn'").select(
         "memory_id", F.col("memory_type").alias("category"), "text"
     )

@@ -58,7 +58,7 @@ def dashboard_stats(spark, sf_dir):
     ),
 )
 def model_usage(spark, sf_dir):
-    usage = ops.model_usage(b.run_log(spark, sf_dir), b.AS_OF, window_hours=336)
+    usage = ops.model_usage(b.run_log(spark, sf_dir), b.as_of(), window_hours=336)
     pairs = F.transform(F.map_entries("components"), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return usage.withColumn("components", F.array_join(pairs, ","))
 
@@ -80,7 +80,7 @@ def model_usage(spark, sf_dir):
     ),
 )
 def ops_alerts(spark, sf_dir):
-    return ops.alerts(b.jobs(spark, sf_dir), b.run_log(spark, sf_dir), b.AS_OF, error_hours=48)
+    return ops.alerts(b.jobs(spark, sf_dir), b.run_log(spark, sf_dir), b.as_of(), error_hours=48)
 
 
 @query(
@@ -112,4 +112,4 @@ def dashboard_timeseries(spark, sf_dir):
         "jobs_done": ts(jobs.where("status = 'done'"), "updated_at"),
         "jobs_failed": ts(jobs.where("status = 'failed'"), "updated_at"),
     }
-    return ops.timeseries(sources, b.AS_OF, window_hours=336, bucket_minutes=90)
+    return ops.timeseries(sources, b.as_of(), window_hours=336, bucket_minutes=90)

@@ -12,6 +12,7 @@ from kbspark.plans import bindings as b
 from kbspark.plans import memory_queries, sessions_queries
 from kbspark.plans.registry import query, table
 from kbspark.plans.sql import cte, norm, overlap, toks, with_ctes
+from kbspark.session import stored
 
 
 @query(
@@ -130,17 +131,18 @@ cte(
 
 
 def hybrid(spark, sf_dir):
-    asked = b.questions(spark, sf_dir).withColumnRenamed("session_id_num", "session_id")
+    asked = stored(b.questions(spark, sf_dir), "questions").withColumnRenamed("session_id_num", "session_id")
     asked_scope = asked.withColumn("session_id", F.lit(None).cast("string"))
+    segments = b.stored_chunks(spark, sf_dir).select("doc_id", "segment_id", "chunk_index", "text")
     digests = sessions.handoff(b.conversation_turns(spark, sf_dir), sessions_queries.AS_OF_TEXT)
     evidence = retrieval.retrieve(
         asked,
-        b.AS_OF,
-        vectors=b.evidence_vectors(spark, sf_dir),
-        segments=b.chunks(spark, sf_dir).select("doc_id", "segment_id", "text"),
+        b.as_of(),
+        vectors=stored(b.evidence_vectors(spark, sf_dir, segments), "vectors"),
+        segments=segments.drop("chunk_index"),
         digests=digests,
-        items=b.memory_items(spark, sf_dir),
-        history=b.feedback_history(spark, sf_dir),
+        items=b.stored_memories(spark, sf_dir),
+        history=stored(b.feedback_history(spark, sf_dir), "feedback"),
         scopes=asked_scope,
     )
     return asked, evidence
@@ -175,13 +177,14 @@ def retrieve_hybrid(spark, sf_dir):
     ),
 )
 def feedback_rerank(spark, sf_dir):
-    asked = b.questions(spark, sf_dir).withColumn("session_id", F.lit(None).cast("string"))
+    asked = stored(b.questions(spark, sf_dir), "questions").withColumn("session_id", F.lit(None).cast("string"))
     vectors = b.stored_vectors(spark, sf_dir).withColumnRenamed("vec_id", "vector_id")
     near = top_vectors(asked.where("embedding IS NOT NULL"), vectors, 20, "question_id", "vector_id")
     candidates = near.join(vectors.select("vector_id", "doc_id", "segment_id"), "vector_id").select(
         "question_id", "doc_id", "segment_id", F.round("score", 6).alias("score"), F.round("score", 6).alias("final_score")
     )
-    ranked = feedback.rerank(candidates, asked, b.feedback_history(spark, sf_dir), b.AS_OF)
+    history = stored(b.feedback_history(spark, sf_dir), "feedback")
+    ranked = feedback.rerank(candidates, asked, history, b.as_of())
     return ranked.select("question_id", "doc_id", "score", "feedback_boost", "final_score")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import sessions
 from kbspark.plans import bindings as b
+from kbspark.plans import tables_queries  # noqa: F401  (defines shared tables of the SQL side)
 from kbspark.plans.registry import query
 from kbspark.plans.sql import cte, with_ctes
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators.ordered import micros
 from kbspark.plans import bindings as b
-from kbspark.plans import sessions_queries
+from kbspark.plans import memory_queries, sessions_queries  # noqa: F401
 from kbspark.plans.registry import query, table
 from kbspark.plans.sql import with_ctes
 from kbspark.streaming import streams
@@ -143,10 +143,10 @@ def stream_expiry(spark, sf_dir):
     pinned = F.when(k % 10 == 0, micros(F.col("ts")) + 60 * 86_400_000_000)
     items = _stream(spark, sf_dir, "events").select(
         F.concat(F.lit("m"), "event_id").alias("memory_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.floor(micros(F.col("ts")) / 1000).alias("ts_ms"),
         F.floor(F.when(expires.isNotNull(), F.greatest(expires, pinned)) / 1000).alias("leave_ms"),
     )
-    return streams.to_table(streams.expiry_stream(items), "expiry")
+    return streams.expiry_stream(items)
 
 
 @query(

@@ -144,7 +144,7 @@ def voice_gallery_scan(spark, sf_dir):
     ),
 )
 def upsert_segments(spark, sf_dir):
-    target = b.chunks(spark, sf_dir).select("lang", "doc_id", "segment_id", "text")
+    target = b.stored_chunks(spark, sf_dir).select("lang", "doc_id", "segment_id", "text")
     english = target.where("lang = 'en'")
     older = english.withColumn("text", F.lower("text")).withColumn("updated", F.lit(1))
     newer = english.withColumn("text", F.concat(F.lit("EN "), "text")).withColumn("updated", F.lit(2))
@@ -173,7 +173,7 @@ def delete_sources(spark, sf_dir):
     parts = []
     targets = {
         "manifests": b.manifests(spark, sf_dir).select("source_id", "source_version"),
-        "segments": b.chunks(spark, sf_dir).select(F.col("doc_id").alias("source_id"), "segment_id"),
+        "segments": b.stored_chunks(spark, sf_dir).select(F.col("doc_id").alias("source_id"), "segment_id"),
     }
     for name, df in targets.items():
         kept, gone = tables.delete_keys(df, doomed, ["source_id"])
@@ -220,7 +220,7 @@ def segments_filtered(spark, sf_dir):
     ),
 )
 def publish_rows(spark, sf_dir):
-    chunks = b.chunks(spark, sf_dir).select("doc_num", "doc_id", "segment_id", "text", "lang", "source")
+    chunks = b.stored_chunks(spark, sf_dir).select("doc_num", "doc_id", "segment_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc_num"), "quality")
     enriched = chunks.join(labels, "doc_num").withColumn("topics", F.array("lang", "source"))
     enriched = enriched.withColumn("entities", F.array(F.upper("lang")))

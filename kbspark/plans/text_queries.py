@@ -282,7 +282,7 @@ def first_chunks(spark, sf_dir):
 )
 def incremental_chunks(spark, sf_dir):
     # The stored side: English chunks, the even ones from an older text.
-    now = b.chunks(spark, sf_dir)
+    now = b.stored_chunks(spark, sf_dir)
     stored = now.where("lang = 'en'").withColumn(
         "text", F.when(F.col("chunk_index") % 2 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
     )
@@ -307,7 +307,7 @@ def incremental_chunks(spark, sf_dir):
     ),
 )
 def chunk_enrich_join(spark, sf_dir):
-    all_chunks = b.chunks(spark, sf_dir)
+    all_chunks = b.stored_chunks(spark, sf_dir)
     # Model output exists for odd chunks, intake metadata for labelled documents.
     enrichment = all_chunks.where("chunk_index % 2 = 1").select(
         "doc_id",

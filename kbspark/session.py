@@ -60,3 +60,13 @@ def reliable(df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def stored(df, name: str):
+    """``df`` written once to the shared folder and read back, for use at several places.
+
+    The copy survives lost executors, and its file sizes tell the optimizer what to broadcast.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

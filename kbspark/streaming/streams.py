@@ -173,36 +173,38 @@ def compaction_stream(turns: DataFrame, every: int = 12) -> DataFrame:
     )
 
 
-def expiry_stream(items: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """Items that leave, with the time they leave, once the watermark passes it.
+DAY_MS = 86_400_000
 
-    ``items(memory_id, ts, leave_ms)``: ``leave_ms`` is the later of expiry and pin, null for
-    items that stay. A timer per item waits for the watermark.
-    """
 
-    def wait(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["memory_id", "leave_ms"]
-        if state.hasTimedOut:
-            leave = state.get[0]
-            state.remove()
-            yield pd.DataFrame([(key[0], leave)], columns=columns)
-            return
-        leave = max(int(batch["leave_ms"].max()) for batch in batches)
-        if leave < state.getCurrentWatermarkMs():
-            yield pd.DataFrame([(key[0], leave)], columns=columns)
-            return
-        state.update((leave,))
-        state.setTimeoutTimestamp(leave)
-        yield pd.DataFrame([], columns=columns)
+def expiry_stream(items: DataFrame) -> DataFrame:
+    """Items that leave, with the time they leave, once event time has passed it.
 
-    return (
-        items.where("leave_ms IS NOT NULL")
-        .withWatermark("ts", late)
-        .groupBy("memory_id")
-        .applyInPandasWithState(
-            wait, "memory_id string, leave_ms long", "leave long", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    ``items(memory_id, ts_ms, leave_ms)``: ``leave_ms`` is the later of expiry and pin, null for
+    items that stay. Waiting items are filed by the day they leave; a micro-batch moves the
+    clock to the latest ``ts_ms`` seen and reads only the days the clock has passed since.
+    """
+    spark = items.sparkSession
+    base = work_path(spark, "expiry")
+    waiting_type = "memory_id string, leave_ms long, batch int, leave_day long"
+
+    def write(batch: DataFrame, folder: str) -> None:
+        number = int(folder.rsplit("=", 1)[1])
+        rows = batch.where("leave_ms IS NOT NULL")
+        filed = rows.withColumn("leave_day", F.floor(F.col("leave_ms") / DAY_MS)).drop("ts_ms")
+        filed.write.mode("overwrite").partitionBy("leave_day").parquet(f"{base}/waiting/batch={number}")
+        rows.agg(F.max("ts_ms").alias("clock")).write.mode("overwrite").parquet(f"{base}/clock/batch={number}")
+        clocks = spark.read.schema("clock long, batch int").parquet(f"{base}/clock").where(F.col("batch") <= number)
+        # One row: the clock before and after this batch.
+        old, now = clocks.agg(F.max(F.when(F.col("batch") < number, F.col("clock"))), F.max("clock")).first()
+        waiting = spark.read.schema(waiting_type).parquet(f"{base}/waiting").where(F.col("batch") <= number)
+        passed = F.lit(False) if now is None else (F.col("leave_ms") < now) & (F.col("leave_day") <= now // DAY_MS)
+        if old is not None:
+            passed = passed & (
+                (F.col("batch") == number) | ((F.col("leave_ms") >= old) & (F.col("leave_day") >= old // DAY_MS))
+            )
+        waiting.where(passed).select("memory_id", "leave_ms").write.mode("overwrite").parquet(folder)
+
+    return spark.read.parquet(each_batch(items, "expired", write)).drop("batch")
 
 
 def upsert_stream(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
