@@ -34,19 +34,23 @@ def local_session(cores: str = "8", app: str = "kbspark", memory: str = "12g") -
     return spark
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder.
+    Only a local-mode session may fall back to a temporary folder, one per application.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="spark-")
+    return _fallback[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
