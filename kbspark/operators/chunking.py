@@ -24,7 +24,8 @@ def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 20) -> Data
         F.sequence(F.lit(0), extra),
         lambda i: F.array_join(F.slice(F.col("_words"), i * step + 1, F.lit(size)), " "),
     )
-    return split.select(*keep, F.posexplode(windows).alias("_pos", "text")).select(
+    # The outer form: for the inner one Spark would test the array, and so build it, once more.
+    return split.select(*keep, F.posexplode_outer(windows).alias("_pos", "text")).select(
         *keep,
         (F.col("_pos") + 1).cast("long").alias("chunk_index"),
         F.concat(F.lit("chunk_"), F.col("_pos") + 1).alias("segment_id"),

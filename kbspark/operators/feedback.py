@@ -100,9 +100,9 @@ def boosts(
         filed.select("_scope", "feedback_id", "created_at", "query_tokens", "signals"),
         ["_scope"], history_limit, F.col("created_at").desc(), F.col("feedback_id").desc(),
     ).drop("_rank")
-    q_tokens = asked.select("question_id", "_scope", F.size("_q").alias("_size"), F.explode("_q").alias("_token"))
+    q_tokens = asked.select("question_id", "_scope", F.size("_q").alias("_size"), F.explode_outer("_q").alias("_token"))
     h_tokens = recent.select(
-        "_scope", "feedback_id", F.explode(F.array_distinct(F.transform("query_tokens", lambda t: F.lower(t)))).alias("_token")
+        "_scope", "feedback_id", F.explode_outer(F.array_distinct(F.transform("query_tokens", lambda t: F.lower(t)))).alias("_token")
     )
     near = (
         q_tokens.join(h_tokens, ["_scope", "_token"])

@@ -46,6 +46,7 @@ def _choose(candidates: DataFrame, query_id: str) -> DataFrame:
 
 
 MAX_BROADCAST_ANCHORS = 200_000
+MAX_BROADCAST_CHARS = 32_000_000
 
 
 def contained_pairs(
@@ -90,21 +91,23 @@ def contained_pairs(
     chosen.withColumn("_regex", F.when(F.col("_wild"), like_regex(F.col("_q")))).write.parquet(path)
     anchors = spark.read.parquet(path)
     tiers = [r[0] for r in anchors.select("_tier").distinct().collect()]  # five at most
-    small = anchors.count() <= MAX_BROADCAST_ANCHORS
+    rows, chars = anchors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_q")), F.lit(0))).first()
+    small = rows <= MAX_BROADCAST_ANCHORS and chars <= MAX_BROADCAST_CHARS
 
     lowered = texts.select(*text_id, *keep, F.lower("text").alias("_text"))
     out = [query_id, *text_id, *keep]
     held_by = {0: whole_words, -1: lambda _: F.array(F.lit(""))}
     match = F.when(F.col("_wild"), F.expr("_text rlike _regex")).otherwise(F.contains(F.col("_text"), F.col("_q")))
+    # The outer explode keeps Spark from building the arrays twice; its null rows find no anchor.
     found = []
     for t in tiers:
         of_text = held_by.get(t) or (lambda text, n=t: grams(text, n))
         wanted = anchors.where(F.col("_tier") == t).drop("_tier")
         if small:
-            held = lowered.select("*", F.explode(of_text(F.col("_text"))).alias("_anchor"))
+            held = lowered.select("*", F.explode_outer(of_text(F.col("_text"))).alias("_anchor"))
             found.append(held.join(F.broadcast(wanted), "_anchor").where(match).select(*out))
         else:
-            held = lowered.select(*text_id, F.explode(of_text(F.col("_text"))).alias("_anchor"))
+            held = lowered.select(*text_id, F.explode_outer(of_text(F.col("_text"))).alias("_anchor"))
             hits = held.join(wanted, "_anchor").drop("_anchor")
             found.append(hits.join(lowered, text_id).where(match).select(*out))
     if not found:  # no query has any text

@@ -81,7 +81,7 @@ def parse_captions(captions: DataFrame) -> DataFrame:
         ),
         lambda s: s["time"].rlike(timing) & (s["text"] != ""),
     )
-    return captions.select("doc_id", F.posexplode(spoken).alias("_i", "_s")).select(
+    return captions.select("doc_id", F.posexplode_outer(spoken).alias("_i", "_s")).where("_s IS NOT NULL").select(
         "doc_id",
         F.concat(F.lit("seg_"), F.col("_i") + 1).alias("segment_id"),
         (F.col("_i") + 1).cast("long").alias("seq"),
@@ -238,7 +238,7 @@ def chunk_numbers(segments: DataFrame, limit: int = 800, block: int = 1024) -> D
         )
 
     packed = blocks.join(block_entry, ["doc_id", "_b"], "left").select(
-        "doc_id", F.inline(F.aggregate("_segs", start, pack, lambda acc: acc["out"]))
+        "doc_id", F.inline_outer(F.aggregate("_segs", start, pack, lambda acc: acc["out"]))
     )
     return packed
 

@@ -88,9 +88,14 @@ def _broadcast_search(head: list, vectors: DataFrame, k: int, schema: T.StructTy
                 v = np.concatenate([best[i][1], ids[pick]])
                 keep = _best(s, v, k)
                 best[i] = (s[keep], v[keep])
-        for name, (s, v) in zip(names, best):
-            if len(s):
-                yield pd.DataFrame({0: [name] * len(s), 1: v, 2: s}).set_axis(schema.names, axis=1)
+        if names:
+            sizes = [len(s) for s, _ in best]
+            columns = (
+                [name for name, n in zip(names, sizes) for _ in range(n)],
+                np.concatenate([v for _, v in best]),
+                np.concatenate([s for s, _ in best]),
+            )
+            yield pd.DataFrame(dict(zip(schema.names, columns)))
 
     return vectors.mapInPandas(search, schema)
 
@@ -113,11 +118,13 @@ def _block_search(
             return pd.DataFrame(columns=schema.names)
         ids, rows, wanted = right.iloc[:, 0].to_numpy(), right.iloc[:, 1].tolist(), left.iloc[:, 1].tolist()
         scores = _scores(wanted, rows)
-        parts = []
-        for i, name in enumerate(left.iloc[:, 0]):
-            pick = _best(scores[i], ids, k)
-            parts.append(pd.DataFrame({0: [name] * len(pick), 1: ids[pick], 2: scores[i][pick]}))
-        return pd.concat(parts).set_axis(schema.names, axis=1)
+        picks = [_best(row, ids, k) for row in scores]
+        columns = (
+            [name for name, pick in zip(left.iloc[:, 0], picks) for _ in pick],
+            np.concatenate([ids[pick] for pick in picks]),
+            np.concatenate([row[pick] for row, pick in zip(scores, picks)]),
+        )
+        return pd.DataFrame(dict(zip(schema.names, columns)))
 
     q = q.select(query_id, queries.columns[1], F.col("_q").cast("long").alias("_q"), F.col("_v").cast("int").alias("_v"))
     v = v.select(vector_id, vectors.columns[1], "_q", "_v")

@@ -9,6 +9,7 @@ from kbspark.operators import graph, tables
 from kbspark.plans import bindings as b
 from kbspark.plans.registry import query, table
 from kbspark.plans.sql import cte, with_ctes
+from kbspark.session import stored
 
 cte(
     "ents",
@@ -86,6 +87,7 @@ def ontology_validate(spark, sf_dir):
 )
 def graph_publish_gate(spark, sf_dir):
     checked, rules = _checked(spark, sf_dir)
+    checked = stored(checked, "checked")
     passed = graph.publishable(checked).groupBy("source_id").agg(F.count(F.lit(1)).alias("published"))
     return graph.validation_summary(checked, rules).join(passed, "source_id", "left").withColumn(
         "published", F.coalesce("published", F.lit(0).cast("long"))
@@ -242,7 +244,7 @@ def upsert_graph(spark, sf_dir):
     fresh = renamed.unionByName(people.where(F.col("entity_id").startswith("person")))
     entities = tables.upsert(target, fresh, schemas.KEYS["entities"], F.col("name"))
     checked, _ = _checked(spark, sf_dir)
-    relations = graph.publishable(checked)
+    relations = graph.publishable(stored(checked, "checked"))
     empty = relations.limit(0)
     published = tables.upsert(empty, relations, schemas.KEYS["relations"], F.col("predicate"))
     return entities.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.col("name").alias("value")).unionByName(
