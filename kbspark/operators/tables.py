@@ -127,9 +127,14 @@ def library_status(manifests: DataFrame, embeddings: DataFrame, jobs: DataFrame)
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str, fmt: str = "json") -> None:
-    """Write artifacts below ``path``, replacing only the partitions present in ``df``."""
+    """Write artifacts below ``path``, replacing only the partitions present in ``df``.
+
+    Rows are rebalanced by the partition columns: small partitions share a task and become one
+    file each, and a partition with much of the data is split over several tasks.
+    """
     (
-        df.write.format(fmt)
+        df.hint("rebalance", *by)
+        .write.format(fmt)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .mode("overwrite")

@@ -191,7 +191,7 @@ def expiry_stream(items: DataFrame) -> DataFrame:
         number = int(folder.rsplit("=", 1)[1])
         rows = batch.where("leave_ms IS NOT NULL")
         filed = rows.withColumn("leave_day", F.floor(F.col("leave_ms") / DAY_MS)).drop("ts_ms")
-        filed.write.mode("overwrite").partitionBy("leave_day").parquet(f"{base}/waiting/batch={number}")
+        filed.hint("rebalance", "leave_day").write.mode("overwrite").partitionBy("leave_day").parquet(f"{base}/waiting/batch={number}")
         rows.agg(F.max("ts_ms").alias("clock")).write.mode("overwrite").parquet(f"{base}/clock/batch={number}")
         clocks = spark.read.schema("clock long, batch int").parquet(f"{base}/clock").where(F.col("batch") <= number)
         # One row: the clock before and after this batch.

@@ -58,14 +58,14 @@ def test_recall_expiry_kind_and_scope(spark):
     items = memory.write_batch(
         raw(
             spark,
-            dict(memory_id="live", text="Project Aurora launch checklist", user_id="a"),
-            dict(memory_id="gone", text="Aurora temporary note", expires_at=NOW - timedelta(days=1)),
-            dict(memory_id="other", text="Aurora for another", user_id="b", memory_kind="procedural"),
+            dict(memory_id="live", text="Project Harbor launch checklist", user_id="a"),
+            dict(memory_id="gone", text="Harbor temporary note", expires_at=NOW - timedelta(days=1)),
+            dict(memory_id="other", text="Harbor for another", user_id="b", memory_kind="procedural"),
         )
     )
     asked = queries(
-        spark, dict(query_id="1", query="aurora"), dict(query_id="2", query="aurora", user_id="a"),
-        dict(query_id="3", query="AURORA", want_kind="procedural"), dict(query_id="4", query="zzz"),
+        spark, dict(query_id="1", query="harbor"), dict(query_id="2", query="harbor", user_id="a"),
+        dict(query_id="3", query="HARBOR", want_kind="procedural"), dict(query_id="4", query="zzz"),
     )
     got = {}
     for r in memory.recall(asked, items, as_of()).collect():
@@ -125,7 +125,7 @@ def test_ordered_helpers_match_a_plain_order(spark):
 
 
 def feedback_case(spark, history, **settings):
-    asked = spark.createDataFrame([(1, "aurora roadmap timeline", "u", None, None)], "question_id long, query string, user_id string, project_id string, session_id string")
+    asked = spark.createDataFrame([(1, "harbor roadmap timeline", "u", None, None)], "question_id long, query string, user_id string, project_id string, session_id string")
     rows = spark.createDataFrame([(1, "good", "s", 0.5, 0.5), (1, "bad", "s", 0.5, 0.5)], "question_id long, doc_id string, segment_id string, score double, final_score double")
     store = spark.createDataFrame(
         history,
@@ -135,7 +135,7 @@ def feedback_case(spark, history, **settings):
     return {r["doc_id"]: r for r in feedback.rerank(rows, asked, store, as_of(), **settings).collect()}
 
 
-TOKENS = ["aurora", "roadmap", "timeline"]
+TOKENS = ["harbor", "roadmap", "timeline"]
 SIGNALS = [("good", "s", "cited"), ("bad", "s", "missed")]
 
 

@@ -70,10 +70,10 @@ def test_pack_evidence_levels(spark):
 
 
 def test_placeholder_when_nothing_is_found(spark):
-    asked = spark.createDataFrame([("q1", "no such words"), ("q2", "aurora road")], "question_id string, query string")
+    asked = spark.createDataFrame([("q1", "no such words"), ("q2", "harbor road")], "question_id string, query string")
     none = F.lit(None).cast("string")
     asked = asked.select("*", F.lit(None).cast("array<double>").alias("embedding"), none.alias("session_id"))
-    segments = spark.createDataFrame([("d", "s", "the aurora road map")], "doc_id string, segment_id string, text string")
+    segments = spark.createDataFrame([("d", "s", "the harbor road map")], "doc_id string, segment_id string, text string")
     got = {r["question_id"]: r for r in retrieval.retrieve(asked, F.lit("2024-01-31").cast("timestamp_ntz"), segments=segments).collect()}
     assert got["q1"]["doc_id"] == "N/A" and got["q1"]["text_snippet"] == "no such words"
     assert got["q2"]["doc_id"] == "d" and got["q2"]["score"] == pytest.approx(0.18 + 0.52 + 0.30)
