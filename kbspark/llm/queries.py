@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat
+from kbspark.llm import chat, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ARC archives, converted to WARC archives and read back."""
+    rows = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op9_warc_archive": op9_warc_archive,
 }
 
 ORACLE: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
+    "op9_warc_archive": warc.OP9_SQL,
 }
