@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, warc
+from kbspark.llm import chat, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each document encoded as a whole."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as ARC archives, converted to WARC archives and read back."""
     rows = warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -33,6 +38,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op5_token_counts": op5_token_counts,
     "op9_warc_archive": op9_warc_archive,
 }
 
