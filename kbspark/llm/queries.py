@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, pieces, token_counts, warc
+from kbspark.llm import chat, pieces, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and the component of their near-duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded as a whole."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_pieces": op3_pieces,
+    "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op9_warc_archive": op9_warc_archive,
 }
