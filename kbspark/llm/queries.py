@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, pieces, simhash, token_counts, warc
+from kbspark.llm import chat, line_quality, pieces, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their base counts and the verdict by line frequency."""
+    return line_quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as ARC archives, converted to WARC archives and read back."""
     rows = warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -57,10 +62,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op8_line_quality": op8_line_quality,
     "op9_warc_archive": op9_warc_archive,
 }
 
 ORACLE: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
+    "op8_line_quality": line_quality.OP8_SQL,
     "op9_warc_archive": warc.OP9_SQL,
 }
