@@ -30,7 +30,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+# Words kept between batches and the longest of them; words of more bytes than LONG_WORD are
+# searched one by one; characters encoded together.
+CACHE_WORDS, CACHE_CHARS, LONG_WORD, TOGETHER = 300_000, 48, 256, 2_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 WORD = re.compile(" +[^ ]*|[^ ]+")
 # Bytes of a character by its first byte.
@@ -160,6 +162,10 @@ class Codec:
                 self.byte_ids[int(text[3:5], 16)] = i
             self.bytes.append(bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARKER, " ").encode() if kind == NORMAL else b"")
         self.is_byte = np.array([k == BYTE for _, _, k in pieces])
+        self.arrays = tuple(np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.score_array = np.array(scores)
+        self.byte_array = np.array(self.byte_ids, np.int32)
+        self.width = np.array(WIDTH)
         self.cache: dict[str, bytes] = {}
 
     def best_path(self, word: bytes) -> list[int]:
@@ -193,19 +199,103 @@ class Codec:
             n = start
         return out[::-1]
 
-    def word(self, word: str) -> bytes:
-        ids = np.array(self.best_path(word.replace(" ", MARKER).encode()), np.int32).tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = ids
-        return ids
+    def solve(self, words: list[str]) -> list[bytes]:
+        """``best_path`` of many words at once, as packed ids: the trie is walked from every
+        character of all words together, and the best paths grow by one byte per step."""
+        coded = [w.replace(" ", MARKER).encode() for w in words]
+        short = [i for i, w in enumerate(coded) if len(w) <= LONG_WORD]
+        out = [b""] * len(words)
+        for i, w in enumerate(coded):
+            if len(w) > LONG_WORD:
+                out[i] = np.array(self.best_path(w), np.int32).tobytes()
+        if not short:
+            return out
+        buf = np.frombuffer(b"".join(coded[i] for i in short), np.uint8)
+        size = np.array([len(coded[i]) for i in short])
+        word_end = np.cumsum(size)
+        own = np.repeat(np.arange(len(short)), size)
+        base, check, value = self.arrays
+        # All pieces that start at some character: where, how long, which.
+        start = np.flatnonzero((buf & 0xC0) != 0x80)
+        width = self.width[buf]
+        whole = np.zeros(len(buf), bool)
+        found, node, at, depth = [], np.zeros(len(start), np.int32), start, 0
+        while len(at):
+            inside = at + depth < word_end[own[at]]
+            at, node = at[inside], node[inside]
+            child = base[node] + buf[at + depth]
+            known = check[child] == node
+            at, node, depth = at[known], child[known], depth + 1
+            piece = value[node]
+            ends = piece >= 0
+            found.append((at[ends], np.full(int(ends.sum()), depth), piece[ends]))
+            whole[at[ends & (width[at] == depth)]] = True
+        alone = start[~whole[start]]
+        found.append((alone, width[alone], np.full(len(alone), -1, np.int32)))
+        first, length, piece = (np.concatenate(x) for x in zip(*found))
+        score = np.where(piece >= 0, self.score_array[piece], self.unknown)
+        # A word of n bytes has n + 1 places; pieces are taken by the place they reach.
+        source = first + own[first]
+        target = source + length
+        step = first + length - (word_end - size)[own[first]]
+        # Pieces were found shortest first, so those of a target come latest start first.
+        order = np.argsort(step.astype(np.int16), kind="stable")
+        source, target, score, piece = source[order], target[order], score[order], piece[order]
+        step, length = step[order], length[order]
+        places = len(buf) + len(short)
+        best, back, last = np.full(places, -np.inf), np.zeros(places, np.int64), np.zeros(places, np.int32)
+        roots = word_end - size + np.arange(len(short))
+        best[roots] = 0.0
+        # Of one step and length each place is reached once; among equals the earliest start wins.
+        cuts = (np.flatnonzero((np.diff(step) != 0) | (np.diff(length) != 0)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(step)]):
+            to, new = target[lo:hi], best[source[lo:hi]] + score[lo:hi]
+            top = new >= best[to]
+            to = to[top]
+            best[to], back[to], last[to] = new[top], source[lo:hi][top], piece[lo:hi][top]
+        used = np.zeros(places, bool)
+        here = roots + size
+        while len(here):
+            used[here] = True
+            here = back[here]
+            here = here[best[here] != 0.0]
+        path = np.flatnonzero(used)
+        ids, word = last[path], np.searchsorted(roots, path, "right") - 1
+        # An unknown character becomes as many byte pieces as it has bytes.
+        many = np.where(ids < 0, path - back[path], 1)
+        ends = np.cumsum(many)
+        wide = np.repeat(ids, many)
+        lost = np.flatnonzero(wide < 0)
+        of = np.repeat(np.arange(len(path)), many)[lost]
+        wide[lost] = self.byte_array[buf[path[of] - word[of] - (ends[of] - lost)]]
+        bounds = [0, *(np.cumsum(np.bincount(word, many, minlength=len(short))).astype(np.int64) * 4).tolist()]
+        packed = wide.astype(np.int32).tobytes()
+        for i, begin, end in zip(short, bounds, bounds[1:]):
+            out[i] = packed[begin:end]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Words that are not in the cache are solved together."""
+        literal = np.array([self.byte_ids[b] for b in MARKER.encode()], np.int32).tobytes()
+        words = [[WORD.findall(part) for part in (" " + t).split(MARKER)] for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        cache = self.cache
+        new = list({w for parts in words for part in parts for w in part if w not in cache})
+        fresh = {}
+        for at in range(0, len(new), 1 << 15):
+            some = new[at : at + (1 << 15)]
+            fresh.update(zip(some, self.solve(some)))
+        cache.update(fresh)
+        get = cache.__getitem__
+        out = [np.frombuffer(literal.join([b"".join(map(get, part)) for part in parts]), np.int32) for parts in words]
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                del cache[w]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        literal = np.array([self.byte_ids[b] for b in MARKER.encode()], np.int32).tobytes()
-        get, word = self.cache.get, self.word
-        parts = [b"".join([get(w) or word(w) for w in WORD.findall(part)]) for part in (" " + text).split(MARKER)]
-        return np.frombuffer(literal.join(parts), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes
@@ -240,11 +330,18 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str = MOD
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         own = codec(data, model)
-        rows = [None if t is None else own.encode(t) for t in texts.to_pylist()]
-        ends = np.cumsum([0] + [0 if r is None else len(r) for r in rows]).astype(np.int32)
-        flat = np.concatenate([np.empty(0, np.int32), *(r for r in rows if r is not None)])
-        mask = pa.array([r is None for r in rows], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=mask)
+        rows, group, held = [], [], 0
+        values = texts.to_pylist()
+        for i, t in enumerate(values):
+            group.append(t or "")
+            held += len(t or "")
+            if held >= TOGETHER or i == len(values) - 1:
+                rows += own.encode_all(group)
+                group, held = [], 0
+        rows = [r if t is not None else r[:0] for r, t in zip(rows, values)]
+        ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
+        flat = np.concatenate([np.empty(0, np.int32), *rows])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=texts.is_null())
 
     return df.withColumn(out, run(F.col(text)))
 
@@ -256,7 +353,9 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = M
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         own = codec(data, model)
-        return pa.array([None if r is None else own.decode(r) for r in column.to_pylist()], pa.string())
+        ends, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
+        rows = (None if null else own.decode(flat[a:b].tolist()) for null, a, b in zip(column.is_null().to_pylist(), ends, ends[1:]))
+        return pa.array(rows, pa.string())
 
     return df.withColumn(out, run(F.col(ids)))
 

@@ -11,6 +11,8 @@ from kbspark.llm import chat, line_quality, pieces, simhash, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Texts differ much in length: Python is given few bytes at a time, not a number of rows.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
