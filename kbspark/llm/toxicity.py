@@ -2,7 +2,7 @@
 
 A text is cut into windows of ``WINDOW`` words, and each window is compressed with a dictionary
 of toxic and one of ordinary text. Both begin with the same part, trained by zstandard on windows
-of both classes, so that common words cost the same in either. The other part is trained on one
+of ordinary text, so that common words cost the same in either. The other part is trained on one
 class alone: its words with significantly more distinct contexts there than in the other class
 (log-likelihood ratio; contexts, so that copies of a document count once), the strongest last,
 where they are cheapest to refer to. What a window saves with the toxic dictionary is compared
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, LEVEL = 5, 19
-SHARED_BYTES, CLASS_BYTES = 8192, 1024
+SHARED_BYTES, CLASS_BYTES = 32_768, 1024
 DICTIONARY_DOCS, CALIBRATION_DOCS, FIT_CHARS, FIT_WINDOWS = 2000, 4000, 20_000, 60_000
 LEAST_RATIO = 25.0
 THRESHOLDS = (1, 2, 3, 4)
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     prior = own.agg(F.avg("y")).first()[0] or 0.0
     if not of[0] or not of[1]:
         return Model(prior)
-    pool = [w for y in (0, 1) for t in of[y] for w in windows(t, 8)]
+    pool = [w for t in of[0] for w in windows(t, 8)]
     random.Random(0).shuffle(pool)
     shared = shared_part(pool[:FIT_WINDOWS])
     seen = {y: contexts(of[y]) for y in (0, 1)}
