@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, line_quality, pieces, simhash, token_counts, toxicity, warc
+from kbspark.llm import chat, decontaminate, line_quality, pieces, simhash, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all windows of the benchmark."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded to piece ids and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_decontaminate": op2_decontaminate,
     "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op8_line_quality": line_quality.OP8_SQL,
     "op9_warc_archive": warc.OP9_SQL,
 }
