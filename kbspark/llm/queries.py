@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, decontaminate, line_quality, pieces, simhash, token_counts, toxicity, warc
+from kbspark.llm import chat, context_tree, decontaminate, line_quality, pieces, simhash, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the trees and the word counts of the training part."""
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their base counts and the verdict by line frequency."""
     return line_quality.judge(table(spark, sf_dir, "documents"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_context_tree": op6_context_tree,
     "op8_line_quality": op8_line_quality,
     "op9_warc_archive": op9_warc_archive,
     "op10_toxicity": op10_toxicity,
