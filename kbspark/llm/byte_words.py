@@ -84,5 +84,6 @@ def slices(column: pa.Array, kind: np.ndarray = IN_WORD) -> Iterator[tuple[int,
         own = np.flatnonzero(full)
         words = Words(data[at[a] : at[b]], first[own], last[own], kind)
         words.text = own[words.text] if len(own) else words.text
+        words.first = first  # of every text, empty ones too
         yield a, b, words
         a = b

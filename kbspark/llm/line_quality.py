@@ -36,11 +36,11 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 
 MEASURES = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
-    ("n_repeat_words", pa.int64()), ("content", pa.int64()), ("lines", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))),
+    ("n_repeat_words", pa.int64()), ("lines", pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32())]))),
 ]
 MEASURE_TYPE = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
-    "content:bigint,lines:array<struct<h:bigint,w:int>>>"
+    "lines:array<struct<h:bigint,w:int>>>"
 )
 
 
@@ -70,8 +70,8 @@ def line_key(line: bytes) -> int:
 
 
 def measure(text: str | None) -> dict:
-    """The base counts of a text, a hash of it, and hash and word count of its distinct lines
-    with a word, each with the words of all its occurrences."""
+    """The base counts of a text, and hash and word count of its distinct lines with a word, each
+    with the words of all its occurrences."""
     data = (text or "").encode()
     words = [w.decode() for w in data.split()]
     seen: set[bytes] = set()
@@ -87,21 +87,22 @@ def measure(text: str | None) -> dict:
         lines[key] = lines.get(key, 0) + len(own)
     return {
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(SYMBOL.findall(text or "")),
-        "n_dup_lines": repeated, "n_repeat_words": repeated_words(words), "content": xxh64_intdigest(data, 1) - (1 << 63),
+        "n_dup_lines": repeated, "n_repeat_words": repeated_words(words),
         "lines": [{"h": h, "w": w} for h, w in lines.items()],
     }
 
 
 def judge(df: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST_LIMIT, depleted: float = DEPLETED) -> DataFrame:
     """One row per row of ``df``: its id, the base counts, ``base_failed``, ``n_removed_words``
-    (on lines above the limit) and ``kept``."""
+    (on lines above the limit), ``kept``, and ``content``, ``xxhash64`` of the text, by which rows
+    of one id can be told apart."""
 
     @F.arrow_udf(MEASURE_TYPE)
     def measures(texts: pa.Array) -> pa.Array:
         return pa.array([measure(t) for t in texts.to_pylist()], pa.struct(MEASURES))
 
-    rows = df.select(F.col(doc).alias("doc_id"), F.col(host).alias("host"), measures(F.col(text)).alias("m"))
-    rows = stored(rows.select("doc_id", "host", "m.*"), "quality-measures")
+    rows = df.select(F.col(doc).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(text).alias("content"), measures(F.col(text)).alias("m"))
+    rows = stored(rows.select("doc_id", "host", "content", "m.*"), "quality-measures")
     # A document of a host, once: its copies have the same content.
     held = rows.select("host", "content", "doc_id", F.explode("lines").alias("l")).select("host", "content", "doc_id", "l.h")
     once = held.groupBy("host", "h", "content").agg(F.min("doc_id").alias("first"))
@@ -114,11 +115,11 @@ def judge(df: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "s
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line")))
     hit = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     lost = hit.groupBy(F.col("uid").alias("row")).agg(F.sum("w").alias("n_removed_words"))
-    out = uid.drop("lines", "content").join(lost, F.col("uid") == F.col("row"), "left").na.fill(0, ["n_removed_words"])
+    out = uid.drop("lines").join(lost, F.col("uid") == F.col("row"), "left").na.fill(0, ["n_removed_words"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= depleted * F.col("n_words")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "content")
 
 
 OP8_SQL = r"""

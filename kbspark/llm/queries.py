@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, context_tree, decontaminate, line_quality, pieces, simhash, token_counts, toxicity, warc
+from kbspark.llm import chat, context_tree, decontaminate, line_dedup, line_quality, pieces, simhash, token_counts, toxicity, warc
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Texts differ much in length: Python is given few bytes at a time, not a number of rows.
+def small_batches(spark: SparkSession) -> None:
+    """Texts differ much in length: Python is given few bytes at a time, not a number of rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,9 +62,16 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one."""
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    return cut.select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_lines_dropped", "n_lines_near", kept)
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their base counts and the verdict by line frequency."""
-    return line_quality.judge(table(spark, sf_dir, "documents"))
+    return line_quality.judge(table(spark, sf_dir, "documents")).drop("content")
 
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_context_tree": op6_context_tree,
+    "op7_line_dedup": op7_line_dedup,
     "op8_line_quality": op8_line_quality,
     "op9_warc_archive": op9_warc_archive,
     "op10_toxicity": op10_toxicity,
