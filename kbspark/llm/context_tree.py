@@ -63,7 +63,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[np.repeat(first - begin, size) + np.arange(size.sum())], begin
 
 
-def groups(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def groups(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as bytes, in groups of about ``most``, and the number of the first of each."""
     held, size, at = [], 0, 0
     for i, t in enumerate(texts):
@@ -104,7 +104,7 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, words in slices(column, NOT_SPACE):
             held[WORD].add(words.hash)
         for kind, own in held.items():
-            if len(own.keys) > 1 << 21:
+            if len(own.keys) > 1 << 20:
                 yield from own.rows(kind)
                 held[kind] = Counter()
     for kind, own in held.items():
@@ -230,7 +230,8 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
+# The scorer of the model in use; a worker process serves one model after another.
+_scorer: list = [None, None]
 
 SCORED = "struct<n_tokens:bigint,n_bytes:bigint,score:double,base:double,known:bigint,rare:array<bigint>>"
 
@@ -257,7 +258,9 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     @F.arrow_udf(SCORED)
     def run(texts: pa.Array) -> pa.Array:
         one, stop, known, often = shared.value
-        scorer = _scorers.setdefault(id(shared.value), Scorer(one, stop))
+        if _scorer[0] is not shared.value:
+            _scorer[:] = shared.value, Scorer(one, stop)
+        scorer = _scorer[1]
         size = len(texts)
         scores, n_bytes = np.zeros(size), np.zeros(size, np.int64)
         tokens, base, seen = np.ones(size, np.int64), np.zeros(size), np.zeros(size, np.int64)
