@@ -82,7 +82,7 @@ def half_keys(lines: Lines, own: np.ndarray) -> np.ndarray:
 
 
 LINE = "line:int,n_words:int,h1:bigint,h2:bigint,halves:array<bigint>"
-VARIANTS = "h1 bigint, h2 bigint, kind int, variant bigint, other bigint"
+VARIANTS = "h1 bigint, h2 bigint, doc bigint, line int, kind int, variant bigint, other bigint"
 
 
 def hash_lines(docs: DataFrame) -> DataFrame:
@@ -143,12 +143,12 @@ EXCHANGED, LONGER, SHORTER = 0, 1, 2
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Hashed variants of ``lines(h1, h2, words)``: kind, and a key in two parts."""
+    """Hashed variants of ``lines(h1, h2, doc, line, words)``: kind, and a key in two parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
-            for a, _, words in slices(batch.column(2), NOT_SPACE):
+            names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            for a, _, words in slices(batch.column(4), NOT_SPACE):
                 lines = Lines(words)
                 own = np.repeat(np.arange(len(lines.first)), lines.size)
                 gap = np.arange(len(own))
@@ -170,10 +170,10 @@ def variants(lines: DataFrame) -> DataFrame:
                         c = slice(cut, cut + (1 << 15))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(names[0][at[c]]), pa.array(names[1][at[c]]), pa.array(np.full(len(at[c]), kind, np.int32)),
+                                *(pa.array(x[at[c]]) for x in names), pa.array(np.full(len(at[c]), kind, np.int32)),
                                 pa.array(one[c].view(np.int64)), pa.array(two[c].view(np.int64)),
                             ],
-                            ["h1", "h2", "kind", "variant", "other"],
+                            ["h1", "h2", "doc", "line", "kind", "variant", "other"],
                         )
 
     return lines.mapInArrow(run, VARIANTS)
@@ -202,9 +202,8 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     place = first.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "place")
     lines = text.join(place, (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2"))).select("h1", "h2", "words", "place")
     lines = stored(lines, "lines-text")
-    made = variants(lines.select("h1", "h2", "words"))
-    made = made.join(lines.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "place"), (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2")))
-    made = made.select("h1", "h2", "kind", "variant", "other", "place")
+    made = variants(lines.select("h1", "h2", "place.doc", "place.line", "words"))
+    made = made.select("h1", "h2", "kind", "variant", "other", F.struct("doc", "line").alias("place"))
     mine = F.struct("place", "h1", "h2")
     group = made.groupBy((F.col("kind") != EXCHANGED).alias("moved"), "variant", "other").agg(
         F.min(F.when(F.col("kind") != SHORTER, mine)).alias("long"), F.min(F.when(F.col("kind") == SHORTER, mine)).alias("short"),
