@@ -147,9 +147,12 @@ def default_expiry(kind: Column, created: Column) -> Column:
 
 
 def parse_time(value: Column) -> Column:
-    """Lenient timestamp, null when unreadable; a zone suffix ``Z`` is accepted."""
-    clean = F.regexp_replace(tx.strip(value), "(Z|\\+00:00)$", "")
-    return F.coalesce(clean.try_cast("timestamp_ntz"))
+    """Lenient timestamp in UTC, null when unreadable; a time without a zone is taken as UTC."""
+    clean = tx.strip(value)
+    zoned = clean.rlike(r":\d{2}(?:\.\d+)?\s*(?:Z|[+-]\d{2}:?\d{2})$")
+    # A zoned time is an instant; the session's own zone drops out again.
+    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), clean.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(zoned, instant).otherwise(clean.try_cast("timestamp_ntz"))
 
 
 def days_between(later: Column, earlier: Column) -> Column:

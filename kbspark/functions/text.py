@@ -41,6 +41,11 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def clean_space(text: Column) -> Column:
+    """As ``normalize_space``, but null stays null."""
+    return collapse_space(nfkc(text))
+
+
 def normalize_space(text: Column) -> Column:
     """NFKC, one blank for every run of white space, no blanks at the ends."""
     return collapse_space(nfkc(F.coalesce(text, F.lit(""))))

@@ -22,7 +22,7 @@ def cluster_key(tokens: Column) -> Column:
 def signals(evidence: DataFrame, citations: DataFrame, limit: int = 8) -> DataFrame:
     """Ranked evidence ``(question_id, rank, doc_id, segment_id, retrieval_source)`` marked as
     cited or missed by ``citations(question_id, doc_id, segment_id)``."""
-    ranked = evidence.where((F.col("rank") <= max(1, min(10, limit))) & (F.coalesce("doc_id", F.lit("")) != ""))
+    ranked = evidence.where((F.col("rank") <= limit) & (F.coalesce("doc_id", F.lit("")) != ""))
     keys = ["question_id", "doc_id", "segment_id"]
     cited = citations.select(*keys).distinct().withColumn("_cited", F.lit(True))
     return ranked.join(cited, keys, "left").withColumn(
@@ -33,7 +33,7 @@ def signals(evidence: DataFrame, citations: DataFrame, limit: int = 8) -> DataFr
 def feedback_rows(marked: DataFrame, questions: DataFrame) -> DataFrame:
     """One feedback memory per question ``(question_id, query, answer)`` from its signals.
 
-    A question has ten signals at most, so they meet in one row.
+    A question has as many signals as its evidence has ranks, so they meet in one row.
     """
     per = marked.groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "doc_id", "segment_id", "retrieval_source", "outcome"))).alias("signals"),

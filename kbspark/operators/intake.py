@@ -58,8 +58,11 @@ def settled_path(path: Column) -> Column:
     return ~hidden & ~F.lower(path).rlike(rf"(?:{suffixes})$")
 
 
-def bounded_listing(files: DataFrame, limit: int = 500) -> DataFrame:
-    """The first ``limit`` files of every root by path; ``truncated`` tells that the bound was reached."""
+def bounded_listing(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """All files, or the first ``limit`` of every root by path; ``truncated`` tells that the
+    bound was reached."""
+    if limit is None:
+        return files.withColumn("truncated", F.lit(False))
     window = Window.partitionBy("root").orderBy("path")
     kept = files.withColumn("position", F.row_number().over(window)).where(F.col("position") <= limit)
     full = kept.groupBy("root").agg((F.count(F.lit(1)) >= limit).alias("truncated"))

@@ -31,9 +31,10 @@ def inner_words(piece: Column) -> Column:
 
 
 def like_regex(query: Column) -> Column:
-    """A contains-pattern in which ``%`` and ``_`` of the query act as wildcards."""
+    """A contains-pattern in which ``%`` and ``_`` of the query act as wildcards. They do not
+    cross the character U+0001, which parts the fields of a text."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(query, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    wild = F.replace(F.replace(quoted, F.lit("%"), F.lit(r"\E.*\Q")), F.lit("_"), F.lit(r"\E.\Q"))
+    wild = F.replace(F.replace(quoted, F.lit("%"), F.lit(r"\E[^\x01]*\Q")), F.lit("_"), F.lit(r"\E[^\x01]\Q"))
     return F.concat(F.lit("(?s)"), wild)
 
 
@@ -56,6 +57,7 @@ def contained_pairs(
     text_id: list[str],
     keep: tuple[str, ...] = (),
     wildcards: bool = True,
+    scope: dict[str, str] | None = None,
 ) -> DataFrame:
     """All (query, text) with the query's text inside the other text, ignoring case.
 
@@ -66,15 +68,22 @@ def contained_pairs(
     its wildcards fit. The anchors are written once to the shared folder and counted. Up to a
     bound they are broadcast, and every text is read, looked up and tested in one pass without
     a shuffle. Beyond it only (id, anchor) pairs are shuffled, and texts are joined back to test.
+
+    ``scope`` maps columns of the queries to columns of the texts that must be equal where the
+    query has a value. A query's mask says which it has; a text is filed once under each mask
+    that is in use, with its own values of that mask, so these too are part of the join's key.
     """
-    asked = queries.select(query_id, F.lower("query").alias("_q")).where("_q <> ''")
+    scope = scope or {}
+    mask = reduce(lambda a, b: a + b, [F.when(F.col(q).isNull(), 0).otherwise(1 << i) for i, q in enumerate(scope)], F.lit(0))
+    named = F.to_json(F.array(*[F.col(q).cast("string") for q in scope])) if scope else F.lit("")
+    asked = queries.select(query_id, F.lower("query").alias("_q"), mask.alias("_mask"), named.alias("_scope")).where("_q <> ''")
     wild = F.col("_q").rlike("[%_]") if wildcards else F.lit(False)
     pieces = F.split("_q", "[%_]") if wildcards else F.array("_q")
     longest = F.element_at(
         F.array_sort(F.transform("_p", lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))), -1
     )["p"]
     split = asked.withColumn("_wild", wild).withColumn("_p", pieces).select(
-        query_id, "_q", "_wild", F.flatten(F.transform("_p", inner_words)).alias("_inner"), longest.alias("_long")
+        query_id, "_q", "_wild", "_mask", "_scope", F.flatten(F.transform("_p", inner_words)).alias("_inner"), longest.alias("_long")
     )
     # Tier 0 looks up whole words, tier n runs of n characters, tier -1 the empty anchor.
     tier = F.when(F.size("_inner") > 0, 0)
@@ -85,30 +94,39 @@ def contained_pairs(
     keyed = split.withColumn("_tier", tier.otherwise(-1)).withColumn(
         "_anchor", F.explode(keys.otherwise(F.array(F.lit(""))))
     )
-    chosen = _choose(keyed.select(query_id, "_q", "_wild", "_tier", "_anchor"), query_id)
+    chosen = _choose(keyed.select(query_id, "_q", "_wild", "_mask", "_scope", "_tier", "_anchor"), query_id)
     spark = queries.sparkSession
     path = work_path(spark, "anchors")
     chosen.withColumn("_regex", F.when(F.col("_wild"), like_regex(F.col("_q")))).write.parquet(path)
     anchors = spark.read.parquet(path)
-    tiers = [r[0] for r in anchors.select("_tier").distinct().collect()]  # five at most
+    used = anchors.select("_tier", "_mask").distinct().collect()  # five tiers, a mask per set of fields
+    tiers = {t: sorted(m for u, m in used if u == t) for t, _ in used}
     rows, chars = anchors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_q")), F.lit(0))).first()
     small = rows <= MAX_BROADCAST_ANCHORS and chars <= MAX_BROADCAST_CHARS
 
-    lowered = texts.select(*text_id, *keep, F.lower("text").alias("_text"))
+    fields = list(scope.values())
+    lowered = texts.select(*dict.fromkeys([*text_id, *keep, *fields]), F.lower("text").alias("_text"))
     out = [query_id, *text_id, *keep]
     held_by = {0: whole_words, -1: lambda _: F.array(F.lit(""))}
     match = F.when(F.col("_wild"), F.expr("_text rlike _regex")).otherwise(F.contains(F.col("_text"), F.col("_q")))
     # The outer explode keeps Spark from building the arrays twice; its null rows find no anchor.
     found = []
-    for t in tiers:
+    key = ["_anchor", "_mask", "_scope"]
+    for t, masks in tiers.items():
         of_text = held_by.get(t) or (lambda text, n=t: grams(text, n))
         wanted = anchors.where(F.col("_tier") == t).drop("_tier")
+        own = [
+            F.to_json(F.array(*[F.col(c).cast("string") if m >> i & 1 else F.lit(None).cast("string") for i, c in enumerate(fields)])) if scope else F.lit("")
+            for m in masks
+        ]
+        filed = F.array(*[F.struct(F.lit(m).alias("_mask"), o.alias("_scope")) for m, o in zip(masks, own)])
+        placed = lowered.select("*", F.explode(filed).alias("_place")).select("*", "_place._mask", "_place._scope").drop("_place")
         if small:
-            held = lowered.select("*", F.explode_outer(of_text(F.col("_text"))).alias("_anchor"))
-            found.append(held.join(F.broadcast(wanted), "_anchor").where(match).select(*out))
+            held = placed.select("*", F.explode_outer(of_text(F.col("_text"))).alias("_anchor"))
+            found.append(held.join(F.broadcast(wanted), key).where(match).select(*out))
         else:
-            held = lowered.select(*text_id, F.explode_outer(of_text(F.col("_text"))).alias("_anchor"))
-            hits = held.join(wanted, "_anchor").drop("_anchor")
+            held = placed.select(*text_id, "_mask", "_scope", F.explode_outer(of_text(F.col("_text"))).alias("_anchor"))
+            hits = held.join(wanted, key).drop(*key)
             found.append(hits.join(lowered, text_id).where(match).select(*out))
     if not found:  # no query has any text
         kind = asked.schema[query_id].dataType

@@ -20,7 +20,7 @@ def scope_value(name: str) -> Column:
     top = F.get_json_object("source_refs", f"$.{name}")
     nested = F.get_json_object("source_refs", f"$.scope.{name}")
     given = F.get(F.filter(F.array(top, nested), lambda v: v != ""), F.lit(0))
-    return tx.non_empty(tx.cut(tx.collapse_space(given), 120))
+    return tx.non_empty(tx.cut(tx.clean_space(given), 120))
 
 
 def with_scope(items: DataFrame) -> DataFrame:
@@ -39,16 +39,16 @@ def in_scope(wanted: str, item: str) -> Column:
 
 def write_batch(raw: DataFrame) -> DataFrame:
     """Raw memories to stored items: normalised, routed, scoped, clamped, with an expiry."""
-    text = tx.cut(tx.strip(F.coalesce("text", F.lit(""))), 8000)
+    text = tx.strip(F.coalesce("text", F.lit("")))
     staged = raw.withColumn("memory_type", routing.memory_type(F.col("memory_type"))).withColumn("text", text)
-    staged = staged.withColumn("_norm", tx.cut(tx.collapse_space(F.col("text")), 4000))
+    staged = staged.withColumn("_norm", tx.clean_space(F.col("text")))
     staged = staged.withColumn(
         "_route", routing.route(F.col("_norm"), F.col("memory_type"), F.col("memory_kind"))
     ).withColumn("_slot", routing.slot_and_value(F.col("_norm")))
     clean_list = lambda c: F.array_distinct(
         F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), tx.strip), lambda x: x != "")
     )
-    scope = [tx.non_empty(tx.cut(tx.collapse_space(F.col(n)), 120)).alias(n) for n in SCOPE]
+    scope = [tx.non_empty(tx.cut(tx.clean_space(F.col(n)), 120)).alias(n) for n in SCOPE]
     return staged.select(
         "memory_id",
         "memory_type",
@@ -132,15 +132,6 @@ def searchable(items: DataFrame, source: str) -> DataFrame:
     )
 
 
-def _fits(queries: str, items: str) -> Column:
-    q, m = F.col(f"{queries}.want_type"), F.col(f"{queries}.want_kind")
-    return (
-        (q.isNull() | (q == F.col(f"{items}.memory_type")))
-        & (m.isNull() | (m == F.col(f"{items}.memory_kind")))
-        & in_scope(queries, items)
-    )
-
-
 def recall(
     queries: DataFrame, items: DataFrame, as_of: Column, limit: int = 10, long_term: DataFrame | None = None
 ) -> DataFrame:
@@ -154,9 +145,11 @@ def recall(
     if long_term is not None:
         texts = texts.unionByName(searchable(long_term, "long_term"))
     keep = tuple(c for c in texts.columns if c not in ("source", "memory_id", "text"))
-    pairs = contained_pairs(queries, texts, "query_id", ["source", "memory_id"], keep)
-    q_tokens = queries.withColumn("_qt", tx.tokens(F.col("query")))
-    found = pairs.alias("i").join(q_tokens.alias("q"), "query_id").where(_fits("q", "i"))
+    # Scope, type and kind are part of the match, so no pair of another scope is ever made.
+    scope = {"want_type": "memory_type", "want_kind": "memory_kind", **{n: n for n in SCOPE}}
+    pairs = contained_pairs(queries, texts, "query_id", ["source", "memory_id"], keep, scope=scope)
+    q_tokens = queries.select("query_id", tx.tokens(F.col("query")).alias("_qt"))
+    found = pairs.join(q_tokens, "query_id")
     text = tx.overlap_score(F.col("_qt"), tx.tokens(F.col("body")))
     topics = tx.overlap_score(F.col("_qt"), tx.tokens(F.array_join("topics", " ")))
     entities = tx.overlap_score(F.col("_qt"), tx.tokens(F.array_join("entities", " ")))
@@ -206,10 +199,10 @@ def expired(items: DataFrame, as_of: Column) -> Column:
 
 
 def maintenance(
-    items: DataFrame, as_of: Column, retention_days: int = 30, keep: int = 80, budget: int = 250
+    items: DataFrame, as_of: Column, retention_days: int = 30, keep: int = 80, budget: int | None = 250
 ) -> DataFrame:
     """Ids to delete with their reason: expired, old feedback, feedback beyond the newest
-    ``keep`` per scope; the first ``budget`` by reason and recency."""
+    ``keep`` per scope; the first ``budget`` by reason and recency, all without a budget."""
     slim = items.select("memory_id", "kind", "created_at", "expires_at", "pinned_until", *SCOPE)
     slim = slim.withColumn("_gone", F.coalesce(expired(slim, as_of), F.lit(False)))
     due = slim.where("_gone").select("memory_id", "created_at", F.lit(1).alias("_order"), F.lit("expired").alias("reason"))
@@ -226,13 +219,10 @@ def maintenance(
         .where(F.col("created_at") >= cutoff)
         .select("memory_id", "created_at", F.lit(3).alias("_order"), F.lit("feedback_overflow").alias("reason"))
     )
-    return (
-        due.unionByName(old)
-        .unionByName(over)
-        .orderBy("_order", F.col("created_at").desc(), F.col("memory_id"))
-        .limit(max(10, budget))
-        .select("memory_id", "reason")
-    )
+    doomed = due.unionByName(old).unionByName(over)
+    if budget is not None:
+        doomed = doomed.orderBy("_order", F.col("created_at").desc(), F.col("memory_id")).limit(budget)
+    return doomed.select("memory_id", "reason")
 
 
 def deletion_breakdown(doomed: DataFrame) -> DataFrame:
@@ -282,7 +272,7 @@ def is_todo(text: Column, topics: Column, kind: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(short, r"[\s\-]+", "_"), "^_+|_+$", "")
 
     return (
-        F.lower(tx.cut(tx.collapse_space(text), 280)).startswith("todo:")
+        F.lower(tx.cut(tx.clean_space(text), 280)).startswith("todo:")
         | F.exists(topics, lambda t: token(t, 40) == "todo")
         | token(kind, 80).contains("todo")
     )

@@ -19,6 +19,14 @@ SOURCE_BIAS = {"embedding": 0.28, "memory": 0.24, "keyword": 0.18, "context": 0.
 SOURCE_ORDER = {"embedding": 1, "keyword": 2, "context": 3, "memory": 4}
 
 
+# Filters of the memory search by the columns of a question that give them. A question's own
+# session_id names its running session, whose digest is evidence, not a filter.
+MEMORY_FILTERS = {
+    "want_type": "memory_type", "want_kind": "memory_kind", "user_id": "memory_user_id",
+    "project_id": "memory_project_id", "session_id": "memory_session_id",
+}
+
+
 def candidate_score(source: str, score: Column, lexical: Column) -> Column:
     bounded = F.least(F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)), F.lit(1.5))
     return F.round(SOURCE_BIAS.get(source, 0.15) + 0.52 * bounded + 0.30 * lexical, 6)
@@ -71,11 +79,11 @@ def context_candidates(questions: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def memory_candidates(questions: DataFrame, items: DataFrame, as_of: Column, limit: int) -> DataFrame:
-    """Recalled memories as evidence."""
-    none = F.lit(None).cast("string")
+    """Recalled memories as evidence, within the type, kind and scope a question asks for."""
+    have = set(questions.columns)
     asked = questions.select(
-        F.col("question_id").alias("query_id"), "query", none.alias("want_type"), none.alias("want_kind"),
-        *[none.alias(n) for n in memory.SCOPE],
+        F.col("question_id").alias("query_id"), "query",
+        *[(F.col(c) if c in have else F.lit(None).cast("string")).alias(n) for n, c in MEMORY_FILTERS.items()],
     )
     recalled = memory.recall(asked, items, as_of, limit, memory.long_term_table(items))
     rows = recalled.withColumnRenamed("query_id", "question_id").join(questions.select("question_id", "_qt"), "question_id")
@@ -97,7 +105,8 @@ def retrieve(
 ) -> DataFrame:
     """The best ``limit`` pieces of evidence for every question, over all sources given.
 
-    ``questions(question_id, query, embedding, session_id, scope...)``; ``scopes`` may give the
+    ``questions(question_id, query, embedding, session_id, scope...)``, and if there the columns
+    named in ``MEMORY_FILTERS``, null for no filter; ``scopes`` may give the
     questions with another scope for the feedback lookup. A question without evidence gets one
     placeholder row.
     """

@@ -378,6 +378,12 @@ def merge_gallery(entries: DataFrame, incoming: DataFrame, overwrite: bool) -> D
             new = F.coalesce(side("n", name, fresh, kind), F.create_map().cast(kind))
             merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
             out.append((merged if overwrite else F.when(F.size(old) > 0, old).otherwise(new)).alias(name))
+    # Fields of other names and kinds are kept by the same rule as scalars.
+    listed = {"voiceprint_id", *LIST_FIELDS, *SCALAR_FIELDS, *MAP_FIELDS}
+    for name in [*entries.columns, *(c for c in incoming.columns if c not in known)]:
+        if name not in listed:
+            both = [F.col(f"{p}.{name}") for p, have in (("n", fresh), ("o", known)) if name in have]
+            out.append(F.coalesce(*(both if overwrite else reversed(both))).alias(name))
     return joined.select(*out)
 
 

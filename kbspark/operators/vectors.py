@@ -34,6 +34,14 @@ def _scores(left: list, right: list) -> np.ndarray:
     return np.divide(a @ b.T, norms, out=np.zeros((len(a), len(b))), where=norms > 0)
 
 
+def _tiles(wanted: list, rows: list, values: int = 1 << 21) -> Iterator[tuple[int, np.ndarray]]:
+    """Position of each wanted vector and its scores, at most ``values`` scores at a time."""
+    step = max(1, values // max(1, len(rows)))
+    for at in range(0, len(wanted), step):
+        for i, row in enumerate(_scores(wanted[at : at + step], rows)):
+            yield at + i, row
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the ``k`` best by score, then by id; ties at the edge are weighed by id."""
     if len(scores) > k:
@@ -58,8 +66,8 @@ def top_vectors(
     schema = T.StructType(
         [T.StructField(query_id, q_type), T.StructField(vector_id, v_type), T.StructField("score", T.DoubleType())]
     )
-    queries = queries.select(query_id, embedding)
-    vectors = vectors.select(vector_id, embedding)
+    queries = queries.select(query_id, embedding).where(F.col(embedding).isNotNull())
+    vectors = vectors.select(vector_id, embedding).where(F.col(embedding).isNotNull())
     head = queries.limit(MAX_BROADCAST_QUERIES + 1).collect()
     small = len(head) <= MAX_BROADCAST_QUERIES and sum(len(r[1]) for r in head) <= MAX_BROADCAST_VALUES
     if small:
@@ -81,15 +89,14 @@ def _broadcast_search(head: list, vectors: DataFrame, k: int, schema: T.StructTy
             ids, rows = batch.iloc[:, 0].to_numpy(), batch.iloc[:, 1].tolist()
             if not names or not len(rows):
                 continue
-            scores = _scores(wanted, rows)
-            for i in range(len(names)):
-                pick = _best(scores[i], ids, k)
-                s = np.concatenate([best[i][0], scores[i][pick]])
+            for i, scores in _tiles(wanted, rows):
+                pick = _best(scores, ids, k)
+                s = np.concatenate([best[i][0], scores[pick]])
                 v = np.concatenate([best[i][1], ids[pick]])
                 keep = _best(s, v, k)
                 best[i] = (s[keep], v[keep])
-        if names:
-            sizes = [len(s) for s, _ in best]
+        sizes = [len(s) for s, _ in best]
+        if any(sizes):
             columns = (
                 [name for name, n in zip(names, sizes) for _ in range(n)],
                 np.concatenate([v for _, v in best]),
@@ -102,7 +109,7 @@ def _broadcast_search(head: list, vectors: DataFrame, k: int, schema: T.StructTy
 
 def _block_search(
     queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, query_id: str, vector_id: str,
-    query_block: int = 8192, vector_block: int = 65536,
+    query_block: int = 8192, vector_block: int = 16384,
 ) -> DataFrame:
     q_blocks = max(1, -(-queries.count() // query_block))
     v_blocks = max(1, -(-vectors.count() // vector_block))
@@ -117,12 +124,11 @@ def _block_search(
         if not len(left) or not len(right):
             return pd.DataFrame(columns=schema.names)
         ids, rows, wanted = right.iloc[:, 0].to_numpy(), right.iloc[:, 1].tolist(), left.iloc[:, 1].tolist()
-        scores = _scores(wanted, rows)
-        picks = [_best(row, ids, k) for row in scores]
+        best = [(ids[pick], row[pick]) for _, row in _tiles(wanted, rows) for pick in [_best(row, ids, k)]]
         columns = (
-            [name for name, pick in zip(left.iloc[:, 0], picks) for _ in pick],
-            np.concatenate([ids[pick] for pick in picks]),
-            np.concatenate([row[pick] for row, pick in zip(scores, picks)]),
+            [name for name, (v, _) in zip(left.iloc[:, 0], best) for _ in v],
+            np.concatenate([v for v, _ in best]),
+            np.concatenate([s for _, s in best]),
         )
         return pd.DataFrame(dict(zip(schema.names, columns)))
 

@@ -277,7 +277,8 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All benchmark texts, and one question per event type that only memories can answer."""
+    """All benchmark texts, and two questions per event type that only memories can answer: one
+    over all memories and one over those of a single user."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
@@ -289,14 +290,18 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("session_id_num"),
         none.alias("user_id"),
         F.concat(F.lit("p"), F.col("item_id") % 3).alias("project_id"),
+        none.alias("memory_user_id"),
     )
-    recalled = table(spark, sf_dir, "events").select("event_type").distinct().select(
-        F.concat(F.lit("m-"), "event_type").alias("question_id"),
+    of_user = table(spark, sf_dir, "events").groupBy("event_type").agg(F.concat(F.lit("u"), F.min("user_id")).alias("own"))
+    both = of_user.select("event_type", F.explode(F.array(F.struct(F.lit("m-").alias("p"), none.alias("own")), F.struct(F.lit("n-").alias("p"), "own"))).alias("w"))
+    recalled = both.select(
+        F.concat("w.p", "event_type").alias("question_id"),
         F.concat(F.lit("Review "), "event_type").alias("query"),
         F.lit(None).cast("array<double>").alias("embedding"),
         F.lit(None).cast("long").alias("session_id_num"),
         none.alias("user_id"),
         none.alias("project_id"),
+        F.col("w.own").alias("memory_user_id"),
     )
     return asked.unionByName(recalled)
 

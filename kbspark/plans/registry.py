@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Tables whose rows take real work each: long texts, and events routed as memories.
-SPREAD = ("documents", "pages", "events", "conversations")
-
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -32,10 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. One kept in fewer files than there are cores is spread over
-    them; with more files the scan is parallel by itself and nothing moves."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    """A table of the folder."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

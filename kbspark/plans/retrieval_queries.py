@@ -53,8 +53,9 @@ def vector_topk(spark, sf_dir):
 cte(
     "questions",
     f"""
-    SELECT 'b' || item_id AS question_id, {norm('text')} AS query, item_id AS vec, item_id AS session, 'p' || (item_id % 3) AS project, NULL AS want_user FROM benchmark
+    SELECT 'b' || item_id AS question_id, {norm('text')} AS query, item_id AS vec, item_id AS session, 'p' || (item_id % 3) AS project, NULL::VARCHAR AS want_user FROM benchmark
     UNION ALL SELECT DISTINCT 'm-' || event_type, 'Review ' || event_type, NULL, NULL, NULL, NULL FROM events
+    UNION ALL SELECT 'n-' || event_type, 'Review ' || event_type, NULL, NULL, NULL, 'u' || min(user_id) FROM events GROUP BY event_type
     """,
 )
 cte(

@@ -83,12 +83,12 @@ def debounce_events(spark, sf_dir):
     "stream_buckets",
     """
     WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, count(*)::BIGINT AS events, count(*) FILTER (event_type = 'error')::BIGINT AS errors FROM events GROUP BY 1)
-    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, events, errors FROM b WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, events, errors FROM b WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)
     """,
 )
 def stream_buckets(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counts = streams.to_table(streams.bucket_counts(events), "buckets")
+    counts = streams.to_table(streams.bucket_counts(events, "2 hours"), "buckets")
     return counts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -98,12 +98,12 @@ def stream_buckets(spark, sf_dir):
     WITH f AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 45 MINUTE, true)::INTEGER AS o FROM events),
     s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM f)
     SELECT user_id AS session_id, count(*)::BIGINT AS turns, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, n
-    HAVING max(ts) + INTERVAL 45 MINUTE <= (SELECT max(ts) FROM events)
+    HAVING max(ts) + INTERVAL 45 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)
     """,
 )
 def stream_sessions(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
-    found = streams.to_table(streams.session_counts(events), "sessions")
+    found = streams.to_table(streams.session_counts(events, "2 hours"), "sessions")
     return found.select("session_id", "turns", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 

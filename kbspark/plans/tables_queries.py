@@ -130,7 +130,7 @@ def voice_gallery_scan(spark, sf_dir):
         path,
         "folder",
     )
-    return files.read_voice_gallery(spark, path)
+    return files.read_voice_gallery(spark, path, "*.json")
 
 
 @query(

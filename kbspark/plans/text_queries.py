@@ -9,6 +9,8 @@ from kbspark.functions import text as tx
 from kbspark.operators import chunking, intake
 from kbspark.plans import bindings as b
 from kbspark.plans.registry import query, table
+from kbspark.session import work_path
+from kbspark.sources import files
 from kbspark.plans.sql import WS, norm, overlap, toks, with_ctes
 
 
@@ -19,8 +21,12 @@ from kbspark.plans.sql import WS, norm, overlap, toks, with_ctes
     ),
 )
 def scan_documents(spark, sf_dir):
-    docs = b.source_documents(spark, sf_dir)
-    clean = docs.select(F.col("doc_id").alias("source_id"), tx.normalize_space(F.col("text")).alias("text"))
+    # Every document becomes a text file of its own, and the files are scanned.
+    path = work_path(spark, "documents")
+    b.source_documents(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    clean = files.read_text_documents(spark, path).select(
+        F.url_decode(F.regexp_extract("path", "/doc_id=([^/]+)/", 1)).alias("source_id"), "text"
+    )
     return clean.withColumn("source_version", ids.text_version(F.col("text")))
 
 

@@ -15,17 +15,21 @@ TEXT_SUFFIXES = (".txt", ".md")  # fixed values
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole ``.txt`` and ``.md`` files below ``path``, white space normalised."""
+    """Whole ``.txt`` and ``.md`` files below ``path``, white space normalised.
+
+    Bytes that are no UTF-8 are left out. Other files are passed over by name, not read.
+    """
+    either = lambda s: "".join(f"[{c}{c.upper()}]" for c in s[1:])
     raw = (
-        spark.read.option("wholetext", True)
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
-    suffixes = "|".join(s.replace(".", r"\.") for s in TEXT_SUFFIXES)
-    return raw.where(F.lower("path").rlike(f"(?:{suffixes})$")).select(
-        "path", tx.normalize_space(F.col("value")).alias("text")
+        .option("pathGlobFilter", "*.{" + ",".join(either(s) for s in TEXT_SUFFIXES) + "}")
+        .load(path)
+        .select("path", F.col("content").cast("string").alias("value"))
     )
+    mended = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(mended)
+    return raw.select("path", tx.normalize_space(text).alias("text"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -33,8 +37,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
-def scan_folder(spark: SparkSession, root: str, limit: int = 500) -> DataFrame:
-    """Settled files below ``root`` with their content hash, bounded per first-level folder."""
+def scan_folder(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """Settled files below ``root`` with their content hash; ``limit`` bounds them per
+    first-level folder."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -85,9 +90,11 @@ def parse_notes(notes: DataFrame, command_key: str = "command", auto_key: str =
     )
 
 
-def read_voice_gallery(spark: SparkSession, root: str) -> DataFrame:
-    """Union of all voiceprint files below ``root``; the first row per voiceprint stays."""
-    rows = spark.read.schema(schemas.VOICEPRINTS).option("recursiveFileLookup", True).json(root)
+def read_voice_gallery(spark: SparkSession, root: str, pattern: str = "voiceprints.jsonl") -> DataFrame:
+    """Union of the voiceprint files below ``root`` named by ``pattern``; the first row per
+    voiceprint stays."""
+    found = spark.read.schema(schemas.VOICEPRINTS).option("recursiveFileLookup", True)
+    rows = found.option("pathGlobFilter", pattern).json(root)
     named = rows.where(F.coalesce("voiceprint_id", F.lit("")) != "")
     return first_per_key(named, ["voiceprint_id"], F.col("source_id"), F.col("speaker_local_id"))
 

@@ -117,8 +117,9 @@ def debounce_batch(events: DataFrame, gap_seconds: float = 1.2) -> DataFrame:
     return kept.select("path", F.inline(F.aggregate("_rows", start, fold, lambda acc: acc["kept"])))
 
 
-def bucket_counts(events: DataFrame, minutes: int = 60, late: str = "0 seconds") -> DataFrame:
-    """Events and errors per tumbling window; a window is final once the watermark passes it."""
+def bucket_counts(events: DataFrame, late: str, minutes: int = 60) -> DataFrame:
+    """Events and errors per tumbling window; a window is final once the watermark, ``late``
+    behind the newest event, passes it. Rows that come later still are left out."""
     return (
         events.withWatermark("ts", late)
         .groupBy(F.window("ts", f"{minutes} minutes"))
@@ -127,8 +128,8 @@ def bucket_counts(events: DataFrame, minutes: int = 60, late: str = "0 seconds")
     )
 
 
-def session_counts(events: DataFrame, gap_minutes: int = 45, late: str = "0 seconds") -> DataFrame:
-    """One row per finished session of a key."""
+def session_counts(events: DataFrame, late: str, gap_minutes: int = 45) -> DataFrame:
+    """One row per finished session of a key; ``late`` as in ``bucket_counts``."""
     return (
         events.withWatermark("ts", late)
         .groupBy("session_id", F.session_window("ts", f"{gap_minutes} minutes"))
