@@ -36,7 +36,7 @@ from kbspark.llm.byte_words import LOWER, NOT_SPACE, slices
 from kbspark.session import stored
 
 DEPTH = 5
-SLOTS, BLOB = 23, 16
+SLOTS, BLOB = 24, 16
 FREQUENT = 20
 CACHE = 20
 GRAM, WORD = 0, 1
@@ -128,23 +128,32 @@ HALF = float(np.log(0.5))
 
 def trees(sequences: DataFrame) -> DataFrame:
     """Nodes ``depth, context, prefix, n0, n1, stop`` of all trees from ``sequences(key, n)``;
-    ``stop`` is the posterior share of the node's own estimate."""
+    ``stop`` is the posterior share of the node's own estimate. Nodes that cannot change any
+    prediction, being the only ones below their parent, are left out."""
     bits = sequences.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("byte"), "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     bits = bits.selectExpr("context", "cast(shiftleft(1, k) | shiftright(byte, 8 - k) as int) as prefix", "shiftright(byte, 7 - k) & 1 as bit", "n")
     level = bits.groupBy("context", "prefix").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
-    level = stored(level.withColumn("stop", F.lit(1.0)).withColumn("log_w", estimate(F.col("n0"), F.col("n1"))), f"ctw-{DEPTH}")
-    out = level.withColumn("depth", F.lit(DEPTH))
+    level = level.withColumn("stop", F.lit(1.0)).withColumn("log_w", estimate(F.col("n0"), F.col("n1"))).withColumn("chain", F.lit(True))
+    out = None
     for depth in range(DEPTH - 1, -1, -1):
         cut = F.col("context").bitwiseAND((1 << (8 * depth)) - 1)
-        level = level.groupBy(cut.alias("context"), "prefix").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below"))
+        child = F.struct("context", "n0", "n1", "stop")
+        level = level.groupBy(cut.alias("parent"), "prefix").agg(
+            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below"), F.every("chain").alias("chain"),
+            F.collect_list(child).alias("children"),  # one for each byte before the context at most
+        )
         own = estimate(F.col("n0"), F.col("n1")) + HALF
         level = level.withColumn("own", own).withColumn("other", F.col("below") + HALF)
         top = F.greatest("own", "other")
         level = level.withColumn("log_w", top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("other") - top)))
-        level = level.select("context", "prefix", "n0", "n1", F.exp(F.col("own") - F.col("log_w")).alias("stop"), "log_w")
-        level = stored(level, f"ctw-{depth}")
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out
+        level = level.withColumn("stop", F.exp(F.col("own") - F.col("log_w"))).withColumn("chain", F.col("chain") & (F.size("children") == 1))
+        level = stored(level.select(F.col("parent").alias("context"), "prefix", "n0", "n1", "stop", "log_w", "chain", "children"), f"ctw-{depth}")
+        # Below a chain of single children all estimates are that of its top node: they go.
+        kept = level.filter(~F.col("chain")).select("prefix", F.explode("children").alias("c")).select("c.context", "prefix", "c.n0", "c.n1", "c.stop")
+        kept = kept.withColumn("depth", F.lit(depth + 1))
+        out = kept if out is None else out.unionByName(kept)
+        level = level.drop("children")
+    return out.unionByName(level.select("context", "prefix", "n0", "n1", "stop", F.lit(0).alias("depth")))
 
 
 def slot(depth: int | np.ndarray, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
