@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20  # bytes of text that are worked on together
+SLICE = 1 << 18  # bytes of text that are worked on together
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

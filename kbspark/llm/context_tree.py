@@ -63,7 +63,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[np.repeat(first - begin, size) + np.arange(size.sum())], begin
 
 
-def groups(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def groups(texts: list, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as bytes, in groups of about ``most``, and the number of the first of each."""
     held, size, at = [], 0, 0
     for i, t in enumerate(texts):

@@ -32,7 +32,7 @@ SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
 # Words kept between batches and the longest of them; words of more bytes than LONG_WORD are
 # searched one by one; characters encoded together.
-CACHE_WORDS, CACHE_CHARS, LONG_WORD, TOGETHER = 300_000, 48, 256, 2_000_000
+CACHE_WORDS, CACHE_CHARS, LONG_WORD, TOGETHER = 150_000, 48, 256, 500_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 WORD = re.compile(" +[^ ]*|[^ ]+")
 # Bytes of a character by its first byte.

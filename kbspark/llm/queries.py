@@ -12,7 +12,7 @@ from kbspark.llm import chat, context_tree, decontaminate, line_dedup, line_qual
 
 def small_batches(spark: SparkSession) -> None:
     """Texts differ much in length: Python is given few bytes at a time, not a number of rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
