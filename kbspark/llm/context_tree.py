@@ -9,8 +9,8 @@ depth has in a prediction follows from how well it predicted the training text.
 Training counts all ``DEPTH + 1`` byte sequences of the training texts (lowered A-Z, after ``DEPTH``
 zero bytes, closed by the byte 0xFF, which UTF-8 never has) and grows with them. The trees are
 built level by level, by one aggregation each. For scoring, nodes are filed in a table of
-``2**SLOTS`` places by hash, whose size does not depend on the data; nodes that meet in a place
-share their counts, which is still an estimate of one probability for either bit. Predictions
+``2**SLOTS`` places by hash, whose size does not depend on the data; of nodes that meet in a place
+the one with the most counts stays, and for the others their parent stands. Predictions
 mix all depths that the training text has reached; a text's score is the sum over all its bytes
 and its end. The table is fixed while scoring.
 
@@ -156,49 +156,56 @@ def trees(sequences: DataFrame) -> DataFrame:
     return out.unionByName(level.select("context", "prefix", "n0", "n1", "stop", F.lit(0).alias("depth")))
 
 
-def slot(depth: int | np.ndarray, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """Place of a node in the table."""
+def slot(depth: int | np.ndarray, context: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of a node in the table, and a byte of its hash that tells it from others there."""
     key = (context * np.uint64(8) + np.uint64(depth) if np.isscalar(depth) else context * np.uint64(8) + depth.astype(np.uint64)) * MIX
     key ^= key >> np.uint64(32)
     key = (key + prefix.astype(np.uint64)) * MIX
     key ^= key >> np.uint64(29)
-    return ((key * MIX) >> np.uint64(64 - SLOTS)).astype(np.int64)
+    key *= MIX
+    return (key >> np.uint64(64 - SLOTS)).astype(np.int64), (key >> np.uint64(56 - SLOTS)).astype(np.uint8)
 
 
 def file_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         depth, context, prefix, n0, n1, stop = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        at = slot(depth, context.astype(np.int64).view(np.uint64), prefix)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n0), pa.array(n1), pa.array(stop * (n0 + n1))], ["slot", "n0", "n1", "weight"])
+        at, tag = slot(depth, context.astype(np.int64).view(np.uint64), prefix)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(tag.astype(np.int32)), pa.array(n0), pa.array(n1), pa.array(stop)], ["slot", "tag", "n0", "n1", "stop"])
 
 
 def pack(part: pa.Table) -> pa.Table:
-    """Log odds of a one and share of each place of one blob in half precision; no log odds where
-    no node is."""
+    """Log odds of a one and share of each place of one blob in half precision, and its tag; no
+    log odds where no node is."""
     at = part["slot"].to_numpy() & ((1 << BLOB) - 1)
-    n0, n1, weight = (part[c].to_numpy().astype(float) for c in ("n0", "n1", "weight"))
+    n0, n1 = (part[c].to_numpy().astype(float) for c in ("n0", "n1"))
     one, stop = np.full(1 << BLOB, np.nan, np.float16), np.ones(1 << BLOB, np.float16)
-    one[at], stop[at] = np.log((n1 + 0.5) / (n0 + 0.5)), weight / (n0 + n1)
-    return pa.table({"blob": pa.array([int(part["slot"][0].as_py()) >> BLOB], pa.int64()), "one": [one.tobytes()], "stop": [stop.tobytes()]})
-
-
-def model_table(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The table of fixed size; it comes to the driver in blobs."""
-    filed = nodes.select("depth", "context", "prefix", "n0", "n1", "stop").mapInArrow(file_nodes, "slot bigint, n0 bigint, n1 bigint, weight double")
-    filed = filed.groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weight").alias("weight"))
-    blobs = filed.groupBy(F.shiftright("slot", BLOB)).applyInArrow(pack, "blob bigint, one binary, stop binary")
-    one, stop = np.full(1 << SLOTS, np.nan, np.float16), np.ones(1 << SLOTS, np.float16)
+    one[at], stop[at] = np.log((n1 + 0.5) / (n0 + 0.5)), part["stop"].to_numpy()
+    tag = np.zeros(1 << BLOB, np.uint8)
+    tag[at] = part["tag"].to_numpy()
+    blob = pa.array([int(part["slot"][0].as_py()) >> BLOB], pa.int64())
+    return pa.table({"blob": blob, "one": [one.tobytes()], "stop": [stop.tobytes()], "tag": [tag.tobytes()]})
+
+
+def model_table(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of fixed size; it comes to the driver in blobs. Of the nodes of one place the
+    one with the most counts has it."""
+    filed = nodes.select("depth", "context", "prefix", "n0", "n1", "stop").mapInArrow(file_nodes, "slot bigint, tag int, n0 bigint, n1 bigint, stop double")
+    first = F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "tag", "n0", "n1", "stop")).alias("top")
+    filed = filed.groupBy("slot").agg(first).select("slot", "top.tag", "top.n0", "top.n1", "top.stop")
+    blobs = filed.groupBy(F.shiftright("slot", BLOB)).applyInArrow(pack, "blob bigint, one binary, stop binary, tag binary")
+    one, stop, tag = np.full(1 << SLOTS, np.nan, np.float16), np.ones(1 << SLOTS, np.float16), np.zeros(1 << SLOTS, np.uint8)
     for r in blobs.toLocalIterator():
         here = slice(r["blob"] << BLOB, (r["blob"] + 1) << BLOB)
         one[here], stop[here] = np.frombuffer(r["one"], np.float16), np.frombuffer(r["stop"], np.float16)
-    return one, stop
+        tag[here] = np.frombuffer(r["tag"], np.uint8)
+    return one, stop, tag
 
 
 class Scorer:
     """Log10 probability of the last byte of sequences, with a cache of fixed size."""
 
-    def __init__(self, one: np.ndarray, stop: np.ndarray):
-        self.one, self.stop = one, stop
+    def __init__(self, one: np.ndarray, stop: np.ndarray, tag: np.ndarray):
+        self.one, self.stop, self.tag = one, stop, tag
         self.keys, self.values = np.full(1 << CACHE, ~np.uint64(0)), np.zeros(1 << CACHE)
 
     def predict(self, sequences: np.ndarray) -> np.ndarray:
@@ -209,9 +216,9 @@ class Scorer:
             prefix, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
             p = None
             for d in range(DEPTH, -1, -1):
-                at = slot(d, at_depth[d], prefix)
+                at, tag = slot(d, at_depth[d], prefix)
                 odds = self.one[at].astype(float)
-                seen = odds == odds
+                seen = (odds == odds) & (self.tag[at] == tag)
                 one = 1 / (1 + np.exp(-odds))
                 if p is None:
                     p = one
@@ -257,18 +264,18 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     words = counts.filter(F.col("kind") == WORD)
     n_words, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = n_words + ends, n_kinds + (ends > 0)
-    one, stop = model_table(trees(counts.filter(F.col("kind") == GRAM)))
+    one, stop, tag = model_table(trees(counts.filter(F.col("kind") == GRAM)))
     is_frequent = F.col("n") * (1 << FREQUENT) > total  # fewer than 2**FREQUENT words are
     frequent = words.filter(is_frequent).select("key", "n").toArrow()
     keys, n = frequent["key"].to_numpy(), frequent["n"].to_numpy()
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((one, stop, keys[order], n[order]))  # of bounded size
+    shared = spark.sparkContext.broadcast((one, stop, tag, keys[order], n[order]))  # of bounded size
 
     @F.arrow_udf(SCORED)
     def run(texts: pa.Array) -> pa.Array:
-        one, stop, known, often = shared.value
+        one, stop, tag, known, often = shared.value
         if _scorer[0] is not shared.value:
-            _scorer[:] = shared.value, Scorer(one, stop)
+            _scorer[:] = shared.value, Scorer(one, stop, tag)
         scorer = _scorer[1]
         size = len(texts)
         scores, n_bytes = np.zeros(size), np.zeros(size, np.int64)

@@ -85,7 +85,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
 def test_predictions_of_a_context_add_up_to_one():
     rng = np.random.default_rng(0)
     one = np.where(rng.random(1 << context_tree.SLOTS) < 0.5, rng.normal(0, 2, 1 << context_tree.SLOTS), np.nan).astype(np.float16)
-    scorer = context_tree.Scorer(one, rng.random(1 << context_tree.SLOTS).astype(np.float16))
+    scorer = context_tree.Scorer(one, rng.random(1 << context_tree.SLOTS).astype(np.float16), rng.integers(0, 2, 1 << context_tree.SLOTS).astype(np.uint8))
     for context in (0, 12345, (1 << 39) + 77):
         p = 10 ** scorer.predict(np.uint64(context << 8) | np.arange(256, dtype=np.uint64))
         assert p.sum() == pytest.approx(1)
