@@ -82,6 +82,21 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     assert context_tree.score(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [20, 6])
+def test_no_node_is_lost(spark, monkeypatch, frequent):
+    """Varied text of more nodes than a table of 2**16 places holds, however few sequences all tasks get."""
+    monkeypatch.setattr(context_tree, "SLOTS", 16)
+    monkeypatch.setattr(context_tree, "FREQUENT", frequent)
+    rng = np.random.default_rng(6)
+    parts = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(400)]
+    rows = [(i, " ".join(parts[int(x)] for x in rng.integers(0, 400, 90))) for i in range(40)]
+    counts, stop = brute_model([t for i, t in rows if not held_out(i)], context_tree.DEPTH)
+    assert len(counts) > 1 << 16 and any(held_out(i) for i, _ in rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for r in context_tree.score(df).collect():
+        assert r["score"] == pytest.approx(brute_score(rows[r["doc_id"]][1], counts, stop, context_tree.DEPTH), rel=1e-6)
+
+
 def test_predictions_of_a_context_add_up_to_one():
     rng = np.random.default_rng(0)
     one = np.where(rng.random(1 << context_tree.SLOTS) < 0.5, rng.normal(0, 2, 1 << context_tree.SLOTS), np.nan).astype(np.float16)
