@@ -27,11 +27,11 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by boilerplate lines."""
+    """Documents that pass the base rules and are not depleted, without their boilerplate lines."""
     small_batches(spark)
-    bad = line_quality.judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"), "content")
-    bad = stored(bad.distinct(), "pipeline-gone")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["gone"]) & (F.xxhash64(docs["text"]) == bad["content"]), "left_anti")
+    cut = line_quality.remove_lines(docs)
+    size = F.when(F.col("n_lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", size).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

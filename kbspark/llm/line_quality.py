@@ -92,10 +92,9 @@ def measure(text: str | None) -> dict:
     }
 
 
-def judge(df: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST_LIMIT, depleted: float = DEPLETED) -> DataFrame:
-    """One row per row of ``df``: its id, the base counts, ``base_failed``, ``n_removed_words``
-    (on lines above the limit), ``kept``, and ``content``, ``xxhash64`` of the text, by which rows
-    of one id can be told apart."""
+def verdicts(df: DataFrame, doc: str, text: str, host: str, share: float, least: int, depleted: float) -> DataFrame:
+    """The columns of ``judge``, ``host``, and ``removed``, the hashes of the lines that go, in
+    order; null if none."""
 
     @F.arrow_udf(MEASURE_TYPE)
     def measures(texts: pa.Array) -> pa.Array:
@@ -114,12 +113,48 @@ def judge(df: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "s
     lines = uid.select("uid", "host", "doc_id", F.explode("lines").alias("l")).select("uid", "host", "doc_id", "l.*")
     hit = lines.join(above, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line")))
     hit = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    lost = hit.groupBy(F.col("uid").alias("row")).agg(F.sum("w").alias("n_removed_words"))
+    lost = hit.groupBy(F.col("uid").alias("row")).agg(F.sum("w").alias("n_removed_words"), F.sort_array(F.collect_set("h")).alias("removed"))
     out = uid.drop("lines").join(lost, F.col("uid") == F.col("row"), "left").na.fill(0, ["n_removed_words"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 100 * MAX_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= depleted * F.col("n_words")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "content")
+    return out.select(*JUDGED, "host", "removed")
+
+
+JUDGED = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "content"]
+
+
+def judge(df: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST_LIMIT, depleted: float = DEPLETED) -> DataFrame:
+    """One row per row of ``df``: its id, the base counts, ``base_failed``, ``n_removed_words``
+    (on lines above the limit), ``kept``, and ``content``, ``xxhash64`` of the text, by which rows
+    of one id can be told apart."""
+    return verdicts(df, doc, text, host, share, least, depleted).select(*JUDGED)
+
+
+def remove_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST_LIMIT, depleted: float = DEPLETED) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, with ``text`` cut to the lines that are not above the
+    limit, and ``n_lines_removed``."""
+    found = verdicts(df, doc, text, host, share, least, depleted).filter(~F.col("kept") | F.col("removed").isNotNull())
+    found = found.select(F.col("doc_id").alias("_of_doc"), F.col("content").alias("_of_text"), F.col("host").alias("_of_host"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed"))
+    found = stored(found.distinct(), "quality-found")  # repeated rows have one verdict
+    # Columns are named by their table, whatever columns ``df`` has besides.
+    same = df[doc].eqNullSafe(found["_of_doc"]) & (F.xxhash64(df[text]) == found["_of_text"]) & df[host].eqNullSafe(found["_of_host"])
+    rows = df.join(found, same, "left").filter(F.coalesce(found["_kept"], F.lit(True)))
+
+    @F.arrow_udf("struct<text:string,n:bigint>")
+    def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        out, counts = [], []
+        for t, keys in zip(texts.to_pylist(), removed.to_pylist()):
+            lines = (t or "").split("\n") if keys else []
+            gone = set(keys or ())
+            left = [x for x in lines if line_key(x.encode()) not in gone or not x.encode().split()]
+            out.append("\n".join(left) if keys else t)
+            counts.append(len(lines) - len(left))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["text", "n"])
+
+    done = cut(df[text], found["_removed"])
+    kept = [done["text"].alias(c) if c == text else df[c] for c in df.columns if c != "n_lines_removed"]
+    return rows.select(*kept, done["n"].alias("n_lines_removed"))
 
 
 OP8_SQL = r"""

@@ -225,3 +225,14 @@ def test_quality_of_odd_rows(spark):
     want |= {30 + i: (False, 0, True) for i in range(9)}
     assert len(got) == len(rows) and all((f, n, k) == want[i] for i, f, n, k in got)
     assert line_quality.judge(df.limit(0)).count() == 0
+
+
+def test_lines_above_the_limit_are_cut(spark):
+    own = lambda i: " ".join(f"u{i}x{k}" for k in range(100))
+    rows = [(i, f"Shared  HEAD of site\n\n{own(i)}\nshared head of site", "h") for i in range(8)] + [(20, own(20), None), (20, own(20), None), (21, None, "h"), (22, "short", "h")]
+    df = spark.createDataFrame([(*r, 1, "r") for r in rows], "doc_id bigint, text string, source string, host int, _removed string")
+    got = line_quality.remove_lines(df, share=0.1, least=3)
+    assert got.columns == [*df.columns, "n_lines_removed"]
+    want = [(i, rows[i][1] if i == 0 else "\n" + own(i), 2 if i else 0) for i in range(8)] + [(20, own(20), 0)] * 2
+    assert sorted((r["doc_id"], r["text"], r["n_lines_removed"]) for r in got.collect()) == want
+    assert line_quality.remove_lines(df.limit(0)).count() == 0
