@@ -30,7 +30,8 @@ from xxhash import xxh64_intdigest
 
 from kbspark.session import stored
 
-SHARE, LEAST_LIMIT, DEPLETED = 0.05, 100, 0.5
+SHARE, LEAST_LIMIT, DEPLETED = 0.05, 4, 0.5
+SQL_LIMIT = 100  # in place of LEAST_LIMIT, as OP8_SQL states it
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOL = re.compile(r"[#*$%&|<>]")
 

@@ -70,8 +70,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their base counts and the verdict by line frequency."""
-    return line_quality.judge(table(spark, sf_dir, "documents")).drop("content")
+    """All documents with their base counts and the verdict by line frequency, in the limits of its SQL."""
+    return line_quality.judge(table(spark, sf_dir, "documents"), least=line_quality.SQL_LIMIT).drop("content")
 
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,3 +236,12 @@ def test_lines_above_the_limit_are_cut(spark):
     want = [(i, rows[i][1] if i == 0 else "\n" + own(i), 2 if i else 0) for i in range(8)] + [(20, own(20), 0)] * 2
     assert sorted((r["doc_id"], r["text"], r["n_lines_removed"]) for r in got.collect()) == want
     assert line_quality.remove_lines(df.limit(0)).count() == 0
+
+
+def test_a_small_host_loses_its_footer(spark):
+    """By the limits that the pipeline uses, on a host of some dozens of documents."""
+    own = lambda i: " ".join(f"u{i}x{k}" for k in range(100))
+    rows = [(i, own(i) + ("\nFooter of this host" if i < 30 else "\nseen four times" if i < 34 else ""), "h") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((r["doc_id"], r["text"]) for r in line_quality.remove_lines(df).collect())
+    assert got == [(i, own(i) if 0 < i < 30 else t) for i, t, _ in rows]
