@@ -6,8 +6,9 @@ are joined to the documents without regard to their columns.
 
 Defined results: rows with a null text go in the first stage, as they have no words; a document
 without a word left after line dedup goes there, for all its lines were repeats; of a group of
-near-duplicates the one with the smallest id stays, and rows with an id seen before are copies of
-it; an empty table gives an empty result.
+near-duplicates the one with the smallest id stays (null last, then by the hash of the text); rows
+are copies only if id and text are equal, and each is judged by its own text; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +21,15 @@ from kbspark.llm.queries import small_batches
 from kbspark.session import stored
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for those with an id in ``ids(gone)``."""
-    ids = stored(ids, "pipeline-gone")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``key, text``: rows of one id but different texts have different keys, null ids the last."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("content")).alias("key"), "text")
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` but for those with a key in ``keys(gone)``."""
+    gone = stored(keys.select(F.col("gone.doc_id").alias("gone"), F.col("gone.content").alias("content")).distinct(), "pipeline-gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]) & (F.xxhash64(docs["text"]) == gone["content"]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,19 +52,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     small_batches(spark)
-    groups = simhash.near_duplicates(docs)
-    kept = without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct())
-    # Only rows whose id occurs again have to meet.
-    again = stored(docs.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"), "pipeline-again")
-    same = kept["doc_id"].eqNullSafe(again["again"])
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    groups = simhash.near_duplicates(keyed(docs), doc="key")
+    kept = without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")))
+    # Only rows whose id and text occur again have to meet.
+    again = docs.groupBy(F.col("doc_id").alias("again"), F.xxhash64("text").alias("content")).count().filter("count > 1").select("again", "content")
+    again = stored(again, "pipeline-again")
+    same = kept["doc_id"].eqNullSafe(again["again"]) & (F.xxhash64(kept["text"]) == again["content"])
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     small_batches(spark)
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.filter("contaminated").select(F.col("doc_id").alias("gone")).distinct())
+    found = decontaminate.contamination(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc="key")
+    return without(docs, found.filter("contaminated").select(F.col("doc_id").alias("gone")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

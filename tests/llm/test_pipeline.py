@@ -50,3 +50,14 @@ def test_stages_with_odd_rows(spark, name, stage):
     if name == "near_duplicates":
         assert kept.count(3) == 1 and 4 not in kept
     assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    """Null and repeated ids; one of each id is a near copy of document 0, or holds a window of the benchmark."""
+    own = lambda i: " ".join(f"u{i}x{k}" for k in range(80))
+    leak = next(r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").collect() if len(r["text"].split()) > 12)
+    clean = [(0, own(0)), (5, own(1)), (5, own(2)), (None, own(3)), (None, own(4))]
+    for stage, bad in ((corpus_pipeline.near_duplicates, own(0)), (corpus_pipeline.decontamination, own(9) + " " + leak)):
+        rows = [(*r, "a", "s", 1) for r in [*clean, (5, bad), (None, bad)]]
+        out = stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), SF_DIR)
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(clean, key=str)
