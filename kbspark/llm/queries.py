@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, context_tree, decontaminate, line_dedup, line_quality, pieces, simhash, token_counts, toxicity, warc
+from kbspark.llm import centroids, chat, context_tree, decontaminate, jaccard, line_dedup, line_quality, merkle, pieces, simhash, token_counts, toxicity, warc
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -86,6 +86,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of one manifest, with their proofs, where some texts are tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verify(merkle.manifest(docs, altered={"text": merkle.altered_text(docs["text"], docs["doc_id"])}))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with the nearest of 16 centroids after three rounds."""
+    return centroids.summed(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of those whose shingle sets are alike."""
+    return jaccard.near_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -97,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": op8_line_quality,
     "op9_warc_archive": op9_warc_archive,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroids": op12_centroids,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
@@ -104,4 +123,6 @@ ORACLE: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op8_line_quality": line_quality.OP8_SQL,
     "op9_warc_archive": warc.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_centroids": centroids.OP12_SQL,
 }
