@@ -67,7 +67,7 @@ def matches_any(lower: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def route(text: Column, type_hint: Column, preferred: Column) -> Column:
-    """Struct of kind, reason and confidence for a normalised text."""
+    """Struct of kind, reason and confidence for a normalised text; the reasons and confidences are fixed values."""
 
     def scores(lower: Column) -> Column:
         bonus = lambda patterns: F.when(matches_any(lower, patterns), 2).otherwise(0)
@@ -123,22 +123,29 @@ def slot_and_value(text: Column) -> Column:
     return F.get(F.filter(clean, lambda s: (s["slot"] != "") & (s["value"] != "")), F.lit(0))
 
 
-def explicit_remember(question: Column) -> Column:
-    """Struct (is_command, text, memory_kind) of a spoken "remember" request."""
-    text = tx.cut(tx.collapse_space(question), 2400)
-    is_command = text.rlike(f"(?isU){REMEMBER}")
-    rest = F.regexp_replace(
-        tx.cut(tx.collapse_space(F.regexp_extract(text, f"(?isU){REMEMBER}", 1)), 2000), "^[: -]+", ""
-    )
-    body = F.regexp_extract(rest, f"(?isU){KIND_PREFIX}", 2)
-    has_kind = body != ""
-    return F.struct(
-        is_command.alias("is_command"),
-        F.when(is_command, F.when(has_kind, tx.cut(tx.collapse_space(body), 1800)).otherwise(rest)).alias("text"),
-        F.when(
-            is_command & has_kind, F.lower(F.regexp_extract(rest, f"(?isU){KIND_PREFIX}", 1))
-        ).alias("memory_kind"),
-    )
+REMEMBER_CHARS = (2400, 2000, 1800)  # fixed values: of the question, of what is to be remembered, and after a kind
+
+
+def explicit_remember(question: Column, limits: tuple[int | None, int | None, int | None] = REMEMBER_CHARS) -> Column:
+    """Struct (is_command, text, memory_kind) of a spoken "remember" request; a limit of None cuts nothing."""
+    short = lambda value, limit: value if limit is None else tx.cut(value, limit)
+
+    def parsed(text: Column) -> Column:
+        rest = F.regexp_replace(
+            short(tx.collapse_space(F.regexp_extract(text, f"(?isU){REMEMBER}", 1)), limits[1]), "^[: -]+", ""
+        )
+        is_command = text.rlike(f"(?isU){REMEMBER}")
+        body = F.regexp_extract(rest, f"(?isU){KIND_PREFIX}", 2)
+        has_kind = body != ""
+        return F.struct(
+            is_command.alias("is_command"),
+            F.when(is_command, F.when(has_kind, short(tx.collapse_space(body), limits[2])).otherwise(rest)).alias("text"),
+            F.when(
+                is_command & has_kind, F.lower(F.regexp_extract(rest, f"(?isU){KIND_PREFIX}", 1))
+            ).alias("memory_kind"),
+        )
+
+    return tx.let(short(tx.clean_space(question), limits[0]), parsed)
 
 
 def default_expiry(kind: Column, created: Column) -> Column:

@@ -37,6 +37,13 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(~text.rlike(NFKC_STABLE_ONLY), text)), text)
 
 
+def nfkc_list(values: Column) -> Column:
+    """Compatibility normalisation of the strings of a list, null ones as empty; the mark between them is no
+    character that normalisation makes or changes."""
+    joined = F.array_join(F.transform(values, lambda v: F.replace(F.coalesce(v, F.lit("")), F.lit("\u0001"), F.lit(" "))), "\u0001")
+    return F.when(F.size(values) > 0, F.split(nfkc(joined), "\u0001", -1)).otherwise(F.array().cast("array<string>"))
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 

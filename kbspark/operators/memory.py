@@ -10,22 +10,33 @@ from kbspark.functions import text as tx
 from kbspark.operators.matching import contained_pairs
 from kbspark.operators.model import clamp_float
 from kbspark.operators.ordered import beyond_newest, newest, number_rows
+from kbspark.session import stored
 
 SCOPE = ["user_id", "project_id", "session_id"]
 SUPERSEDE_REASON = "slot_value_conflict"  # fixed value
 
 
-def scope_value(name: str) -> Column:
-    """A scope field read at the top level of the references or else below ``scope``."""
-    top = F.get_json_object("source_refs", f"$.{name}")
-    nested = F.get_json_object("source_refs", f"$.scope.{name}")
-    given = F.get(F.filter(F.array(top, nested), lambda v: v != ""), F.lit(0))
-    return tx.non_empty(tx.cut(tx.clean_space(given), 120))
+def parsed_refs(items: DataFrame) -> DataFrame:
+    """``source_refs`` as a variant: JSON text is parsed once, where the rows are written; text that is no
+    JSON gives null."""
+    if dict(items.dtypes)["source_refs"] == "string":
+        return items.withColumn("source_refs", F.try_parse_json("source_refs"))
+    return items
+
+
+def scope_value(name: str, refs: str = "source_refs") -> Column:
+    """A scope field read at the top level of the references or else below ``scope``.
+
+    Its characters were normalised when it was written, so reading it takes no Python.
+    """
+    top = F.try_variant_get(refs, f"$.{name}", "string")
+    nested = F.try_variant_get(refs, f"$.scope.{name}", "string")
+    return F.get(F.filter(F.transform(F.array(top, nested), tx.collapse_space), lambda v: v != ""), F.lit(0))
 
 
 def with_scope(items: DataFrame) -> DataFrame:
     """Promote the scope fields of ``source_refs`` to columns."""
-    return items.select("*", *[scope_value(n).alias(n) for n in SCOPE])
+    return parsed_refs(items).select("*", *[scope_value(n).alias(n) for n in SCOPE])
 
 
 def in_scope(wanted: str, item: str) -> Column:
@@ -37,8 +48,33 @@ def in_scope(wanted: str, item: str) -> Column:
     return out
 
 
+def _merged_refs(given: Column, known: dict[str, Column], scope: dict[str, Column]) -> Column:
+    """References as JSON text: what the caller gave, filled up with what is ``known`` of the item; a given scope
+    is written on top and below ``scope``, over what the caller had there."""
+    none = F.create_map().cast("map<string,variant>")
+    as_map = lambda v: F.coalesce(v.try_cast("map<string,variant>"), none)
+    refs = as_map(F.try_parse_json(given))
+
+    def of(values: dict[str, Column]) -> Column:
+        pairs = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value.cast("variant"))])
+        return F.map_filter(pairs, lambda _, v: v.isNotNull())
+
+    def over(low: Column, high: Column) -> Column:
+        return F.map_concat(F.map_filter(low, lambda k, _: ~F.array_contains(F.map_keys(high), k)), high)
+
+    own, fields = of(known), of(scope)
+    whole = over(over(own, refs), fields)
+    nested = over(as_map(F.try_element_at(refs, F.lit("scope"))), fields)
+    with_scope = over(whole, F.create_map(F.lit("scope"), F.to_variant_object(nested)))
+    return F.to_json(F.when(F.size(fields) > 0, with_scope).otherwise(whole))
+
+
 def write_batch(raw: DataFrame) -> DataFrame:
-    """Raw memories to stored items: normalised, routed, scoped, clamped, with an expiry."""
+    """Raw memories to stored items: normalised, routed, scoped, clamped, with an expiry.
+
+    ``raw`` may give ``memory_slot`` and ``memory_value``, which go before those found in the text, and
+    ``source_refs``, JSON text that is returned with what is known of the item filled in.
+    """
     text = tx.strip(F.coalesce("text", F.lit("")))
     staged = raw.withColumn("memory_type", routing.memory_type(F.col("memory_type"))).withColumn("text", text)
     staged = staged.withColumn("_norm", tx.clean_space(F.col("text")))
@@ -48,7 +84,27 @@ def write_batch(raw: DataFrame) -> DataFrame:
     clean_list = lambda c: F.array_distinct(
         F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), tx.strip), lambda x: x != "")
     )
-    scope = [tx.non_empty(tx.cut(tx.clean_space(F.col(n)), 120)).alias(n) for n in SCOPE]
+
+    def given(name: str, limit: int, found: Column) -> Column:
+        own = tx.non_empty(tx.cut(tx.clean_space(F.col(name)), limit)) if name in raw.columns else F.lit(None).cast("string")
+        return F.coalesce(own, tx.non_empty(F.substring(found, 1, limit)))
+
+    for name in SCOPE:
+        staged = staged.withColumn(f"_{name}", tx.clean_space(F.col(name)))
+    staged = staged.withColumns(
+        {
+            "_slot_name": given("memory_slot", 64, F.col("_slot.slot")), "_value": given("memory_value", 280, F.col("_slot.value")),
+            "_kind": routing.memory_kind(F.col("memory_kind"), F.col("_route.memory_kind")),
+            **{f"_{n}": tx.non_empty(tx.cut(F.col(f"_{n}"), 120)) for n in SCOPE},
+        }
+    )
+    refs = []
+    if "source_refs" in raw.columns:
+        known = {
+            "memory_kind": F.col("_kind"), "memory_router_reason": F.col("_route.reason"), "memory_router_confidence": F.col("_route.confidence"),
+            "memory_slot": F.col("_slot_name"), "memory_value": F.col("_value"),
+        }
+        refs = [_merged_refs(F.col("source_refs"), known, {n: F.col(f"_{n}") for n in SCOPE}).alias("source_refs")]
     return staged.select(
         "memory_id",
         "memory_type",
@@ -56,65 +112,138 @@ def write_batch(raw: DataFrame) -> DataFrame:
         clean_list("topics").alias("topics"),
         clean_list("entities").alias("entities"),
         "kind",
-        routing.memory_kind(F.col("memory_kind"), F.col("_route.memory_kind")).alias("memory_kind"),
+        F.col("_kind").alias("memory_kind"),
         F.col("_route.reason").alias("router_reason"),
         F.col("_route.confidence").alias("router_confidence"),
-        F.substring("_slot.slot", 1, 64).alias("memory_slot"),
-        F.col("_slot.value").alias("memory_value"),
-        *scope,
+        F.col("_slot_name").alias("memory_slot"),
+        F.col("_value").alias("memory_value"),
+        *[F.col(f"_{n}").alias(n) for n in SCOPE],
         clamp_float(F.col("importance"), 0.5).alias("importance"),
         clamp_float(F.col("confidence"), 0.7).alias("confidence"),
         F.coalesce("access_count", F.lit(0)).cast("long").alias("access_count"),
         "created_at",
         F.coalesce("expires_at", routing.default_expiry(F.col("memory_type"), F.col("created_at"))).alias("expires_at"),
         "pinned_until",
+        *refs,
     )
 
 
-def supersede(items: DataFrame, look_back: int = 60, block: int = 4096) -> DataFrame:
-    """Mark items whose slot a later item of the same scope and kind gave another value.
+SLOT = [*SCOPE, "memory_kind", "memory_slot"]
+
+
+def slot_history(items: DataFrame, block: int = 4096) -> DataFrame:
+    """``memory_id, memory_value, created_at`` of the slotted items with their slot, their ``position`` in its
+    history, ``same`` (position among the items of the same value) and ``run``, the number of the stretch of
+    equal values they are in.
 
-    A new item looks at the ``look_back`` items before it. Items are numbered within (scope,
-    kind, slot); a slot's history is cut into blocks, and each block also receives the few
-    rows next to its edges, so a long history is spread over many tasks.
+    A history is cut into blocks. Changes are counted per block, and each block is told by a table of one
+    row per block how the one before ended and how many changes there were until then.
     """
-    group = [*SCOPE, "memory_kind", "memory_slot"]
     slotted = items.where(F.col("memory_slot").isNotNull() & (F.coalesce("memory_value", F.lit("")) != ""))
-    slim = slotted.select("memory_id", "memory_value", "created_at", *group)
+    slim = slotted.select("memory_id", "memory_value", "created_at", *SLOT)
     for name in SCOPE:
         slim = slim.withColumn(name, F.coalesce(name, F.lit("")))
-    placed = number_rows(slim, group, "created_at", ["memory_id"])
-    home = F.floor((F.col("position") - 1) / block)
-    copies = F.array_distinct(
-        F.array(
-            home,
-            F.floor((F.col("position") - 1 + look_back) / block),
-            F.greatest(F.floor((F.col("position") - 1 - look_back) / block), F.lit(0)),
-        )
+    placed = number_rows(slim, SLOT, "created_at", ["memory_id"])
+    placed = number_rows(placed, [*SLOT, "memory_value"], "created_at", ["memory_id"], "same")
+    cut = placed.withColumn("_block", F.floor((F.col("position") - 1) / block))
+    inside = Window.partitionBy(*SLOT, "_block").orderBy("position")
+    change = F.lag("memory_value").over(inside)
+    cut = cut.withColumn("_change", F.coalesce((change != F.col("memory_value")).cast("long"), F.lit(0)))
+    ends = cut.groupBy(*SLOT, "_block").agg(
+        F.sum("_change").alias("_n"), F.min_by("memory_value", "position").alias("_first"), F.max_by("memory_value", "position").alias("_last")
+    )
+    blocks = Window.partitionBy(*SLOT).orderBy("_block")
+    edge = F.coalesce((F.lag("_last").over(blocks) != F.col("_first")).cast("long"), F.lit(0))
+    ends = ends.withColumn("_edge", edge)
+    until = F.sum(F.col("_n") + F.col("_edge")).over(blocks.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ends = ends.withColumn("_until", until).select(*SLOT, "_block", "_until")
+    within = F.sum("_change").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_within", within).join(ends, [*SLOT, "_block"]).select(
+        "memory_id", "memory_value", "created_at", *SLOT, "position", "same", (F.col("_until") + F.col("_within")).alias("run")
     )
-    spread = placed.withColumn("_home", home).withColumn("_block", F.explode(copies))
-    order = Window.partitionBy(*group, "_block").orderBy("position")
+
+
+def replacements(history: DataFrame) -> DataFrame:
+    """For each item of ``slot_history``, however far apart: the last item that holds another value after it
+    (``superseded_by, superseded_at``), the nearest one before it (``replaced_id, replaced_value``) and after it
+    (``replaced_by, replaced_at, new_value``), and how many there are (``n_supersedes, n_superseded``)."""
     row = F.struct("position", "memory_id", "memory_value", "created_at")
-    later = F.collect_list(row).over(order.rowsBetween(1, look_back))
-    earlier = F.collect_list(row).over(order.rowsBetween(-look_back, -1))
-    own = spread.withColumn("_later", later).withColumn("_earlier", earlier).where("_home = _block")
-    differs = lambda o: o["memory_value"] != F.col("memory_value")
-    own = own.withColumn("_later", F.filter("_later", differs)).withColumn("_earlier", F.filter("_earlier", differs))
-    last = F.try_element_at(F.col("_later"), F.lit(-1))
-    # The newest rows are looked at first, so the trail lists them first.
-    ids = F.transform(F.reverse("_earlier"), lambda o: o["memory_id"])
-    trail = own.select(
-        "memory_id",
-        last["memory_id"].alias("superseded_by"),
-        last["created_at"].alias("superseded_at"),
-        F.when(F.size("_later") > 0, F.lit(SUPERSEDE_REASON)).alias("supersede_reason_code"),
-        F.when(F.size(ids) > 64, F.slice(ids, -64, 64)).otherwise(ids).alias("supersedes"),
-        F.least(F.size("_earlier") + F.size("_later"), F.lit(80)).cast("long").alias("revision_events"),
+    runs = history.groupBy(*SLOT, "run").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    slots = runs.groupBy(*[F.col(c).alias(f"_{c}") for c in SLOT]).agg(F.max("last").alias("newest"))
+    same_slot = [F.col(c) == F.col(f"_{c}") for c in SLOT]
+    # The newest item of another value than the slot's last one supersedes those that hold the last one's.
+    other = runs.join(slots, same_slot).where(F.col("last.memory_value") != F.col("newest.memory_value"))
+    other = other.groupBy(*[F.col(f"_{c}").alias(f"o_{c}") for c in SLOT]).agg(F.max("last").alias("other"))
+    slots = slots.join(other, [F.col(f"_{c}") == F.col(f"o_{c}") for c in SLOT], "left").drop(*[f"o_{c}" for c in SLOT])
+    of_value = history.groupBy(*[F.col(c).alias(f"_{c}") for c in [*SLOT, "memory_value"]]).agg(F.count(F.lit(1)).alias("n_same"))
+    near = _run_neighbours(runs)
+    out = history.join(near, [F.col(c) == F.col(f"_{c}") for c in SLOT] + [F.col("run") == F.col("_run")]).drop(*[f"_{c}" for c in SLOT], "_run")
+    out = out.join(slots, same_slot).drop(*[f"_{c}" for c in SLOT])
+    out = out.join(of_value, [*same_slot, F.col("memory_value") == F.col("_memory_value")]).drop(*[f"_{c}" for c in [*SLOT, "memory_value"]])
+    by = F.when(F.col("memory_value") != F.col("newest.memory_value"), F.col("newest")).when(F.col("other.position") > F.col("position"), F.col("other"))
+    return out.withColumn("_by", by).select(
+        "memory_id", "memory_value", "memory_slot",
+        F.col("_by.memory_id").alias("superseded_by"), F.col("_by.created_at").alias("superseded_at"),
+        F.col("before.memory_id").alias("replaced_id"), F.col("before.memory_value").alias("replaced_value"),
+        F.col("after.memory_id").alias("replaced_by"), F.col("after.created_at").alias("replaced_at"), F.col("after.memory_value").alias("new_value"),
+        "created_at",
+        (F.col("position") - F.col("same")).alias("n_supersedes"),
+        (F.col("newest.position") - F.col("position") - F.col("n_same") + F.col("same")).alias("n_superseded"),
     )
-    joined = items.join(trail, "memory_id", "left")
+
+
+def _run_neighbours(runs: DataFrame) -> DataFrame:
+    """The last row of the run before and the first row of the run after each run, by equality of numbers."""
+    own = runs.select(*[F.col(c).alias(f"_{c}") for c in SLOT], F.col("run").alias("_run"))
+    before = runs.select(*[F.col(c).alias(f"b_{c}") for c in SLOT], (F.col("run") + 1).alias("b_run"), F.col("last").alias("before"))
+    after = runs.select(*[F.col(c).alias(f"a_{c}") for c in SLOT], (F.col("run") - 1).alias("a_run"), F.col("first").alias("after"))
+    keys = [*SLOT, "run"]
+    out = own.join(before, [F.col(f"_{c}") == F.col(f"b_{c}") for c in keys], "left")
+    out = out.join(after, [F.col(f"_{c}") == F.col(f"a_{c}") for c in keys], "left")
+    return out.drop(*[f"{p}_{c}" for p in "ab" for c in keys])
+
+
+def recent_others(history: DataFrame, trail: int, block: int = 4096) -> DataFrame:
+    """``memory_id, supersedes``: the ids of those of the ``trail`` items before each item that hold another value,
+    newest first. Each block also receives the few rows before its edge."""
+    home = F.floor((F.col("position") - 1) / block)
+    copies = F.array_distinct(F.array(home, F.floor((F.col("position") - 1 + trail) / block)))
+    spread = history.withColumn("_home", home).withColumn("_block", F.explode(copies))
+    order = Window.partitionBy(*SLOT, "_block").orderBy("position")
+    earlier = F.collect_list(F.struct("memory_id", "memory_value")).over(order.rowsBetween(-trail, -1))
+    own = spread.withColumn("_earlier", earlier).where("_home = _block")
+    others = F.filter("_earlier", lambda o: o["memory_value"] != F.col("memory_value"))
+    return own.select("memory_id", F.transform(F.reverse(others), lambda o: o["memory_id"]).alias("supersedes"))
+
+
+def supersede(items: DataFrame, trail: int = 60, block: int = 4096) -> DataFrame:
+    """Mark items whose slot a later item of the same scope and kind gave another value.
+
+    Who superseded an item, what it replaced and how often both happened takes in the whole history of
+    the slot; only ``supersedes``, a report of recent ids, is one of the ``trail`` items before.
+    """
+    history = stored(slot_history(items, block), "slot-history")
+    marks = replacements(history).drop("memory_value", "memory_slot", "created_at")
+    reason = F.when(F.col("superseded_by").isNotNull(), F.lit(SUPERSEDE_REASON)).alias("supersede_reason_code")
+    joined = items.join(marks.select("*", reason), "memory_id", "left").join(recent_others(history, trail, block), "memory_id", "left")
     return joined.withColumn("expires_at", F.coalesce("superseded_at", "expires_at"))
 
 
+def revision_events(items: DataFrame, block: int = 4096) -> DataFrame:
+    """One row per revision and side: ``supersedes`` on the item that brought a new value, ``superseded`` on the one
+    whose value it replaced; both with the previous and the new value."""
+    found = replacements(stored(slot_history(items, block), "slot-history"))
+    event = lambda name, at, other, old, new: F.struct(
+        F.lit(name).alias("event"), F.col(at).alias("at"), F.lit(SUPERSEDE_REASON).alias("reason_code"), F.col(other).alias("counterpart_memory_id"),
+        "memory_slot", F.col(old).alias("previous_value"), F.col(new).alias("new_value"),
+    )
+    both = F.array(
+        F.when(F.col("replaced_id").isNotNull(), event("supersedes", "created_at", "replaced_id", "replaced_value", "memory_value")),
+        F.when(F.col("replaced_by").isNotNull(), event("superseded", "replaced_at", "replaced_by", "memory_value", "new_value")),
+    )
+    return found.select("memory_id", F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e")).select("memory_id", "e.*")
+
+
 _POLICY = {"importance": 0.7, "confidence": 0.7, "access_count": 0}  # fixed values of long-term rows
 
 
@@ -183,13 +312,17 @@ def long_term_table(items: DataFrame) -> DataFrame:
 
 
 def touch(items: DataFrame, selected: DataFrame, as_of: Column) -> DataFrame:
-    """Count one access for every item picked by a recall; each item once per run."""
-    hit = selected.select("memory_id").distinct().withColumn("_hit", F.lit(True))
+    """Count one access per query for the items that it recalled from the local ones.
+
+    ``selected(query_id, memory_id)`` is ``recall`` without long-term rows: these take no part in the
+    limit of what is touched, and are not kept with an access count.
+    """
+    hits = selected.groupBy("memory_id").agg(F.count_distinct("query_id").alias("_hits"))
     return (
-        items.join(hit, "memory_id", "left")
-        .withColumn("access_count", F.col("access_count") + F.when(F.col("_hit"), 1).otherwise(0))
-        .withColumn("last_accessed_at", F.when(F.col("_hit"), as_of))
-        .drop("_hit")
+        items.join(hits, "memory_id", "left")
+        .withColumn("access_count", F.col("access_count") + F.coalesce("_hits", F.lit(0)))
+        .withColumn("last_accessed_at", F.when(F.col("_hits").isNotNull(), as_of))
+        .drop("_hits")
     )
 
 
@@ -232,7 +365,8 @@ def deletion_breakdown(doomed: DataFrame) -> DataFrame:
 def statistics(items: DataFrame, as_of: Column, by: list[str]) -> DataFrame:
     """Counts per scope: activity, supersede links, feedback hit rate."""
     one = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    links = F.array_distinct(F.filter(F.coalesce("supersedes", F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    listed = F.array_distinct(F.filter(F.coalesce("supersedes", F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    links = F.coalesce("n_supersedes", F.size(listed)) if "n_supersedes" in items.columns else F.size(listed)
     feedback = F.col("kind") == "retrieval_feedback"
     count = lambda name: F.sum(F.when(feedback, F.coalesce(name, F.lit(0))).otherwise(0))
     with_list = F.when(F.col("signals").isNotNull(), F.size("signals")).otherwise(0)
@@ -241,7 +375,7 @@ def statistics(items: DataFrame, as_of: Column, by: list[str]) -> DataFrame:
     ).otherwise(F.coalesce(f"{o}_count", F.lit(0)))
     rows = items.select(
         *by, "memory_type", "memory_kind", "expires_at", "superseded_by", "kind",
-        F.size(links).alias("_links"), with_list.alias("_signals"),
+        links.alias("_links"), with_list.alias("_signals"),
         outcomes("cited").alias("_cited"), outcomes("missed").alias("_missed"),
     )
     active = F.col("expires_at").isNull() | (F.col("expires_at") > as_of)
@@ -273,6 +407,6 @@ def is_todo(text: Column, topics: Column, kind: Column) -> Column:
 
     return (
         F.lower(tx.cut(tx.clean_space(text), 280)).startswith("todo:")
-        | F.exists(topics, lambda t: token(t, 40) == "todo")
-        | token(kind, 80).contains("todo")
+        | F.exists(tx.nfkc_list(topics), lambda t: token(t, 40) == "todo")
+        | token(tx.nfkc(kind), 80).contains("todo")
     )

@@ -12,6 +12,7 @@ from kbspark.plans import bindings as b
 from kbspark.plans import tables_queries  # noqa: F401  (defines shared tables of the SQL side)
 from kbspark.plans.registry import query, table
 from kbspark.plans.sql import cte, norm, overlap, toks, with_ctes
+from kbspark.session import stored
 
 AS_OF_SQL = "TIMESTAMP '2024-01-31'"
 
@@ -183,8 +184,8 @@ def memory_scope_filter(spark, sf_dir):
     flat = F.to_json(F.struct("user_id", "project_id"))
     nested = F.to_json(F.struct(F.struct("user_id", "project_id").alias("scope")))
     even = F.substring("memory_id", -1, 1).isin("0", "2", "4", "6", "8")
-    stored = items.select("memory_id", F.when(even, flat).otherwise(nested).alias("source_refs"))
-    scoped = memory.with_scope(stored)
+    written = items.select("memory_id", F.when(even, flat).otherwise(nested).alias("source_refs"))
+    scoped = memory.with_scope(written)
     none = F.lit(None).cast("string")
     asked = items.where("project_id = 'p0'").select("user_id", "project_id").distinct().withColumn("session_id", none)
     return (
@@ -244,9 +245,9 @@ def memory_todo(spark, sf_dir):
 def memory_longterm_search(spark, sf_dir):
     items = memory.long_term_table(b.memory_items(spark, sf_dir))
     refs = F.to_json(F.struct("memory_kind", F.struct("project_id", "user_id").alias("scope")))
-    stored = memory.with_scope(items.withColumn("source_refs", refs).select("memory_id", "text", "source_refs"))
-    kind = F.get_json_object("source_refs", "$.memory_kind")
-    return stored.where(
+    published = memory.parsed_refs(items.withColumn("source_refs", refs).select("memory_id", "text", "source_refs"))
+    kind = F.try_variant_get("source_refs", "$.memory_kind", "string")
+    return memory.with_scope(stored(published, "long-term")).where(
         F.col("text").ilike("%prefer%") & (kind == "semantic") & (F.col("project_id") == "p1")
     ).select("memory_id", "text")
 
@@ -255,11 +256,14 @@ cte(
     "superseded",
     """
     SELECT mem.memory_id, last.memory_id AS superseded_by, last.created_at AS superseded_at, older.ids AS supersedes, coalesce(older.n, 0) AS n_old,
-           coalesce(last.n, 0) AS n_new FROM mem
-    LEFT JOIN (SELECT o.memory_id AS id, arg_max(n.memory_id, n.p) AS memory_id, arg_max(n.created_at, n.p) AS created_at, count(*) AS n
-               FROM mem_slots o JOIN mem_slots n ON o.g = n.g AND n.p BETWEEN o.p + 1 AND o.p + 60 AND n.memory_value <> o.memory_value GROUP BY 1) last ON last.id = mem.memory_id
-    LEFT JOIN (SELECT n.memory_id AS id, string_agg(o.memory_id, ',' ORDER BY o.p DESC) AS ids, count(*) AS n
-               FROM mem_slots o JOIN mem_slots n ON o.g = n.g AND n.p BETWEEN o.p + 1 AND o.p + 60 AND n.memory_value <> o.memory_value GROUP BY 1) older ON older.id = mem.memory_id
+           coalesce(last.n, 0) AS n_new, older.near.i AS replaced_id, older.near.v AS replaced_value, last.near.i AS replaced_by, last.near.v AS new_value,
+           last.near.t AS replaced_at FROM mem
+    LEFT JOIN (SELECT o.memory_id AS id, arg_max(n.memory_id, n.p) AS memory_id, arg_max(n.created_at, n.p) AS created_at, count(*) AS n,
+                      arg_min({'i': n.memory_id, 'v': n.memory_value, 't': n.created_at}, n.p) AS near
+               FROM mem_slots o JOIN mem_slots n ON o.g = n.g AND n.p > o.p AND n.memory_value <> o.memory_value GROUP BY 1) last ON last.id = mem.memory_id
+    LEFT JOIN (SELECT n.memory_id AS id, string_agg(o.memory_id, ',' ORDER BY o.p DESC) FILTER (o.p >= n.p - 60) AS ids, count(*) AS n,
+                      arg_max({'i': o.memory_id, 'v': o.memory_value}, o.p) AS near
+               FROM mem_slots o JOIN mem_slots n ON o.g = n.g AND n.p > o.p AND n.memory_value <> o.memory_value GROUP BY 1) older ON older.id = mem.memory_id
     """,
     "mem",
     "mem_slots",
@@ -267,7 +271,7 @@ cte(
 cte(
     "mem_slots",
     """
-    SELECT memory_id, memory_value, created_at, concat_ws('/', user_id, project_id, memory_kind, memory_slot) AS g,
+    SELECT memory_id, memory_value, memory_slot, created_at, concat_ws('/', user_id, project_id, memory_kind, memory_slot) AS g,
            row_number() OVER (PARTITION BY user_id, project_id, memory_kind, memory_slot ORDER BY created_at, memory_id) AS p
     FROM mem WHERE memory_slot IS NOT NULL AND memory_value IS NOT NULL
     """,
@@ -281,22 +285,42 @@ cte(
         """
         SELECT memory_id, superseded_by, strftime(superseded_at, '%Y-%m-%d %H:%M:%S') AS superseded_at,
                CASE WHEN superseded_by IS NOT NULL THEN 'slot_value_conflict' END AS reason_code, coalesce(supersedes, '') AS supersedes,
-               least(n_old + n_new, 80)::BIGINT AS revision_events FROM superseded
+               (n_old + n_new)::BIGINT AS revision_events, replaced_id, replaced_by FROM superseded
         """,
         "superseded",
     ),
 )
 def memory_supersede(spark, sf_dir):
+    zero = F.lit(0).cast("long")
     return memory.supersede(b.stored_memories(spark, sf_dir)).select(
         "memory_id",
         "superseded_by",
         F.date_format("superseded_at", "yyyy-MM-dd HH:mm:ss").alias("superseded_at"),
         F.col("supersede_reason_code").alias("reason_code"),
         F.coalesce(F.array_join("supersedes", ","), F.lit("")).alias("supersedes"),
-        F.coalesce("revision_events", F.lit(0).cast("long")).alias("revision_events"),
+        (F.coalesce("n_supersedes", zero) + F.coalesce("n_superseded", zero)).alias("revision_events"),
+        "replaced_id",
+        "replaced_by",
     )
 
 
+@query(
+    "memory_revisions",
+    with_ctes(
+        """
+        , s AS (SELECT s.*, m.memory_slot, m.memory_value, m.created_at FROM superseded s JOIN mem_slots m USING (memory_id))
+        SELECT memory_id, 'supersedes' AS event, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS at, replaced_id AS counterpart_memory_id, memory_slot,
+               replaced_value AS previous_value, memory_value AS new_value FROM s WHERE replaced_id IS NOT NULL
+        UNION ALL SELECT memory_id, 'superseded', strftime(replaced_at, '%Y-%m-%d %H:%M:%S'), replaced_by, memory_slot, memory_value, new_value FROM s WHERE replaced_by IS NOT NULL
+        """,
+        "superseded",
+    ),
+)
+def memory_revisions(spark, sf_dir):
+    events = memory.revision_events(b.stored_memories(spark, sf_dir))
+    return events.drop("reason_code").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
 _RECENCY = f"(1.0 / (1.0 + greatest(0.0, date_diff('microsecond', created_at, {AS_OF_SQL}) / 86400000000.0) / 14.0))"
 _WEIGHT = "CASE type WHEN 'session' THEN 1.0::DOUBLE WHEN 'long_term' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END"
 
@@ -309,9 +333,15 @@ cte(
 )
 
 
-def recall_ctes(queries: str, name: str, limit: int) -> None:
+def recall_ctes(queries: str, name: str, limit: int, long_term: bool = True) -> None:
     topics = overlap("qt", toks("array_to_string(topics, ' ')"))
     entities = overlap("qt", toks("array_to_string(entities, ' ')"))
+    far = f"""
+            UNION ALL
+            SELECT query_id, memory_id, type, memory_kind, norm, 'long_term',
+              round((0.65::DOUBLE * {overlap('qt', toks('norm'))} + 0.35::DOUBLE * {_RECENCY}) * {_WEIGHT}, 6)
+            FROM (SELECT *, {toks('query')} AS qt FROM {queries}) q JOIN mem ON (q.want_user IS NULL OR q.want_user = mem.user_id)
+              AND contains(lower(norm), lower(query)) WHERE type = 'long_term'"""
     cte(
         name,
         f"""
@@ -324,11 +354,7 @@ def recall_ctes(queries: str, name: str, limit: int) -> None:
             FROM (SELECT *, {toks('query')} AS qt FROM {queries}) q JOIN mem ON (q.want_user IS NULL OR q.want_user = mem.user_id)
               AND (contains(lower(norm), lower(query)) OR contains(lower(topics::VARCHAR), lower(query)) OR contains(lower(entities::VARCHAR), lower(query)))
             WHERE expires_at IS NULL OR expires_at > {AS_OF_SQL}
-            UNION ALL
-            SELECT query_id, memory_id, type, memory_kind, norm, 'long_term',
-              round((0.65::DOUBLE * {overlap('qt', toks('norm'))} + 0.35::DOUBLE * {_RECENCY}) * {_WEIGHT}, 6)
-            FROM (SELECT *, {toks('query')} AS qt FROM {queries}) q JOIN mem ON (q.want_user IS NULL OR q.want_user = mem.user_id)
-              AND contains(lower(norm), lower(query)) WHERE type = 'long_term'))
+            {far if long_term else ''}))
         WHERE rank <= {limit}
         """,
         queries,
@@ -337,6 +363,7 @@ def recall_ctes(queries: str, name: str, limit: int) -> None:
 
 
 recall_ctes("recall_q", "recalled", 10)
+recall_ctes("recall_q", "recalled_local", 10, long_term=False)
 
 
 def _recalled(spark, sf_dir):
@@ -365,17 +392,18 @@ def memory_recall_topk(spark, sf_dir):
     "memory_touch",
     with_ctes(
         f"""
-        , hit AS (SELECT DISTINCT memory_id FROM recalled)
-        SELECT memory_id, (access_count + (hit.memory_id IS NOT NULL)::INTEGER)::BIGINT AS access_count,
+        , hit AS (SELECT memory_id, count(*) AS n FROM recalled_local GROUP BY 1)
+        SELECT memory_id, (access_count + coalesce(hit.n, 0))::BIGINT AS access_count,
                CASE WHEN hit.memory_id IS NOT NULL THEN '2024-01-31 00:00:00' END AS last_accessed_at
         FROM mem LEFT JOIN hit USING (memory_id)
         """,
-        "recalled",
+        "recalled_local",
     ),
 )
 def memory_touch(spark, sf_dir):
-    items, ranked = _recalled(spark, sf_dir)
-    return memory.touch(items, ranked, b.as_of()).select(
+    items = b.stored_memories(spark, sf_dir)
+    recalled = memory.recall(b.recall_queries(spark, sf_dir), items, b.as_of(), limit=10)
+    return memory.touch(items, recalled, b.as_of()).select(
         "memory_id",
         F.col("access_count").cast("long").alias("access_count"),
         F.date_format("last_accessed_at", "yyyy-MM-dd HH:mm:ss").alias("last_accessed_at"),

@@ -73,23 +73,56 @@ def test_recall_expiry_kind_and_scope(spark):
     assert got == {"1": {"live", "other"}, "2": {"live"}, "3": {"other"}}
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_supersede_equals_replay(spark, block):
-    values = ["vim", "helix", "vim", "vim", "emacs", "nano", "helix", "vim", "ed"]
+def editors(spark, values):
     rows = [
-        dict(memory_id=f"m{i}", text=f"My favorite editor is {v}", user_id="u", created_at=NOW - timedelta(hours=50 - i))
+        dict(memory_id=f"m{i}", text=f"My favorite editor is {v}", user_id="u", created_at=NOW - timedelta(hours=9000 - i))
         for i, v in enumerate(values)
     ]
-    items = memory.write_batch(raw(spark, *rows))
-    look_back = 2
-    got = {r["memory_id"]: r for r in memory.supersede(items, look_back, block).collect()}
-    by, trail = {}, {}
+    return memory.write_batch(raw(spark, *rows, dict(memory_id="other", text="My favorite editor is vim", user_id="w"), dict(memory_id="none", text="hello")))
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_supersede_equals_replay(spark, block):
+    values = ["vim", "helix", "vim", "vim", "vim", "vim", "emacs", "nano", "helix", "helix", "vim", "ed", "ed", "ed", "ed"]
+    got = {r["memory_id"]: r for r in memory.supersede(editors(spark, values), 2, block).collect()}
     for i, v in enumerate(values):
-        old = [j for j in range(max(0, i - look_back), i) if values[j] != v]
-        trail[f"m{i}"] = [f"m{j}" for j in reversed(old)]
-        by.update({f"m{j}": f"m{i}" for j in old})
-    assert {m: r["superseded_by"] for m, r in got.items()} == {f"m{i}": by.get(f"m{i}") for i in range(len(values))}
-    assert {m: r["supersedes"] for m, r in got.items()} == trail
+        r, old = got[f"m{i}"], [j for j in range(i) if values[j] != v]
+        new = [j for j in range(i + 1, len(values)) if values[j] != v]
+        name = lambda found, at: f"m{found[at]}" if found else None
+        assert (r["n_supersedes"], r["n_superseded"]) == (len(old), len(new))
+        assert (r["superseded_by"], r["replaced_id"], r["replaced_by"]) == (name(new, -1), name(old, -1), name(new, 0))
+        assert r["supersedes"] == [f"m{j}" for j in reversed(old) if j >= i - 2]
+        assert r["supersede_reason_code"] == ("slot_value_conflict" if new else None)
+    assert got["other"]["superseded_by"] is None and got["none"]["replaced_id"] is None
+
+
+def test_a_long_run_of_one_value_hides_nothing(spark):
+    values = ["vim"] + ["helix"] * 70 + ["vim"] * 5000 + ["ed"]
+    items = editors(spark, values)
+    got = {r["memory_id"]: r for r in memory.supersede(items, block=64).collect()}
+    assert {got[f"m{i}"]["superseded_by"] for i in range(5071)} == {"m5071"}
+    assert got["m61"]["replaced_by"] == got["m1"]["replaced_by"] == "m71" and got["m5070"]["replaced_id"] == "m70"
+    assert (got["m5070"]["n_supersedes"], got["m1"]["n_superseded"]) == (70, 5001)
+    events = {(r["memory_id"], r["event"]): r for r in memory.revision_events(items, block=64).collect()}
+    assert len(events) == 2 * 5072 - 1 - 1
+    r = events["m5070", "supersedes"]
+    assert (r["counterpart_memory_id"], r["previous_value"], r["new_value"], r["memory_slot"]) == ("m70", "helix", "vim", "favorite_editor")
+    r = events["m0", "superseded"]
+    assert (r["counterpart_memory_id"], r["previous_value"], r["new_value"], r["reason_code"]) == ("m1", "vim", "helix", "slot_value_conflict")
+    assert r["at"] == NOW - timedelta(hours=9000 - 1)
+
+
+def test_scope_is_read_from_variants(spark):
+    """A filter on a promoted field, and all rows read whole; the items themselves come out of Python."""
+    items = memory.write_batch(raw(spark, *[dict(memory_id=f"m{i}", text=f"note {i}", user_id=f"u{i % 2}", project_id=" ｐ1 " if i % 3 else None) for i in range(12)]))
+    refs = F.to_json(F.struct("memory_kind", F.struct("project_id", "user_id").alias("scope")))
+    found = memory.with_scope(items.withColumn("source_refs", refs).select("memory_id", "text", "source_refs"))
+    assert dict(found.dtypes)["source_refs"] == "variant"
+    kept = found.where((F.col("project_id") == "p1") & F.col("text").ilike("%note%")).collect()
+    assert {r["memory_id"] for r in kept} == {f"m{i}" for i in range(12) if i % 3} and {r["user_id"] for r in kept} == {"u0", "u1"}
+    odd = [(1, '{"user_id":"a","scope":{"user_id":"b"}}'), (2, '{"user_id":" ","scope":{"user_id":"b"}}'), (3, "no json"), (4, None), (5, '{"user_id":7}'), (6, "[]")]
+    rows = memory.with_scope(spark.createDataFrame(odd, "id int, source_refs string")).orderBy("id").collect()
+    assert [r["user_id"] for r in rows] == ["a", "b", None, None, "7", None]
 
 
 def test_maintenance_and_stats(spark):
