@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions import routing
 from kbspark.functions import text as tx
 from kbspark.operators import feedback, memory
-from kbspark.operators.matching import contained_pairs
+from kbspark.operators.matching import contained_pairs, text_matches
 from kbspark.operators.ordered import newest
 from kbspark.operators.sessions import CONTEXT_DOC
 from kbspark.operators.tables import first_per_key
@@ -27,14 +29,30 @@ MEMORY_FILTERS = {
 }
 
 
+# Filters of the segment search: columns of a question, each null (or an empty list) for no filter.
+SEGMENT_FILTERS = {
+    "topics": "array<string>", "entities": "array<string>", "source_type": "string",
+    "date_from": "timestamp_ntz", "date_to": "timestamp_ntz",
+}
+# What else is known of a piece of evidence; null where its source does not tell.
+EVIDENCE_FIELDS = {
+    "start_ms": "long", "end_ms": "long", "speaker": "string", "source_refs": "string",
+    "memory_type": "string", "memory_kind": "string", "memory_id": "string",
+}
+
+
+def _have(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
+
+
 def candidate_score(source: str, score: Column, lexical: Column) -> Column:
     bounded = F.least(F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)), F.lit(1.5))
     return F.round(SOURCE_BIAS.get(source, 0.15) + 0.52 * bounded + 0.30 * lexical, 6)
 
 
-def _evidence(rows: DataFrame, source: str, score: Column, snippet: str, memory_cols: bool = False) -> DataFrame:
+def _evidence(rows: DataFrame, source: str, score: Column, snippet: str) -> DataFrame:
     lexical = tx.overlap_score(F.col("_qt"), tx.tokens(F.col(snippet)))
-    out = rows.select(
+    return rows.select(
         "question_id",
         "doc_id",
         "segment_id",
@@ -43,9 +61,8 @@ def _evidence(rows: DataFrame, source: str, score: Column, snippet: str, memory_
         F.lit(source).alias("retrieval_source"),
         F.lit(SOURCE_ORDER[source]).alias("_source"),
         candidate_score(source, score, lexical).alias("final_score"),
-        *([F.col("memory_id")] if memory_cols else []),
+        *[_have(rows, n, kind) for n, kind in EVIDENCE_FIELDS.items()],
     )
-    return out
 
 
 def vector_candidates(questions: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
@@ -56,9 +73,65 @@ def vector_candidates(questions: DataFrame, vectors: DataFrame, limit: int) -> D
     return _evidence(rows, "embedding", F.col("score"), "text")
 
 
+def _in_window(created: str, since: str, until: str) -> Column:
+    """A date filter; a segment of unknown date is in no window."""
+    after = F.col(since).isNull() | F.coalesce(F.col(created) >= F.col(since), F.lit(False))
+    return after & (F.col(until).isNull() | F.coalesce(F.col(created) <= F.col(until), F.lit(False)))
+
+
+def _members(topics: Column, entities: Column) -> Column:
+    """The members of both lists, each with the list it is of."""
+    none = F.array().cast("array<string>")
+    marked = lambda kind, values: F.transform(F.coalesce(values, none), lambda v: F.struct(F.lit(kind).alias("list"), v.alias("value")))
+    return F.array_distinct(F.filter(F.concat(marked("t", topics), marked("e", entities)), lambda m: m["value"].isNotNull()))
+
+
+def filtered_pairs(questions: DataFrame, segments: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """All (question, segment) where the segment contains the question's text and passes its filters.
+
+    ``questions(question_id, query)`` with the columns of ``SEGMENT_FILTERS`` under ``want_`` names;
+    ``segments(doc_id, segment_id, text, topics, entities, source_type, created_at)`` and ``keep``.
+
+    A question that asks for topics or entities is looked up by one of them, the one that fewest segments
+    have: the lists of segments by member are joined with that, and all other members, the text and the
+    ranges are tested on the rows found. So a common topic costs nothing where a rarer one is asked for
+    too. Questions without members are looked up by their text, the source type being part of the key.
+    """
+    wanted = questions.withColumn("_wanted", _members(F.col("want_topics"), F.col("want_entities")))
+    by_text = wanted.where(F.size("_wanted") == 0)
+    by_text = by_text.select("question_id", "query", "want_source_type", "want_date_from", "want_date_to")
+    pairs = contained_pairs(by_text, segments, "question_id", ["doc_id", "segment_id"], (*keep, "created_at"), scope={"want_source_type": "source_type"})
+    window = by_text.select("question_id", "want_date_from", "want_date_to")
+    out = ["question_id", "doc_id", "segment_id", *keep]
+    found = pairs.join(window, "question_id").where(_in_window("created_at", "want_date_from", "want_date_to")).select(*out)
+
+    asked = wanted.where((F.size("_wanted") > 0) & (F.col("query") != "")).withColumn("_member", F.explode("_wanted"))
+    held = segments.withColumn("_held", _members(F.col("topics"), F.col("entities"))).withColumn("_member", F.explode("_held"))
+    used = asked.select("_member").distinct()
+    count = held.select("_member").join(used, "_member", "left_semi").groupBy("_member").agg(F.count(F.lit(1)).alias("_n"))
+    rated = asked.join(count, "_member", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = first_per_key(rated, ["question_id"], F.col("_n"), F.col("_member")).where("_n > 0")
+    rarest = rarest.select("question_id", F.lower("query").alias("_q"), "_wanted", "_member", "want_source_type", "want_date_from", "want_date_to")
+    met = held.select("doc_id", "segment_id", *keep, F.lower("text").alias("_text"), "_held", "_member", "source_type", "created_at").join(rarest, "_member")
+    passes = (
+        (F.size(F.array_except("_wanted", "_held")) == 0)
+        & (F.col("want_source_type").isNull() | F.coalesce(F.col("source_type") == F.col("want_source_type"), F.lit(False)))
+        & _in_window("created_at", "want_date_from", "want_date_to")
+        & text_matches(F.col("_text"), F.col("_q"))
+    )
+    return found.unionByName(met.where(passes).select(*out))
+
+
 def keyword_candidates(questions: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
-    """Segments that contain the question's text, best token overlap first."""
-    pairs = contained_pairs(questions, segments, "question_id", ["doc_id", "segment_id"], ("text",))
+    """Segments that contain the question's text and pass its filters, best token overlap first."""
+    keep = ("text", *[n for n in EVIDENCE_FIELDS if n in segments.columns])
+    if any(f"want_{n}" in questions.columns for n in SEGMENT_FILTERS):
+        asked = questions.select("question_id", "query", *[_have(questions, f"want_{n}", kind) for n, kind in SEGMENT_FILTERS.items()])
+        kinds = {"topics": "array<string>", "entities": "array<string>", "source_type": "string", "created_at": "timestamp_ntz"}
+        have = segments.select("doc_id", "segment_id", *keep, *[_have(segments, n, kind) for n, kind in kinds.items()])
+        pairs = filtered_pairs(asked, have, keep)
+    else:
+        pairs = contained_pairs(questions, segments, "question_id", ["doc_id", "segment_id"], keep)
     rows = pairs.join(questions.select("question_id", "_qt"), "question_id")
     rows = rows.withColumn("_lex", tx.overlap_score(F.col("_qt"), tx.tokens(F.col("text"))))
     best = newest(rows, ["question_id"], 2 * limit, F.col("_lex").desc(), F.col("doc_id"), F.col("segment_id"))
@@ -74,6 +147,7 @@ def context_candidates(questions: DataFrame, digests: DataFrame) -> DataFrame:
     rows = rows.where((F.col("_lex") > 0) | hint).select(
         "question_id", "_qt", F.lit(CONTEXT_DOC).alias("doc_id"), F.lit("state").alias("segment_id"),
         F.substring("digest", 1, 1800).alias("text"), score.alias("_score"),
+        F.lit("context").alias("speaker"), F.lit('{"kind":"auto_handoff"}').alias("source_refs"),
     )
     return _evidence(rows, "context", F.col("_score"), "text")
 
@@ -88,7 +162,11 @@ def memory_candidates(questions: DataFrame, items: DataFrame, as_of: Column, lim
     recalled = memory.recall(asked, items, as_of, limit, memory.long_term_table(items))
     rows = recalled.withColumnRenamed("query_id", "question_id").join(questions.select("question_id", "_qt"), "question_id")
     rows = rows.withColumn("doc_id", F.concat(F.lit("memory:"), "memory_id")).withColumn("segment_id", F.lit("memory"))
-    return _evidence(rows, "memory", F.col("recall_score"), "text", memory_cols=True)
+    rows = rows.withColumn("speaker", F.col("memory_type"))
+    if "source_refs" in items.columns:
+        refs = items.select("memory_id", F.to_json("source_refs").alias("source_refs") if dict(items.dtypes)["source_refs"] != "string" else "source_refs")
+        rows = rows.join(refs, "memory_id", "left")
+    return _evidence(rows, "memory", F.col("recall_score"), "text")
 
 
 def retrieve(
@@ -106,9 +184,10 @@ def retrieve(
     """The best ``limit`` pieces of evidence for every question, over all sources given.
 
     ``questions(question_id, query, embedding, session_id, scope...)``, and if there the columns
-    named in ``MEMORY_FILTERS``, null for no filter; ``scopes`` may give the
-    questions with another scope for the feedback lookup. A question without evidence gets one
-    placeholder row.
+    named in ``MEMORY_FILTERS`` and, under ``want_`` names, in ``SEGMENT_FILTERS``, null for no filter;
+    ``segments`` and ``vectors`` may carry the columns of ``EVIDENCE_FIELDS``, which evidence returns, and
+    ``segments`` those that are filtered by. ``scopes`` may give the questions with another scope for the
+    feedback lookup. A question without evidence gets one placeholder row.
     """
     asked = questions.withColumn("_qt", tx.tokens(F.col("query")))
     parts = []
@@ -122,9 +201,7 @@ def retrieve(
         parts.append(memory_candidates(asked, items, as_of, max(1, min(memory_limit, limit))))
     if not parts:
         raise ValueError("at least one evidence source is needed")
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.unionByName(part, allowMissingColumns=True)
+    candidates = reduce(DataFrame.unionByName, parts)
     best = first_per_key(
         candidates, ["question_id", "doc_id", "segment_id"], F.col("final_score").desc(), F.col("_source")
     ).drop("_source")
@@ -143,6 +220,7 @@ def retrieve(
         F.when(blank, F.col("query")).otherwise(F.col("text_snippet")).alias("text_snippet"),
         F.coalesce("final_score", F.lit(0.0)).alias("score"),
         "retrieval_source",
+        *EVIDENCE_FIELDS,
     )
 
 
@@ -193,7 +271,7 @@ def pack_evidence(evidence: DataFrame, columns: list[str], max_chars: int = 1200
             value = F.col(name)
             if dict(evidence.dtypes)[name] == "string":
                 large = any(hint in name.lower() for hint in LARGE_TEXT_KEYS)
-                value = tx.truncate_marked(tx.collapse_space(value), limit if large else min(220, limit))
+                value = tx.truncate_marked(tx.clean_space(value), limit if large else min(220, limit))
             fields.append(value.alias(name))
         return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 

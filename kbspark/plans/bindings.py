@@ -243,27 +243,34 @@ def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.unionByName(shared)
 
 
-def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the assistant's reply, in stored form; a turn cites its own place."""
+def as_turns(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(session_id, turn, question, answer)`` in stored form; a turn cites its own place."""
     from kbspark.operators import sessions
 
-    rows = table(spark, sf_dir, "conversations")
-    asked = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    replies = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     start = F.lit("2024-01-01").cast("timestamp_ntz")
-    return asked.join(replies, ["conv_id", "turn"]).select(
-        F.col("conv_id").alias("session_id"),
-        F.timestamp_add("MINUTE", F.col("conv_id") * 60 + F.col("turn"), start).alias("ts"),
+    return pairs.select(
+        "session_id",
+        F.timestamp_add("MINUTE", F.col("session_id") * 60 + F.col("turn"), start).alias("ts"),
         F.col("turn").alias("turn_no"),
         sessions.turn_text(F.col("question"), F.col("answer")).alias("text"),
         F.array(
             F.struct(
-                F.concat(F.lit("d"), "conv_id").alias("doc_id"), F.concat(F.lit("seg_"), "turn").alias("segment_id")
+                F.concat(F.lit("d"), "session_id").alias("doc_id"), F.concat(F.lit("seg_"), "turn").alias("segment_id")
             )
         ).alias("citations"),
     )
 
 
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the assistant's reply, in stored form."""
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.where("role = 'user'").select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("question"))
+    replies = rows.where("role = 'assistant'").select(
+        F.col("conv_id").alias("session_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    return as_turns(asked.join(replies, ["session_id", "turn"]))
+
+
 def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as turns of one long-running session per user."""
     events = event_key(table(spark, sf_dir, "events"))
@@ -414,3 +421,40 @@ def gallery_with_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("n_name").alias("organizations"),
         text.alias("ebucore"),
     )
+
+
+def dated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents and turns of conversations as one table of segments with what they are filtered by."""
+    none = F.lit(None)
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    written = chunks(spark, sf_dir).select(
+        "doc_id", "segment_id", "text", F.array("lang", "source").alias("topics"), F.array(F.upper("lang")).alias("entities"),
+        F.col("source").alias("source_type"), F.timestamp_add("MINUTE", "doc_num", day).alias("created_at"),
+        none.cast("long").alias("start_ms"), none.cast("long").alias("end_ms"), none.cast("string").alias("speaker"),
+    )
+    spoken = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conv:"), "conv_id").alias("doc_id"), F.concat(F.lit("seg_"), F.col("turn") + 1).alias("segment_id"), "text",
+        F.array(F.lit("talk"), "role").alias("topics"), F.array().cast("array<string>").alias("entities"),
+        F.lit("conversation").alias("source_type"), F.timestamp_add("MINUTE", "conv_id", day).alias("created_at"),
+        (F.col("turn") * 10000).alias("start_ms"), (F.col("turn") * 10000 + 9000).alias("end_ms"), F.col("role").alias("speaker"),
+    )
+    return written.unionByName(spoken)
+
+
+def filtered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of every benchmark text, asked with six sets of filters."""
+    words = F.split(tx.normalize_space(F.col("text")), " ")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 2), " ").alias("query"))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("v"))
+    v, time = F.col("v"), lambda text: F.lit(text).cast("timestamp_ntz")
+    strings = lambda *values: F.array(*[F.lit(x) if isinstance(x, str) else x for x in values])
+    own = F.concat(F.lit("src"), F.col("item_id") % 20)
+    return asked.select(
+        F.concat(F.lit("b"), "item_id", F.lit("-"), v).alias("question_id"), "query",
+        F.when(v == 1, strings("en")).when(v == 2, strings("en", own)).when(v == 4, strings("talk", "assistant")).when(v == 5, strings("en", "unheard of")).alias("want_topics"),
+        F.when(v == 2, strings("EN")).alias("want_entities"),
+        F.when(v == 3, F.lit("conversation")).alias("want_source_type"),
+        F.when(v == 4, time("2024-01-01 00:30:00")).alias("want_date_from"),
+        F.when(v == 3, time("2024-01-01 01:40:00")).alias("want_date_to"),
+        F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("string").alias("session_id"),
+    )

@@ -162,7 +162,59 @@ def hybrid(spark, sf_dir):
 )
 def retrieve_hybrid(spark, sf_dir):
     _, evidence = hybrid(spark, sf_dir)
-    return evidence.withColumn("rank", F.col("rank").cast("long"))
+    return evidence.select(
+        "question_id", F.col("rank").cast("long").alias("rank"), "doc_id", "segment_id", "text_snippet", "score", "retrieval_source"
+    )
+
+
+cte(
+    "dated_segments",
+    """
+    SELECT doc_id, segment_id, text, [lang, source] AS topics, [upper(lang)] AS entities, source AS source_type,
+           TIMESTAMP '2024-01-01' + to_minutes(doc_num) AS created_at, NULL::BIGINT AS start_ms, NULL::BIGINT AS end_ms, NULL::VARCHAR AS speaker FROM chunks
+    UNION ALL SELECT 'conv:' || conv_id, 'seg_' || (turn + 1), text, ['talk', role], [], 'conversation', TIMESTAMP '2024-01-01' + to_minutes(conv_id),
+           turn * 10000, turn * 10000 + 9000, role FROM conversations
+    """,
+    "chunks",
+)
+cte(
+    "filtered_questions",
+    f"""
+    SELECT 'b' || item_id || '-' || v AS question_id, query,
+           CASE v WHEN 1 THEN ['en'] WHEN 2 THEN ['en', 'src' || (item_id % 20)] WHEN 4 THEN ['talk', 'assistant'] WHEN 5 THEN ['en', 'unheard of'] ELSE [] END AS topics,
+           CASE v WHEN 2 THEN ['EN'] ELSE [] END AS entities, CASE v WHEN 3 THEN 'conversation' END AS source_type,
+           CASE v WHEN 4 THEN TIMESTAMP '2024-01-01 00:30:00' END AS date_from, CASE v WHEN 3 THEN TIMESTAMP '2024-01-01 01:40:00' END AS date_to
+    FROM (SELECT item_id, array_to_string(list_slice(string_split({norm('text')}, ' '), 1, 2), ' ') AS query, unnest(range(0, 6)) AS v FROM benchmark)
+    """,
+)
+
+
+@query(
+    "retrieve_filtered",
+    with_ctes(
+        f"""
+        , found AS (
+          SELECT q.question_id, s.*, {overlap(toks('q.query'), toks('s.text'))} AS lex FROM filtered_questions q JOIN dated_segments s
+            ON contains(lower(s.text), lower(q.query)) AND list_has_all(s.topics, q.topics) AND list_has_all(s.entities, q.entities)
+           AND (q.source_type IS NULL OR s.source_type = q.source_type) AND (q.date_from IS NULL OR s.created_at >= q.date_from) AND (q.date_to IS NULL OR s.created_at <= q.date_to)),
+        scored AS (SELECT *, round(0.18::DOUBLE + 0.52::DOUBLE * least(lex, 1.5) + 0.30::DOUBLE * lex, 6) AS fs FROM found),
+        best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fs DESC, doc_id, segment_id) AS rank FROM scored QUALIFY rank <= 10)
+        SELECT q.question_id, coalesce(b.rank, 1)::BIGINT AS rank, coalesce(doc_id, 'N/A') AS doc_id, coalesce(segment_id, 'N/A') AS segment_id,
+               coalesce(b.text, q.query) AS text_snippet, coalesce(fs, 0.0) AS score, CASE WHEN doc_id IS NOT NULL THEN 'keyword' END AS retrieval_source,
+               start_ms, end_ms, speaker
+        FROM filtered_questions q LEFT JOIN best b USING (question_id)
+        """,
+        "dated_segments",
+        "filtered_questions",
+    ),
+)
+def retrieve_filtered(spark, sf_dir):
+    segments = stored(b.dated_segments(spark, sf_dir), "segments")
+    evidence = retrieval.retrieve(b.filtered_questions(spark, sf_dir), b.as_of(), segments=segments)
+    return evidence.select(
+        "question_id", F.col("rank").cast("long").alias("rank"), "doc_id", "segment_id", "text_snippet", "score", "retrieval_source",
+        "start_ms", "end_ms", "speaker",
+    )
 
 
 @query(

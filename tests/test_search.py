@@ -1,5 +1,6 @@
 import random
 import re
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -10,8 +11,9 @@ from kbspark.operators import matching, retrieval, vectors
 WORDS = ["alpha", "beta", "gam", "delta\\E", "a", "ε", "x%", "new york", "t_o"]
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_contained_pairs_against_brute_force(spark, monkeypatch, bound):
+@pytest.mark.parametrize("patterns, bound", [(30_000, 0), (0, 200_000), (0, 0)])
+def test_contained_pairs_against_brute_force(spark, monkeypatch, patterns, bound):
+    monkeypatch.setattr(matching, "MAX_PATTERNS", patterns)
     monkeypatch.setattr(matching, "MAX_BROADCAST_ANCHORS", bound)
     rng = random.Random(1)
     texts = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 9)))) for i in range(60)]
@@ -77,3 +79,44 @@ def test_placeholder_when_nothing_is_found(spark):
     got = {r["question_id"]: r for r in retrieval.retrieve(asked, F.lit("2024-01-31").cast("timestamp_ntz"), segments=segments).collect()}
     assert got["q1"]["doc_id"] == "N/A" and got["q1"]["text_snippet"] == "no such words"
     assert got["q2"]["doc_id"] == "d" and got["q2"]["score"] == pytest.approx(0.18 + 0.52 + 0.30)
+
+
+def test_segment_filters_against_brute_force(spark):
+    rng = random.Random(3)
+    topics, entities, types = ["a", "b", "c", "all"], ["X", "Y"], ["file", "talk", None]
+    day = lambda n: datetime(2024, 1, n)
+    segments, asked = [], []
+    for i in range(120):
+        own = ["all", *rng.sample(topics[:3], rng.randint(0, 3))] if i % 9 else None
+        segments.append((f"d{i % 40}", f"s{i}", " ".join(rng.choices(WORDS[:4], k=6)), own, rng.sample(entities, rng.randint(0, 2)), rng.choice(types), day(rng.randint(1, 20)) if i % 7 else None, i, f"sp{i}"))
+    for i in range(60):
+        want = rng.choice([None, [], ["all"], ["a"], ["a", "all", "b"], ["nobody"], ["all", "nobody"], [None, "c"]])
+        asked.append((f"q{i}", rng.choice(["alpha", "beta gam", "%", "a_pha", "zzz", "A"]), want, rng.choice([None, ["X"], ["X", "Y"]]), rng.choice([None, None, "file"]), rng.choice([None, day(8)]), rng.choice([None, day(15)])))
+    got = retrieval.filtered_pairs(
+        spark.createDataFrame(asked, "question_id string, query string, want_topics array<string>, want_entities array<string>, want_source_type string, want_date_from timestamp_ntz, want_date_to timestamp_ntz"),
+        spark.createDataFrame(segments, "doc_id string, segment_id string, text string, topics array<string>, entities array<string>, source_type string, created_at timestamp_ntz, start_ms long, speaker string"),
+        ("start_ms", "speaker"),
+    )
+    want = set()
+    for q, query, tops, ents, kind, since, until in asked:
+        regex = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in query.lower())
+        for doc, seg, text, own_t, own_e, own_kind, at, start, speaker in segments:
+            members = {x for x in tops or [] if x is not None} <= set(own_t or []) and set(ents or []) <= set(own_e)
+            dated = (since is None or (at is not None and at >= since)) and (until is None or (at is not None and at <= until))
+            if members and dated and (kind is None or kind == own_kind) and re.search(regex, text.lower(), re.DOTALL):
+                want.add((q, doc, seg, start, speaker))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 300
+
+
+def test_evidence_carries_times_speakers_and_references(spark):
+    asked = spark.createDataFrame([("q", "harbor road", None, ["talk"], "u")], "question_id string, query string, embedding array<double>, want_topics array<string>, session_id string")
+    segments = spark.createDataFrame(
+        [("d", "s1", "the harbor road map", ["talk"], 10, 20, "ann"), ("d", "s2", "the harbor road", ["other"], 30, 40, "bob")],
+        "doc_id string, segment_id string, text string, topics array<string>, start_ms long, end_ms long, speaker string",
+    )
+    digests = spark.createDataFrame([("u", "harbor plans")], "session_id string, digest string")
+    rows = retrieval.retrieve(asked, F.lit("2024-01-31").cast("timestamp_ntz"), segments=segments, digests=digests).orderBy("rank").collect()
+    assert [(r["segment_id"], r["start_ms"], r["end_ms"], r["speaker"], r["source_refs"]) for r in rows] == [
+        ("s1", 10, 20, "ann", None), ("state", None, None, "context", '{"kind":"auto_handoff"}'),
+    ]
