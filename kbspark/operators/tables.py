@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.session import path_exists
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in ``order``. Spark prunes each partition to its own first
@@ -24,6 +26,29 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], *order: Column
     return untouched.unionByName(fresh, allowMissingColumns=True)
 
 
+def merge_buckets(rows: DataFrame, target: str, staged: str, keys: list[str], order: list[Column], buckets: int = 64) -> None:
+    """Upsert ``rows`` into the table in the folder ``target``, which is partitioned into buckets by key.
+
+    Only the buckets with a key of ``rows`` are read and rewritten; of the rows of one key the first in
+    ``order`` stays, which may use ``_fresh``, 1 for those of ``rows``. The new buckets are first written to
+    ``staged`` as a whole. If a run is cut off while they replace the old ones, running it again with the same
+    arguments finds them complete and replaces them again.
+    """
+    spark = rows.sparkSession
+    if not path_exists(spark, f"{staged}/_SUCCESS"):
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = rows.withColumn("bucket", bucket).withColumn("_fresh", F.lit(1))
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # ``buckets`` at most
+        if not touched:
+            return
+        if path_exists(spark, target):
+            held = spark.read.parquet(target).where(F.col("bucket").isin(touched)).withColumn("_fresh", F.lit(0))
+            fresh = fresh.unionByName(held, allowMissingColumns=True)
+        merged = first_per_key(fresh, keys, *order).drop("_fresh")
+        write_partitioned(merged, staged, "bucket", fmt="parquet")
+    write_partitioned(spark.read.parquet(staged), target, "bucket", fmt="parquet")
+
+
 def delete_keys(table: DataFrame, doomed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows that stay, and a one-row frame with the number deleted."""
     doomed = doomed.select(*keys).distinct()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark import schemas
 from kbspark.functions import ids
 from kbspark.functions import text as tx
-from kbspark.operators import intake, model, tables
+from kbspark.operators import deletion, intake, model, tables
 from kbspark.plans import bindings as b
 from kbspark.plans.registry import query, table
 from kbspark.plans.sql import WS, cte, norm, with_ctes
@@ -182,6 +185,50 @@ def delete_sources(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "delete_cascade",
+    with_ctes(
+        """
+        , rows AS (
+          SELECT 'manifests' AS table_name, source_id, lang FROM manifests
+          UNION ALL SELECT 'jobs', d.doc_id, d.lang FROM jobs JOIN docs d USING (doc_num)
+          UNION ALL SELECT 'embeddings', d.doc_id, d.lang FROM embeddings JOIN docs d ON d.doc_num = vec_id
+          UNION ALL SELECT 'kb_segments', doc_id, lang FROM chunks
+          UNION ALL SELECT 'relations', doc_id, lang FROM docs)
+        SELECT table_name, source_id, count(*)::BIGINT AS kept, (SELECT count(*) FROM rows g WHERE g.table_name = rows.table_name AND g.lang = 'de')::BIGINT AS deleted
+        FROM rows WHERE lang <> 'de' GROUP BY table_name, source_id
+        """,
+        "manifests",
+        "jobs",
+        "docs",
+        "chunks",
+    ),
+)
+def delete_cascade(spark, sf_dir):
+    """German documents are gone from their folder; what belongs to them goes from all tables."""
+    docs = b.source_documents(spark, sf_dir)
+    names = docs.select("doc_num", F.col("doc_id").alias("source_id"))
+    frames = {
+        "manifests": b.manifests(spark, sf_dir).select("source_id", "source_version", "updated_at"),
+        "jobs": b.jobs(spark, sf_dir).join(names, "doc_num").drop("doc_num"),
+        "embeddings": b.stored_vectors(spark, sf_dir).drop("doc_id"),
+        "kb_segments": b.chunks(spark, sf_dir).select("doc_id", "segment_id", "text"),
+        "relations": docs.select(F.concat("doc_id", F.lit("-has_topic-"), "lang").alias("rel_id"), "doc_id", F.col("lang").alias("obj_entity_id")),
+    }
+    base = work_path(spark, "store")
+    folders = {name: f"{base}/{name}" for name in frames}
+    for name, df in frames.items():
+        deletion.write_table(df, folders[name], deletion.SOURCE_KEYS[name])
+    listing = docs.select(F.concat("source", F.lit("/"), "doc_num").alias("path"), F.sha2("text", 256).alias("source_version"), "lang")
+    doomed = deletion.deleted_sources(listing.drop("lang"), listing.where("lang <> 'de'").drop("lang"))
+    counts = deletion.delete_sources(spark, folders, doomed, f"{base}/run")
+    left = [
+        spark.read.parquet(folders[n]).groupBy(F.col(deletion.SOURCE_KEYS[n]).alias("source_id")).agg(F.count(F.lit(1)).alias("kept")).withColumn("table_name", F.lit(n))
+        for n in frames
+    ]
+    return reduce(DataFrame.unionByName, left).join(counts.drop("rewritten"), "table_name")
+
+
 @query(
     "segments_filtered",
     with_ctes(
