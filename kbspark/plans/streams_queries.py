@@ -57,9 +57,9 @@ _GAP = 1800
 )
 def stream_debounce(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").select(
-        F.col("user_id").alias("path"), "event_id", micros(F.col("ts")).alias("ts_us")
+        F.col("user_id").alias("path"), "event_id", F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("ts_us")
     )
-    return streams.to_table(streams.debounce(events, _GAP), "debounce")
+    return streams.to_table(streams.debounce(events, "0 seconds", _GAP), "debounce")
 
 
 @query(
@@ -109,8 +109,13 @@ def stream_sessions(spark, sf_dir):
 
 @query("stream_handoff", with_ctes("SELECT conv_id AS session_id, turn_count, digest FROM handoff", "handoff"))
 def stream_handoff(spark, sf_dir):
-    turns = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"))
-    return streams.handoff_stream(turns, lambda: b.conversation_turns(spark, sf_dir), sessions_queries.AS_OF_TEXT)
+    # A turn is a minute, a conversation an hour, as in the batch form.
+    minute = F.col("conv_id") * 60 + F.col("turn")
+    rows = _stream(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), "turn", "role", "text",
+        F.timestamp_seconds(F.lit(1_704_067_200) + minute * 60).alias("ts"), ((F.lit(1_704_067_200) + minute * 60) * 1_000_000).alias("ts_us"),
+    )
+    return streams.handoff_stream(rows, b.as_turns, sessions_queries.AS_OF_TEXT, late="36500 days")
 
 
 @query(
@@ -119,9 +124,9 @@ def stream_handoff(spark, sf_dir):
 )
 def stream_compaction(spark, sf_dir):
     turns = _stream(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("turn_no"), micros(F.col("ts")).alias("ts_us")
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("turn_no"), F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("ts_us")
     )
-    return streams.to_table(streams.compaction_stream(turns), "compaction")
+    return streams.to_table(streams.compaction_stream(turns, "0 seconds", idle_days=365), "compaction")
 
 
 @query(
@@ -143,10 +148,11 @@ def stream_expiry(spark, sf_dir):
     pinned = F.when(k % 10 == 0, micros(F.col("ts")) + 60 * 86_400_000_000)
     items = _stream(spark, sf_dir, "events").select(
         F.concat(F.lit("m"), "event_id").alias("memory_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.floor(micros(F.col("ts")) / 1000).alias("ts_ms"),
         F.floor(F.when(expires.isNotNull(), F.greatest(expires, pinned)) / 1000).alias("leave_ms"),
     )
-    return streams.expiry_stream(items)
+    return streams.to_table(streams.expiry_stream(items, "0 seconds"), "expired")
 
 
 @query(

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbspark.operators import intake, sessions
-from kbspark.operators.tables import first_per_key
-from kbspark.session import work_path
+from kbspark.operators.tables import first_per_key, merge_buckets
+from kbspark.session import path_exists, work_path
+from kbspark.streaming.state import Debounce, EveryNth, Leaving, NewestTurns, with_state
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -43,16 +42,40 @@ def to_table(stream: DataFrame, name: str) -> DataFrame:
 def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, str], None]) -> str:
     """Run ``write(batch, folder)`` per micro-batch. The folder is named by the batch id, so a
     batch that runs again after a failure replaces its own output."""
-    spark = stream.sparkSession
-    path = work_path(spark, name)
+    path = work_path(stream.sparkSession, name)
+    _run_batches(stream, f"{path}/checkpoint", lambda batch, i: write(batch, f"{path}/data/batch={i}"))
+    return f"{path}/data"
+
+
+def _run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
     query = (
-        stream.writeStream.foreachBatch(lambda batch, i: write(batch, f"{path}/data/batch={i}"))
-        .option("checkpointLocation", f"{path}/checkpoint")
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return f"{path}/data"
+
+
+def into_table(stream: DataFrame, name: str, keys: list[str], order: Callable[[int], list[Column]], shape: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64) -> DataFrame:
+    """Merge every micro-batch of a stream into a keyed table, and read the table back.
+
+    A batch first writes its rows to a folder of its own, so that they are computed once. The table is
+    cut into buckets by key and a batch rewrites only those it touches (``merge_buckets``).
+    """
+    spark = stream.sparkSession
+    base = work_path(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        incoming = f"{base}/incoming/batch={number}"
+        (shape(batch) if shape else batch).write.mode("overwrite").parquet(incoming)
+        merge_buckets(spark.read.parquet(incoming), f"{base}/table", f"{base}/staged/batch={number}", keys, order(number), buckets)
+
+    _run_batches(stream, f"{base}/checkpoint", write)
+    if not path_exists(spark, f"{base}/table"):  # no row came
+        return spark.createDataFrame([], (shape(stream) if shape else stream).schema)
+    return spark.read.parquet(f"{base}/table").drop("bucket")
 
 
 def intake_stream(files: DataFrame, manifests: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -69,28 +92,15 @@ def intake_stream(files: DataFrame, manifests: DataFrame, jobs: DataFrame) -> Da
     return first_per_key(rows, ["source_id", "source_version"], F.col("batch")).drop("batch")
 
 
-def debounce(events: DataFrame, gap_seconds: float = 1.2) -> DataFrame:
+def debounce(events: DataFrame, late: str, gap_seconds: float = 1.2) -> DataFrame:
     """Drop events of a path that follow its last accepted event within the gap.
 
-    ``events(path, event_id, ts_us)``; the state per path is the time of that last event. The
-    rule compares with accepted events only, which no built-in deduplication does.
+    ``events(path, event_id, ts, ts_us)``. Events wait until the watermark, ``late`` behind the newest one,
+    has passed them, and are then judged in the order of time, however they came; the rule compares with
+    accepted events only, which no built-in deduplication does. A path is forgotten a gap after its last one.
     """
-    gap = int(gap_seconds * 1_000_000)
-
-    def accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        kept = []
-        for event_id, ts in zip(rows["event_id"], rows["ts_us"]):
-            if last is None or ts - last >= gap:
-                kept.append((key[0], event_id, ts))
-                last = ts
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=["path", "event_id", "ts_us"])
-
-    return events.groupBy("path").applyInPandasWithState(
-        accept, "path long, event_id long, ts_us long", "last long", "append", GroupStateTimeout.NoTimeout
-    )
+    timed = events.withWatermark("ts", late)
+    return with_state(timed, "path", Debounce(int(gap_seconds * 1_000_000)), "path long, event_id long, ts_us long")
 
 
 def debounce_batch(events: DataFrame, gap_seconds: float = 1.2) -> DataFrame:
@@ -138,86 +148,43 @@ def session_counts(events: DataFrame, late: str, gap_minutes: int = 45) -> DataF
     )
 
 
-def handoff_stream(turns: DataFrame, history: Callable[[], DataFrame], as_of_text: str, limit: int = 20) -> DataFrame:
-    """Digests refreshed for the sessions each micro-batch touches.
+def handoff_stream(rows: DataFrame, shape: Callable[[DataFrame], DataFrame], as_of_text: str, late: str, limit: int = 20, idle_days: int | None = 30) -> DataFrame:
+    """The digest of every session, refreshed for those a micro-batch touches.
 
-    ``history()`` reads the stored turns; only touched sessions are rebuilt. The last digest of
-    a session wins.
+    ``rows(session_id, turn, role, text, ts, ts_us)``. The state of a session is its newest ``limit`` turns, so no
+    stored table is read again, and rows may come in any order; ``idle_days`` after its last row it is
+    forgotten, while its digest stays in the table. ``shape`` gives turns ``(session_id, turn, question,
+    answer)`` the form that digests are made of.
     """
-
-    def write(batch: DataFrame, folder: str) -> None:
-        touched = batch.select("session_id").distinct()
-        stored = history().join(touched, "session_id", "left_semi")
-        sessions.handoff(stored, as_of_text, limit).write.mode("overwrite").parquet(folder)
-
-    path = each_batch(turns, "handoff", write)
-    rows = turns.sparkSession.read.parquet(path)
-    return first_per_key(rows, ["session_id"], F.col("batch").desc()).drop("batch")
-
-
-def compaction_stream(turns: DataFrame, every: int = 12) -> DataFrame:
-    """A row for every ``every``-th turn of a session; the state is the number of turns."""
-
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "turn_no"])
-        marks = []
-        for turn in rows["turn_no"]:
-            seen += 1
-            if seen % every == 0:
-                marks.append((key[0], seen, turn))
-        state.update((seen,))
-        yield pd.DataFrame(marks, columns=["session_id", "turn_count", "turn_no"])
-
-    return turns.groupBy("session_id").applyInPandasWithState(
-        count, "session_id long, turn_count long, turn_no long", "seen long", "append", GroupStateTimeout.NoTimeout
+    idle = None if idle_days is None else idle_days * 86_400_000_000
+    recent = with_state(
+        rows.withWatermark("ts", late), "session_id", NewestTurns(limit, idle), "session_id long, turn long, question string, answer string", "update"
     )
+    digest = lambda batch: sessions.handoff(shape(batch), as_of_text, limit)
+    # A later batch holds the newer digest.
+    return into_table(recent, "handoff", ["session_id"], lambda number: [F.col("_fresh").desc()], digest)
 
 
-DAY_MS = 86_400_000
-
+def compaction_stream(turns: DataFrame, late: str, every: int = 12, idle_days: int | None = None) -> DataFrame:
+    """A row for every ``every``-th turn of a session in the order of time; ``turns(session_id, turn_no, ts, ts_us)``.
 
-def expiry_stream(items: DataFrame) -> DataFrame:
-    """Items that leave, with the time they leave, once event time has passed it.
-
-    ``items(memory_id, ts_ms, leave_ms)``: ``leave_ms`` is the later of expiry and pin, null for
-    items that stay. Waiting items are filed by the day they leave; a micro-batch moves the
-    clock to the latest ``ts_ms`` seen and reads only the days the clock has passed since.
+    Turns wait until the watermark has passed them; what stays of a session is their number, until it was
+    silent for ``idle_days``.
     """
-    spark = items.sparkSession
-    base = work_path(spark, "expiry")
-    waiting_type = "memory_id string, leave_ms long, batch int, leave_day long"
-
-    def write(batch: DataFrame, folder: str) -> None:
-        number = int(folder.rsplit("=", 1)[1])
-        rows = batch.where("leave_ms IS NOT NULL")
-        filed = rows.withColumn("leave_day", F.floor(F.col("leave_ms") / DAY_MS)).drop("ts_ms")
-        filed.hint("rebalance", "leave_day").write.mode("overwrite").partitionBy("leave_day").parquet(f"{base}/waiting/batch={number}")
-        rows.agg(F.max("ts_ms").alias("clock")).write.mode("overwrite").parquet(f"{base}/clock/batch={number}")
-        clocks = spark.read.schema("clock long, batch int").parquet(f"{base}/clock").where(F.col("batch") <= number)
-        # One row: the clock before and after this batch.
-        old, now = clocks.agg(F.max(F.when(F.col("batch") < number, F.col("clock"))), F.max("clock")).first()
-        waiting = spark.read.schema(waiting_type).parquet(f"{base}/waiting").where(F.col("batch") <= number)
-        passed = F.lit(False) if now is None else (F.col("leave_ms") < now) & (F.col("leave_day") <= now // DAY_MS)
-        if old is not None:
-            passed = passed & (
-                (F.col("batch") == number) | ((F.col("leave_ms") >= old) & (F.col("leave_day") >= old // DAY_MS))
-            )
-        waiting.where(passed).select("memory_id", "leave_ms").write.mode("overwrite").parquet(folder)
-
-    return spark.read.parquet(each_batch(items, "expired", write)).drop("batch")
+    idle = None if idle_days is None else idle_days * 86_400_000_000
+    timed = turns.withWatermark("ts", late)
+    return with_state(timed, "session_id", EveryNth(every, idle), "session_id long, turn_count long, turn_no long")
 
 
-def upsert_stream(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Latest row per key of a stream.
+def expiry_stream(items: DataFrame, late: str) -> DataFrame:
+    """Items that leave, with the time they leave, once the watermark has passed it.
 
-    Each micro-batch appends its own latest rows, so a batch costs its own size and not that
-    of the table; reading takes the latest over the batches.
+    ``items(memory_id, ts, ts_ms, leave_ms)``: ``leave_ms`` is the later of expiry and pin, null for items that
+    stay; the newest row of an item counts. Each waiting item has one event-time timer.
     """
+    return with_state(items.withWatermark("ts", late), "memory_id", Leaving(), "memory_id string, leave_ms long")
 
-    def write(batch: DataFrame, folder: str) -> None:
-        first_per_key(batch, keys, F.col(order).desc()).write.mode("overwrite").parquet(folder)
 
-    path = each_batch(rows, "upsert", write)
-    found = rows.sparkSession.read.parquet(path)
-    return first_per_key(found, keys, F.col(order).desc(), F.col("batch").desc()).drop("batch")
+def upsert_stream(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Latest row per key of a stream, kept in one table by the keyed upsert of each micro-batch."""
+    return into_table(rows, "upsert", keys, lambda number: [F.col(order).desc(), F.col("_fresh").desc()])

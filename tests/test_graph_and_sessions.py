@@ -1,5 +1,8 @@
-from datetime import datetime, timedelta
+import random
+import time
+from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark.operators import graph, model, ops, sessions, tables
@@ -98,32 +101,131 @@ def test_handoff_and_resume(spark):
     assert [r["turn_count"] for r in shots] == [2]
 
 
-def test_streams_over_several_batches_equal_the_batch_result(spark):
+def as_files(spark, rows, schema, files=5, seed=1, last=()):
+    """The rows shuffled and dealt to some files, read one file per micro-batch; ``last`` come in a file after all others."""
     from kbspark.session import work_path
 
-    path = work_path(spark, "events")
-    rows = [(i % 3, i, i * 700_000 + (i % 5) * 90_000) for i in range(60)]
-    df = spark.createDataFrame(rows, "path long, event_id long, ts_us long")
-    for part in range(3):
-        df.where(F.floor(F.col("event_id") / 20) == part).coalesce(1).write.mode("append").parquet(path)
+    path, mixed = work_path(spark, "shuffled"), list(rows)
+    random.Random(seed).shuffle(mixed)
+    for part in range(files):
+        spark.createDataFrame(mixed[part::files], schema).coalesce(1).write.mode("append").parquet(path)
+    if last:
+        time.sleep(0.05)  # files are taken by age
+        spark.createDataFrame(last, schema).coalesce(1).write.mode("append").parquet(path)
+    return streams.read_stream(spark, path, files_per_trigger=1)
+
+
+EVENTS = "path long, event_id long, ts timestamp, ts_us long"
+
+
+def events_of(n, key=lambda i: i % 3):
+    start = datetime(2024, 1, 1)
+    us = lambda i: i * 700_000 + (i % 5) * 90_000
+    zero = int(start.replace(tzinfo=timezone.utc).timestamp() * 1_000_000)
+    return [(key(i), i, start.replace(tzinfo=timezone.utc) + timedelta(microseconds=us(i)), zero + us(i)) for i in range(n)]
+
+
+def debounced(rows, gap_us):
+    last, out = {}, set()
+    for path, event, _, ts in sorted(rows, key=lambda r: (r[3], r[1])):
+        if path not in last or ts - last[path] >= gap_us:
+            out.add(event)
+            last[path] = ts
+    return out
+
+
+def test_debounce_in_the_order_of_time_whatever_the_order_of_files(spark):
+    rows = events_of(60)
+    # A row far past the end moves the watermark past all others.
+    end = (99, 999, rows[-1][2] + timedelta(hours=2), rows[-1][3] + 7_200_000_000)
+    want = debounced(rows, 2_500_000)
+    stream = as_files(spark, rows, EVENTS, last=[end])
+    got = [r["event_id"] for r in streams.to_table(streams.debounce(stream, "1 hour", 2.5), "debounce").collect()]
+    assert sorted(got) == sorted(want)
+    ntz = F.timestamp_add("MICROSECOND", F.col("ts_us") - rows[0][3], F.lit("2024-01-01").cast("timestamp_ntz"))
+    df = spark.createDataFrame(rows, EVENTS).withColumn("ts", ntz)
+    assert {r["event_id"] for r in streams.debounce_batch(df, 2.5).collect()} == want
+
+
+def test_compaction_counts_in_order_and_forgets_the_silent(spark):
+    rows = events_of(50, key=lambda i: i % 2)
+    day = 86_400_000_000
+    later = [(0, 100 + i, rows[-1][2] + timedelta(days=5, seconds=i), rows[-1][3] + 5 * day + i * 1_000_000) for i in range(4)]
+    end = [(9, 999, rows[-1][2] + timedelta(days=9), rows[-1][3] + 9 * day)]
+    from kbspark.session import work_path
+
+    path = work_path(spark, "turns")
+    for part in (rows[::2], rows[1::2], later, end):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(path)
+    turns = lambda: streams.read_stream(spark, path, files_per_trigger=1).select(F.col("path").alias("session_id"), F.col("event_id").alias("turn_no"), "ts", "ts_us")
+    kept = {(r["session_id"], r["turn_count"], r["turn_no"]) for r in streams.to_table(streams.compaction_stream(turns(), "1 hour", 4), "compact").collect()}
+    first = {(k, n, 2 * (n - 1) + k) for k in (0, 1) for n in range(4, 26, 4)}
+    assert kept == first | {(0, 28, 102)}
+    fresh = {(r["session_id"], r["turn_count"], r["turn_no"]) for r in streams.to_table(streams.compaction_stream(turns(), "1 hour", 4, idle_days=2), "compact").collect()}
+    assert fresh == first | {(0, 4, 103)}
+
+
+def test_items_leave_by_their_newest_row(spark):
+    rows = [(str(i), t, z, z // 1000 + 10_000) for _, i, t, z in events_of(60)]
+    moved = [("3", rows[40][1], rows[40][2], None), ("4", rows[41][1], rows[41][2], rows[59][2] // 1000 + 90_000_000)]
+    rows = [(m, t, z // 1000, leave) for m, t, z, leave in rows + moved]
+    clock = rows[59][2] + 45_000
+    end = ("end", rows[59][1] + timedelta(seconds=45), clock, None)  # moves the watermark past some of the times
+    stream = as_files(spark, rows, "memory_id string, ts timestamp, ts_ms long, leave_ms long", last=[end])
+    got = sorted((r["memory_id"], r["leave_ms"]) for r in streams.to_table(streams.expiry_stream(stream, "60 seconds"), "leave").collect())
+    want = sorted((m, leave) for m, _, _, leave in rows if leave is not None and leave < clock - 60_000 and m not in ("3", "4"))
+    assert got == want and 20 < len(want) < 58
+
+
+def test_digest_from_state_equals_the_batch_digest(spark):
+    from kbspark.plans import bindings
+
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    at = lambda minutes: (start + timedelta(minutes=minutes), int(start.timestamp() + 60 * minutes) * 1_000_000)
+    said = lambda s, t: ("user", f"ask {t} of {s}") if t % 2 == 0 else ("assistant", f"answer {t} of {s}. next step {t}")
+    rows = [(s, t, *said(s, t), *at(t)) for s in range(4) for t in range(2 + 18 * s)]
+    rows += [(9, 0, "user", "never answered", *at(0)), (8, 3, "assistant", "never asked", *at(3)), (2, 100, "system", "note", *at(100)), (7, 0, *said(7, 0), *at(0)), (7, 1, *said(7, 1), *at(1))]
+    schema = "session_id long, turn long, role string, text string, ts timestamp, ts_us long"
+    # After 90 days session 3 goes on; it has been forgotten, so its turns from before are not in the digest.
+    again = [(3, 200, "user", "back", *at(90 * 1440)), (3, 201, "assistant", "welcome", *at(90 * 1440 + 1))]
+    df = spark.createDataFrame(rows, schema)
+    asked = df.where("role = 'user'").select("session_id", "turn", F.col("text").alias("question"))
+    answers = df.where("role = 'assistant'").select("session_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    digest = lambda pairs: {r["session_id"]: (r["turn_count"], r["digest"]) for r in sessions.handoff(bindings.as_turns(pairs), "now").collect()}
+    want = digest(asked.join(answers, ["session_id", "turn"]))
+    streamed = lambda **kw: {r["session_id"]: (r["turn_count"], r["digest"]) for r in streams.handoff_stream(as_files(spark, rows, schema, **kw), bindings.as_turns, "now", "1 day").collect()}
+    assert streamed() == want and want[3][0] == 20 and set(want) == {0, 1, 2, 3, 7}
+    other = [(5, 0, "user", "moves the clock", *at(80 * 1440))]
+    from kbspark.session import work_path
+
+    path = work_path(spark, "sessions")
+    for part in (rows, other, again):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
     stream = streams.read_stream(spark, path, files_per_trigger=1)
-    got = {r["event_id"] for r in streams.to_table(streams.debounce(stream, 2.5), "debounce").collect()}
-    last, want = {}, set()
-    for p, i, ts in rows:
-        if p not in last or ts - last[p] >= 2_500_000:
-            want.add(i)
-            last[p] = ts
-    assert got == want
-    ntz = F.timestamp_add("MICROSECOND", F.col("ts_us"), F.lit("2024-01-01").cast("timestamp_ntz"))
-    assert {r["event_id"] for r in streams.debounce_batch(df.withColumn("ts", ntz), 2.5).collect()} == want
-
-    leaving = stream.select(
-        F.col("event_id").cast("string").alias("memory_id"), F.floor(F.col("ts_us") / 1000).alias("ts_ms"),
-        (F.floor(F.col("ts_us") / 1000) + 10_000).alias("leave_ms"),
-    )
-    clock = max(ts for _, _, ts in rows) // 1000
-    gone = sorted(int(r["memory_id"]) for r in streams.expiry_stream(leaving).collect())
-    assert gone == sorted(i for _, i, ts in rows if ts // 1000 + 10_000 < clock)
+    got = {r["session_id"]: r["turn_count"] for r in streams.handoff_stream(stream, bindings.as_turns, "now", "1 day").collect()}
+    assert got == {s: n for s, (n, _) in want.items()} | {3: 1}
+
+
+def test_stream_upsert_keeps_the_latest_row_per_key(spark):
+    rows = [(i % 7, i, f"v{i}") for i in range(90)]
+    stream = as_files(spark, rows, "k long, n long, v string")
+    newest = streams.upsert_stream(stream, ["k"], "n")
+    assert sorted(tuple(r) for r in newest.select("k", "n", "v").collect()) == sorted({i % 7: (i % 7, i, f"v{i}") for i in range(90)}.values())
+
+
+def test_a_merge_that_was_cut_off_is_finished_by_the_next_run(spark, monkeypatch):
+    from kbspark.session import work_path
 
-    newest = streams.upsert_stream(stream, ["path"], "event_id")
-    assert {(r["path"], r["event_id"]) for r in newest.collect()} == {(0, 57), (1, 58), (2, 59)}
+    base, order = work_path(spark, "merge"), [F.col("n").desc()]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, n long")
+    tables.merge_buckets(frame([(i, 1) for i in range(20)]), f"{base}/t", f"{base}/s0", ["k"], order, buckets=4)
+    update = frame([(i, 2) for i in range(0, 30, 3)])
+    real = tables.write_partitioned
+    monkeypatch.setattr(tables, "write_partitioned", lambda df, path, *by, **kw: real(df, path, *by, **kw) if "/s" in path[len(base):] else (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        tables.merge_buckets(update, f"{base}/t", f"{base}/s1", ["k"], order, buckets=4)
+    monkeypatch.setattr(tables, "write_partitioned", real)
+    tables.merge_buckets(update, f"{base}/t", f"{base}/s1", ["k"], order, buckets=4)
+    got = sorted((r["k"], r["n"]) for r in spark.read.parquet(f"{base}/t").collect())
+    assert got == sorted({**{i: 1 for i in range(20)}, **{i: 2 for i in range(0, 30, 3)}}.items())
