@@ -83,7 +83,30 @@ def pii_audit(spark, sf_dir):
     )
 
 
-@query("pii_pseudonymize")
+def _marked(col: str, category: str) -> str:
+    before, core, after = _SQL_PATTERNS[category]
+    return f"regexp_replace({col}, '{before}({core}){after}', '\\1' || chr(2) || '\\2' || chr(3) || '\\3', 'g')"
+
+
+def _tokens(col: str, category: str) -> str:
+    """Matches are put between two marks, in two passes since matches may share a neighbour, and then hashed."""
+    plain = "split_part(p, chr(2), 1)"
+    twice = (
+        f"array_to_string(list_transform(string_split({_marked(col, category)}, chr(3)), lambda p: {_marked(plain, category)} || "
+        f"CASE WHEN contains(p, chr(2)) THEN chr(2) || split_part(p, chr(2), 2) ELSE '' END), chr(3))"
+    )
+    value = "split_part(p, chr(3), 1)"
+    token = f"'[PII_{category.upper()}_' || left(sha256('salt|{category}|' || {value}), 10) || ']' || substr(p, length({value}) + 2)"
+    return f"array_to_string(list_transform(string_split({twice}, chr(2)), lambda p, i: CASE WHEN i = 1 THEN p ELSE {token} END), '')"
+
+
+_prev = "documents"
+for _i, _c in enumerate(privacy.CATEGORIES):
+    cte(f"pse{_i + 1}", f"SELECT doc_id, {_tokens('text', _c)} AS text FROM {_prev}", *([_prev] if _i else []))
+    _prev = f"pse{_i + 1}"
+
+
+@query("pii_pseudonymize", with_ctes("SELECT doc_id, text FROM pse4", "pse4"))
 def pii_pseudonymize(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", privacy.pseudonymize_column(F.col("text"), "salt").alias("text"))
@@ -98,7 +121,7 @@ _REASONS = ", ".join(
     "pii_policy",
     with_ctes(
         f"""
-        , p AS (SELECT *, CASE lang WHEN 'en' THEN ' Redact ' WHEN 'de' THEN 'off' ELSE 'strict' END AS raw_mode,
+        , p AS (SELECT *, CASE lang WHEN 'en' THEN ' Redact ' WHEN 'de' THEN 'off' WHEN 'es' THEN 'Pseudonymize' ELSE 'strict' END AS raw_mode,
                  lang <> 'fr' AS fail_closed, source <> 'src0' AS enabled,
                  CASE WHEN doc_id % 3 = 0 THEN 'ChatGPT' WHEN doc_id % 3 = 1 THEN 'ollama' ELSE 'other' END AS prov FROM redacted),
         r AS (SELECT *, CASE lower(prov) WHEN 'chatgpt' THEN 'chatgpt' ELSE 'ollama' END AS provider,
@@ -108,14 +131,15 @@ _REASONS = ", ".join(
                  CASE WHEN lower(trim(raw_mode)) NOT IN ('off', 'pseudonymize', 'redact')
                       THEN 'enforce.invalid_mode_fallback.' || configured_mode END AS why FROM r)
         SELECT doc_id, provider, configured_mode, mode AS effective_mode,
-               CASE WHEN mode = 'redact' THEN redacted ELSE text END AS output_text,
+               CASE mode WHEN 'redact' THEN redacted WHEN 'pseudonymize' THEN pse4.text ELSE m.text END AS output_text,
                concat_ws(',', why, CASE WHEN NOT enabled THEN 'allow.provider_filter_disabled.' || provider END,
                  CASE WHEN enabled AND mode = 'off' THEN 'allow.egress_policy_off' END, {_REASONS},
                  CASE WHEN mode <> 'off' AND {_COUNTS} = 0 THEN 'allow.no_pii_detected' END) AS reason_codes,
                (CASE WHEN mode <> 'off' THEN {_COUNTS} ELSE 0 END)::BIGINT AS transform_count
-        FROM m
+        FROM m JOIN pse4 USING (doc_id)
         """,
         "redacted",
+        "pse4",
     ),
 )
 def pii_policy(spark, sf_dir):
@@ -123,7 +147,7 @@ def pii_policy(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(
         "doc_id",
         "text",
-        F.when(lang == "en", " Redact ").when(lang == "de", "off").otherwise("strict").alias("mode"),
+        F.when(lang == "en", " Redact ").when(lang == "de", "off").when(lang == "es", "Pseudonymize").otherwise("strict").alias("mode"),
         (lang != "fr").alias("fail_closed"),
         (source != "src0").alias("provider_enabled"),
         F.when(F.col("doc_id") % 3 == 0, "ChatGPT").when(F.col("doc_id") % 3 == 1, "ollama").otherwise("other").alias(
