@@ -52,6 +52,16 @@ def source_context(speaker, organization, event_date):
     )
 
 
+def transcript_context(speaker, start_ms, end_ms, context):
+    """The context line of a transcript chunk: speaker and time span lead the source's own line, unless the chunk
+    has no speaker or several."""
+    seconds = lambda ms: F.concat(F.floor(ms / 1000).cast("string"), F.lit("s"))
+    time = F.when(start_ms.isNotNull() & end_ms.isNotNull(), F.concat(F.lit("Time: "), seconds(start_ms), F.lit("-"), seconds(end_ms)))
+    named = F.concat_ws(", ", F.concat(F.lit("Speaker: "), speaker), time, F.nullif(context, F.lit("")))
+    one = (F.coalesce(speaker, F.lit("")) != "") & (speaker != "MIXED")
+    return F.when(one, named).otherwise(F.coalesce(context, F.lit("")))
+
+
 def add_enrichment(chunks: DataFrame, enrichment: DataFrame, intake: DataFrame) -> DataFrame:
     """Chunks with model output (doc_id, segment_id) and intake metadata (doc_id) where known."""
     return (

@@ -56,24 +56,29 @@ MEMORY_KINDS = ("semantic", "episodic", "procedural")  # fixed values
 
 
 def sanitize_plans(plans: DataFrame) -> DataFrame:
-    """Retrieval plans with lists, dates, kinds and limits forced into bounds."""
+    """Retrieval plans with lists, dates, kinds and limits forced into bounds. Columns a plan lacks are null."""
+    have = dict(plans.dtypes)
+    # Normalised first, so that the expressions below are free of Python.
+    fields = ("intent", "source_type", "memory_type", "memory_kind", "user_id", "project_id", "session_id", "date_from", "date_to", "reason")
+    none = F.lit(None).cast("string")
+    staged = plans.withColumns(
+        {f"_{n}": tx.normalize_space(F.col(n)) if n in have else none for n in fields}
+        | {f"_{n}": tx.nfkc_list(F.coalesce(n, F.array().cast("array<string>"))) for n in ("topics", "entities")}
+    )
 
     def text_list(name: str) -> Column:
-        items = F.transform(
-            F.coalesce(name, F.array().cast("array<string>")),
-            lambda v: tx.cut(tx.collapse_space(F.coalesce(v, F.lit(""))), 80),
-        )
+        items = F.transform(f"_{name}", lambda v: tx.cut(tx.collapse_space(v), 80))
         return F.slice(F.array_distinct(F.filter(items, lambda v: v != "")), 1, 10)
 
     def short(name: str, limit: int) -> Column:
-        return F.nullif(tx.cut(tx.collapse_space(F.coalesce(name, F.lit(""))), limit), F.lit(""))
+        return F.nullif(tx.cut(F.col(f"_{name}"), limit), F.lit(""))
 
     def date(name: str) -> Column:
         value = short(name, 30)
         return F.when(tx.is_date_text(value), value)
 
     kind = F.lower(short("memory_kind", 20))
-    return plans.select(
+    return staged.select(
         "plan_id",
         F.coalesce(short("intent", 80), F.lit("ask")).alias("intent"),
         text_list("topics").alias("topics"),
@@ -81,11 +86,12 @@ def sanitize_plans(plans: DataFrame) -> DataFrame:
         short("source_type", 40).alias("source_type"),
         short("memory_type", 20).alias("memory_type"),
         F.when(kind.isin(*MEMORY_KINDS), kind).alias("memory_kind"),
-        short("user_id", 120).alias("user_id"),
+        *[short(n, 120).alias(n) for n in ("user_id", "project_id", "session_id")],
         date("date_from").alias("date_from"),
         date("date_to").alias("date_to"),
         clamp_int(F.col("retrieve_top_k"), 8, 1, 20).alias("retrieve_top_k"),
         F.coalesce("need_strong_model", F.lit(False)).alias("need_strong_model"),
+        short("reason", 320).alias("reason"),
     )
 
 

@@ -92,21 +92,30 @@ def parse_captions(captions: DataFrame) -> DataFrame:
     )
 
 
-def plain_transcripts(segments: DataFrame, limit: int = 24000) -> DataFrame:
+def plain_transcripts(segments: DataFrame, limit: int = 24000, block: int = 1024) -> DataFrame:
     """Newline-joined segment texts per document, clipped to ``limit`` characters.
 
-    Every kept segment adds two characters at least, so the first ``limit`` segments hold all
-    that can survive the clip; the full length comes from plain sums.
+    A document is cut into blocks of sequence numbers. The lengths of the blocks before one say where it
+    starts, and those before a segment in its block where the segment does; only segments that start before
+    the clip are gathered. The full length comes from the sums of the blocks.
     """
     limit = max(4000, min(120000, limit))
-    spoken = segments.withColumn("text", tx.strip(F.col("text"))).where("text <> ''")
-    window = Window.partitionBy("doc_id").orderBy("seq")
-    head = spoken.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= limit)
-    texts = head.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]).alias("_t")
+    spoken = segments.withColumn("text", tx.strip(F.col("text"))).where("text <> ''").select("doc_id", "seq", "text")
+    spoken = spoken.withColumn("_block", F.floor(F.col("seq") / block)).withColumn("_chars", F.length("text") + 1)
+    whole = Window.partitionBy("doc_id")  # one row per block
+    blocks = spoken.groupBy("doc_id", "_block").agg(F.sum("_chars").alias("_n")).select(
+        "doc_id", "_block",
+        F.coalesce(F.sum("_n").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"),
+        (F.sum("_n").over(whole) - 1).alias("total_chars"),
     )
-    sizes = spoken.groupBy("doc_id").agg((F.sum(F.length("text") + 1) - 1).alias("total_chars"))
-    return texts.join(sizes, "doc_id").select(
+    early = blocks.where(F.col("_from") < limit)
+    inside = Window.partitionBy("doc_id", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = spoken.join(early, ["doc_id", "_block"]).withColumn("_at", F.col("_from") + F.coalesce(F.sum("_chars").over(inside), F.lit(0)))
+    texts = placed.where(F.col("_at") < limit).groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "_at", "text"))), lambda s: s["text"]).alias("_t"),
+        F.first("total_chars").alias("total_chars"),
+    )
+    return texts.select(
         "doc_id",
         F.substring(F.array_join("_t", "\n"), 1, limit).alias("transcript"),
         "total_chars",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kbspark.operators import speech, tables
+from kbspark.operators import chunking, speech, tables
 from kbspark.plans import bindings as b
 from kbspark.plans.registry import query, table
 from kbspark.plans.sql import cte, with_ctes
@@ -100,6 +100,34 @@ def chunk_transcripts(spark, sf_dir):
     )
 
 
+@query(
+    "transcript_context",
+    with_ctes(
+        f"""
+        , c AS (SELECT doc_id, 'tchunk_' || chunk_no AS segment_id, arg_min(start_ms, seq) AS s, arg_max(end_ms, seq) AS e,
+                       CASE WHEN count(DISTINCT coalesce(speaker_local_id, '-')) > 1 THEN 'MIXED' ELSE min(speaker_local_id) END AS speaker,
+                       regexp_replace(string_agg(text, ' ' ORDER BY seq), {_STRIP}) AS text,
+                       CASE WHEN doc_id % 3 = 0 THEN 'Organization: org_' || doc_id || ', Date: 2024-01-01' ELSE '' END AS ctx
+                FROM packed GROUP BY doc_id, chunk_no)
+        SELECT doc_id, segment_id, CASE WHEN coalesce(speaker, '') <> '' AND speaker <> 'MIXED' THEN
+                 'Speaker: ' || speaker || ', Time: ' || (s // 1000) || 's-' || (e // 1000) || 's' || CASE WHEN ctx <> '' THEN ', ' || ctx ELSE '' END ELSE ctx END AS context_line,
+               CASE WHEN doc_id % 2 = 0 THEN 'Summary: about ' || doc_id || chr(10) || text ELSE text END AS text_to_embed FROM c
+        """,
+        "packed",
+    ),
+)
+def transcript_context(spark, sf_dir):
+    # A third of the conversations have intake metadata, half of them a summary by the model.
+    chunks = speech.chunk_transcripts(b.transcript_segments(spark, sf_dir))
+    known, none = F.col("doc_id") % 3 == 0, F.lit(None).cast("string")
+    context = chunking.source_context(none, F.when(known, F.concat(F.lit("org_"), "doc_id")), F.when(known, F.lit("2024-01-01")))
+    summary = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("about "), "doc_id"))
+    return chunks.select(
+        "doc_id", "segment_id", chunking.transcript_context(F.col("speaker"), F.col("start_ms"), F.col("end_ms"), context).alias("context_line"),
+        chunking.text_to_embed(summary, F.col("text")).alias("text_to_embed"),
+    )
+
+
 @query(
     "plain_transcript",
     with_ctes(
