@@ -59,7 +59,8 @@ class InOrder(StatefulProcessor):
     ``number``, however they came. One timer per key stands at its earliest row. When no row waits, it stands
     where the key may be forgotten.
 
-    Rows: ``ts_us`` and a number that tells equal times apart.
+    Rows: ``ts_us`` and a number that tells equal times apart; the stream's event time is that in whole
+    milliseconds, as watermarks are.
     """
 
     number = "number"
@@ -96,14 +97,14 @@ class InOrder(StatefulProcessor):
         if self.waiting.exists():
             first = min(first, min(r[0] for r in self.waiting.get()))
         self.waiting.appendList(fresh)
-        self._wait_until(-(-first // 1000))
+        self._wait_until(first // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.timer.clear()
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        passed = timerValues.getCurrentWatermarkInMs()
         rows = sorted((r[0], r[1]) for r in self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] <= passed]
+        due = [r for r in rows if r[0] // 1000 <= passed]
         if not due:
             # No row was waiting: the key has been silent long enough.
             self.kept.clear()
@@ -114,11 +115,11 @@ class InOrder(StatefulProcessor):
         self.kept.update(kept)
         if rest:
             self.waiting.put(rest)
-            self._wait_until(-(-rest[0][0] // 1000))
+            self._wait_until(rest[0][0] // 1000)
         else:
             self.waiting.clear()
             end = self.forget_at(kept)
-            if end is not None and end <= timerValues.getCurrentWatermarkInMs():
+            if end is not None and end <= passed:
                 self.kept.clear()
             else:
                 self._wait_until(end)

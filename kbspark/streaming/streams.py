@@ -99,7 +99,7 @@ def debounce(events: DataFrame, late: str, gap_seconds: float = 1.2) -> DataFram
     has passed them, and are then judged in the order of time, however they came; the rule compares with
     accepted events only, which no built-in deduplication does. A path is forgotten a gap after its last one.
     """
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.date_trunc("MILLISECOND", "ts")).withWatermark("ts", late)
     return with_state(timed, "path", Debounce(int(gap_seconds * 1_000_000)), "path long, event_id long, ts_us long")
 
 
@@ -172,7 +172,7 @@ def compaction_stream(turns: DataFrame, late: str, every: int = 12, idle_days: i
     silent for ``idle_days``.
     """
     idle = None if idle_days is None else idle_days * 86_400_000_000
-    timed = turns.withWatermark("ts", late)
+    timed = turns.withColumn("ts", F.date_trunc("MILLISECOND", "ts")).withWatermark("ts", late)
     return with_state(timed, "session_id", EveryNth(every, idle), "session_id long, turn_count long, turn_no long")
 
 
