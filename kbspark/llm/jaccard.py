@@ -5,19 +5,21 @@ then on. Two sets link if they share at least ``PERCENT`` of their union, so a s
 lacks at most ``n - t`` of a partner's, ``t`` being ``PERCENT`` of ``n`` rounded up.
 
 1. Necessary part. Of two linked sets the first ``n - t + c`` shingles by hash share ``c`` or more
-   (``c`` is half of what may be lacking, two at least). Only this part of a set is filed; shingles
-   no other set has are dropped, and then sets with fewer than ``c`` left, twice over.
-2. Heavy and light. Shingles of the part are ordered by rarity. Sets up to a size ``bound`` are
-   light: they file every pair of shingles among the first few, as linked sets agree on such a pair.
-   Larger ones are heavy: they scan the inverted lists of their first few single shingles, in which
-   light sets are listed too if they are large enough to link with a heavy one. Pairs of a set grow
-   with the square of its size but meet few others; the bound is where the pairs of all light sets
-   and the list entries that all heavy sets read cost least together.
-3. Groups of one key are not paired off. First each member meets one pivot of its group, twice with
-   different pivots; sets linked by then have one label. Groups of one label are done. In the others
-   only members of different labels meet, and these all do. So a group of copies costs a step for each,
-   and no link between two components is missed.
-4. Pairs are verified on the whole sets, which a last pass over the texts fetches for the sets left.
+   (``c`` is half of what may be lacking, two at least). Only this part of a set is filed at first;
+   shingles no other set has are dropped, and then sets with fewer than ``c`` left, twice over. A second
+   pass over the texts fetches the whole sets of those that are left, and the same is done with them: a set
+   goes on if ``t`` of its shingles are in other sets too.
+2. Heavy and light. What is left of a set is ordered by rarity. Sets up to a size ``bound`` are light:
+   they file every pair of shingles among the first few, as linked sets agree on such a pair. Larger
+   ones are heavy: they scan the inverted lists of their first few single shingles, in which light
+   sets are listed too if they are large enough to link with a heavy one. Pairs of a set grow with the
+   square of its size but meet few others; the bound is where the pairs of all light sets and the list
+   entries that all heavy sets read cost least together.
+3. Groups of one key are not paired off. First each member meets one pivot, the member whose shingles are
+   most common; sets linked by then have one label. Groups of one label are done. In the others only
+   members of different labels meet, and these all do, but within the join parity sketches of the sets rule
+   out pairs that are too far apart, so few are made. So a group of copies costs a step for each, and no
+   link between two components is missed. All pairs are verified on the whole sets.
 
 Defined results: null and empty texts and those of white space only have no shingles and are their
 own component; shorter texts have one shingle, the whole sequence; repeated rows and equal sets are
@@ -41,7 +43,8 @@ from kbspark.session import stored
 
 SIZE, PERCENT = 4, 85
 BITMAP = 26  # bits of the table that marks the sets to fetch
-PIVOTS = 2
+MARKS = 6
+SKETCH = 16
 
 
 # --- bounds; for numbers, arrays and columns alike ------------------------------------------
@@ -66,9 +69,13 @@ def needed(n, percent: int):
     return common(least_overlap(n, percent), percent)
 
 
+def overlap_column(n: Column, percent: int) -> Column:
+    return F.floor((n * percent + 99) / 100).cast("int")
+
+
 def needed_column(n: Column, percent: int) -> Column:
-    lacking = lambda size: size - F.floor((size * percent + 99) / 100)
-    return F.greatest(F.lit(2), F.floor(lacking(F.floor((n * percent + 99) / 100)) / 2)).cast("int")
+    least = overlap_column(n, percent)
+    return F.greatest(F.lit(2), F.floor((least - overlap_column(least, percent)) / 2)).cast("int")
 
 
 def alike(n: Column, m: Column, percent: int) -> Column:
@@ -163,25 +170,28 @@ def bitmap_of(sets: DataFrame) -> np.ndarray:
 # --- keys ----------------------------------------------------------------------------------
 
 
-def shared_parts(sets: DataFrame, percent: int) -> DataFrame:
-    """``id, n, shingle``: what is left of the parts of ``sets(id, n, part)`` when shingles of one set only and sets
-    with too few shared shingles are dropped."""
-    filed = sets.select("id", "n", F.explode("part").alias("shingle"))
+def shared(filed: DataFrame, sizes: DataFrame, enough: Column) -> DataFrame:
+    """``id, shingle``: what is left of ``filed(id, shingle)``, each once, when shingles of one set only are dropped, and
+    then sets with fewer than ``enough`` of them, twice over. ``sizes(id, n)`` tells the size of each set."""
+    sizes = sizes.select(F.col("id").alias("i"), "n")
     for _ in range(2):
-        shared = filed.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select(F.col("shingle").alias("s"))
-        left = stored(filed.join(shared, F.col("shingle") == F.col("s"), "left_semi"), "jaccard-shared")
-        enough = left.groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= needed_column(F.col("n"), percent))
-        filed = left.join(enough.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi")
+        common = filed.groupBy("shingle").count().filter("count > 1").select(F.col("shingle").alias("s"))
+        left = stored(filed.join(common, F.col("shingle") == F.col("s"), "left_semi"), "jaccard-shared")
+        many = left.groupBy("id").agg(F.count(F.lit(1)).alias("m")).join(sizes, F.col("id") == F.col("i"))
+        many = many.filter(F.col("m") >= enough).select("i")
+        filed = left.join(many, F.col("id") == F.col("i"), "left_semi")
     return stored(filed, "jaccard-left")
 
 
-def by_rarity(left: DataFrame, percent: int) -> DataFrame:
-    """``id, n, q, first``: for each set the first ``q + 1`` shared shingles, rarest first; linked sets have one of the
-    first ``q`` and two of the first ``q + 1`` in common."""
+def by_rarity(left: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``id, n, q, first, fame``: for each set the first ``q + 1`` shared shingles, rarest first; linked sets have one of
+    the first ``q`` and two of the first ``q + 1`` in common. ``fame`` is how many sets have its shingles, on average."""
     held = left.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("held_by"))
-    rated = left.join(held, F.col("shingle") == F.col("s")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held_by", "shingle"))).alias("all"))
-    q = F.size("all") - needed_column(F.col("n"), percent) + 1
-    return rated.withColumn("q", q).filter("q > 0").select("id", "n", "q", F.slice("all", F.lit(1), F.col("q") + 1).alias("first"))
+    rated = left.join(held, F.col("shingle") == F.col("s")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held_by", "shingle"))).alias("all"))
+    rated = rated.join(sizes.select(F.col("id").alias("i"), "n"), F.col("id") == F.col("i")).drop("i")
+    q = F.size("all") - overlap_column(F.col("n"), percent) + 1
+    fame = F.aggregate("all", F.lit(0.0), lambda total, s: total + s["held_by"]) / F.col("n")
+    return rated.withColumn("q", q).filter("q > 0").select("id", "n", "q", F.slice("all", F.lit(1), F.col("q") + 1).alias("first"), fame.alias("fame"))
 
 
 def cheapest_bound(rated: DataFrame, percent: int) -> int:
@@ -202,7 +212,7 @@ def cheapest_bound(rated: DataFrame, percent: int) -> int:
 
 
 def members(rated: DataFrame, bound: int, percent: int) -> DataFrame:
-    """``key, listed, id, n, heavy``: the groups that sets are filed in. In a list (``listed``) only pairs with a
+    """``key, listed, id, n, heavy, fame``: the groups that sets are filed in. In a list (``listed``) only pairs with a
     heavy set count."""
     heavy = F.col("n") > bound
 
@@ -216,15 +226,31 @@ def members(rated: DataFrame, bound: int, percent: int) -> DataFrame:
             out.append(remixed(remixed(low, STEP) + high, BASE).view(np.int64))
         return lists(np.concatenate(out) if out else np.zeros(0, np.int64), np.array([len(x) for x in out], np.int64))
 
-    light = rated.filter(~heavy).select(F.explode(pairs(F.transform("first", lambda s: s["shingle"]))).alias("key"), F.lit(False).alias("listed"), "id", "n", F.lit(False).alias("heavy"))
+    light = rated.filter(~heavy).select(F.explode(pairs(F.transform("first", lambda s: s["shingle"]))).alias("key"), F.lit(False).alias("listed"), "id", "n", F.lit(False).alias("heavy"), "fame")
     listed = rated.filter(F.col("n") * 100 >= percent * (bound + 1))
     entry = F.explode(F.transform(F.slice("first", F.lit(1), F.col("q")), lambda s: s["shingle"]))
-    return light.unionByName(listed.select(entry.alias("key"), F.lit(True).alias("listed"), "id", "n", heavy.alias("heavy")))
+    return light.unionByName(listed.select(entry.alias("key"), F.lit(True).alias("listed"), "id", "n", heavy.alias("heavy"), "fame"))
 
 
 # --- pairs ---------------------------------------------------------------------------------
 
 
+def sketches(whole: DataFrame) -> DataFrame:
+    """``of`` and ``SKETCH`` columns of 64 parity bits: each shingle of a set changes one of them, so two sets differ in at
+    least as many shingles as their sketches in bits."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(sets: pa.Array) -> pa.Array:
+        out = np.zeros((len(sets), SKETCH), np.int64)
+        for i, s in enumerate(sets):
+            at = remixed(s.values.to_numpy(zero_copy_only=False).view(np.uint64), STEP) % np.uint64(64 * SKETCH)
+            out[i] = np.packbits((np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(bool), bitorder="little").view(np.int64)
+        return lists(out.ravel(), np.full(len(sets), SKETCH))
+
+    made = whole.select(F.col("id").alias("of"), run("shingles").alias("s"))
+    return made.select("of", *[F.col("s")[i].alias(f"s{i}") for i in range(SKETCH)])
+
+
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` that link, by the sets in ``whole(id, shingles)``."""
 
@@ -245,10 +271,10 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return met.filter(link("x", "y")).select("u", "v")
 
 
-def to_pivots(groups: DataFrame, turn: int, percent: int) -> DataFrame:
-    """``u, v``: each member of a group with the group's pivot, a heavy set if there is one."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    pivot = groups.groupBy(F.col("key").alias("k"), F.col("listed").alias("l")).agg(F.min(F.struct(~F.col("heavy"), order.alias("o"), "id", "n", "heavy")).alias("p"))
+def to_pivots(groups: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: each member of a group with the group's pivot, the one of most fame, as others are likely made from it; a
+    heavy set if there is one."""
+    pivot = groups.groupBy(F.col("key").alias("k"), F.col("listed").alias("l")).agg(F.max(F.struct("heavy", "fame", "id", "n")).alias("p"))
     met = groups.join(pivot, (F.col("key") == F.col("k")) & (F.col("listed") == F.col("l")))
     met = met.filter((F.col("id") != F.col("p.id")) & alike(F.col("n"), F.col("p.n"), percent) & (~F.col("listed") | F.col("heavy") | F.col("p.heavy")))
     return met.select(F.greatest("id", "p.id").alias("u"), F.least("id", "p.id").alias("v")).distinct()
@@ -263,40 +289,54 @@ def with_labels(groups: DataFrame, links: DataFrame) -> DataFrame:
     return named.join(mixed, (F.col("key") == F.col("k")) & (F.col("listed") == F.col("l")), "left_semi")
 
 
-def across_labels(groups: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: all pairs of members of one group that have different labels and may link."""
-    cell = groups.groupBy("key", "listed", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("heavy").alias("heavy"))
-    a, b = cell.alias("a"), cell.alias("b")
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.listed") == F.col("b.listed")) & (F.col("a.label") < F.col("b.label"))
-    can = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent) & (~F.col("a.listed") | F.col("a.heavy") | F.col("b.heavy"))
-    cells = a.join(b, same & can).select(F.col("a.key").alias("ck"), F.col("a.listed").alias("cl"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"))
-    one = groups.select("key", "listed", "label", "id", "n", "heavy")
-    left = cells.join(one, (F.col("ck") == F.col("key")) & (F.col("cl") == F.col("listed")) & (F.col("la") == F.col("label")))
-    left = left.select("ck", "cl", "lb", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("heavy").alias("hx"))
-    met = left.join(one, (F.col("ck") == F.col("key")) & (F.col("cl") == F.col("listed")) & (F.col("lb") == F.col("label")))
-    met = met.filter(alike(F.col("nx"), F.col("n"), percent) & (~F.col("listed") | F.col("hx") | F.col("heavy")))
-    return met.select(F.greatest("x", "id").alias("u"), F.least("x", "id").alias("v")).distinct()
+def across_labels(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: all pairs of members of one group that have different labels and may link, by their sizes and sketches.
+
+    In each group the members outside its most frequent label meet all others, so the members of that label do
+    not meet each other. A pair is in many groups; each member names ``MARKS`` of its keys, the least ones by
+    as many hashes, and a pair that agrees on one of them is made there only.
+    """
+    marks = [f"m{i}" for i in range(MARKS)]
+    named = groups.groupBy(F.col("id").alias("by"), F.col("listed").alias("in")).agg(*[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(m) for i, m in enumerate(marks)])
+    cell = groups.groupBy("key", "listed", "label").agg(F.count(F.lit(1)).alias("c"))
+    most = cell.groupBy(F.col("key").alias("k"), F.col("listed").alias("l")).agg(F.max_by("label", F.struct("c", "label")).alias("most"))
+    named = named.join(sketches, F.col("by") == F.col("of")).drop("of")
+    met = groups.join(named, (F.col("id") == F.col("by")) & (F.col("listed") == F.col("in"))).drop("by", "in", "fame")
+    met = met.join(most, (F.col("key") == F.col("k")) & (F.col("listed") == F.col("l"))).drop("k", "l")
+    met = stored(met.withColumn("few", F.col("label") != F.col("most")).drop("most"), "jaccard-cells")
+    a, b = met.filter("few").alias("a"), met.alias("b")
+    cond = (F.col("a.key") == F.col("b.key")) & (F.col("a.listed") == F.col("b.listed")) & (F.col("a.label") != F.col("b.label"))
+    cond = cond & (~F.col("b.few") | (F.col("a.id") < F.col("b.id"))) & (~F.col("a.listed") | F.col("a.heavy") | F.col("b.heavy"))
+    here = F.when(F.col(f"a.{marks[0]}") == F.col(f"b.{marks[0]}"), F.col("a.key") == F.col(f"a.{marks[0]}"))
+    for m in marks[1:]:
+        here = here.when(F.col(f"a.{m}") == F.col(f"b.{m}"), F.col("a.key") == F.col(f"a.{m}"))
+    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+    near = apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+    pairs = a.join(b, cond & alike(F.col("a.n"), F.col("b.n"), percent) & here.otherwise(True) & near)
+    return pairs.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
 
 def links_of(sets: DataFrame, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """``u, v``: links that connect exactly the sets of ``sets(id, n, s1, s2, part)`` that a chain of links connects.
     Links of two sets that others connect may be missing."""
-    rated = stored(by_rarity(shared_parts(sets.filter(F.size("part") > 0), percent), percent), "jaccard-rated")
+    parts = sets.select("id", F.explode("part").alias("shingle"))
+    left = shared(parts, sets, needed_column(F.col("n"), percent)).select(F.col("id").alias("i")).distinct()
+    marked = stored(sets.select("id", "n", "s1", "s2").join(left, F.col("id") == F.col("i"), "left_semi"), "jaccard-marked")
+    found = whole_sets(docs, text, size, bitmap_of(marked)).groupBy(F.col("s1").alias("h1"), F.col("s2").alias("h2")).agg(F.first("shingles").alias("shingles"))
+    whole = stored(marked.join(found, (F.col("s1") == F.col("h1")) & (F.col("s2") == F.col("h2"))).select("id", "n", "shingles"), "jaccard-whole")
+    rated = shared(whole.select("id", F.explode("shingles").alias("shingle")), whole, overlap_column(F.col("n"), percent))
+    rated = stored(by_rarity(rated, whole, percent), "jaccard-rated")
+    own = rated.select(F.col("id").alias("i"))
+    whole = stored(whole.join(own, F.col("id") == F.col("i"), "left_semi"), "jaccard-left-whole")
     groups = members(rated, cheapest_bound(rated, percent), percent)
     # Groups of one member, and lists without a heavy set, make no pairs.
     more = groups.groupBy(F.col("key").alias("k"), F.col("listed").alias("l")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("heavy").alias("h"))
     more = more.filter("a <> b and (h or not l)").select("k", "l")
     groups = stored(groups.join(more, (F.col("key") == F.col("k")) & (F.col("listed") == F.col("l")), "left_semi"), "jaccard-groups")
-    in_groups = groups.select(F.col("id").alias("i")).distinct()
-    marked = stored(sets.select("id", "s1", "s2").join(in_groups, F.col("id") == F.col("i"), "left_semi"), "jaccard-marked")
-    found = whole_sets(docs, text, size, bitmap_of(marked)).groupBy(F.col("s1").alias("h1"), F.col("s2").alias("h2")).agg(F.first("shingles").alias("shingles"))
-    whole = stored(marked.join(found, (F.col("s1") == F.col("h1")) & (F.col("s2") == F.col("h2"))).select("id", "shingles"), "jaccard-whole")
-    links = None
-    for turn in range(PIVOTS):
-        more = verified(to_pivots(groups, turn, percent), whole, percent)
-        links = stored(more if links is None else links.union(more), "jaccard-links")
-        groups = stored(with_labels(groups, links).drop("label") if turn + 1 < PIVOTS else with_labels(groups, links), "jaccard-mixed")
-    return stored(links.union(verified(across_labels(groups, percent), whole, percent)), "jaccard-all-links")
+    links = stored(verified(to_pivots(groups, percent), whole, percent), "jaccard-links")
+    mixed = stored(with_labels(groups, links), "jaccard-mixed")
+    near = stored(across_labels(mixed, stored(sketches(whole), "jaccard-sketches"), percent), "jaccard-near")
+    return links.union(verified(near, whole, percent))
 
 
 def near_sets(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:

@@ -252,6 +252,21 @@ def test_parts_of_linked_sets_share_enough():
         assert meet >= min(jaccard.needed(a, 85), shared) and (b == a or meet >= min(jaccard.needed(b, 85), shared))
 
 
+def test_sketches_never_differ_more_than_their_sets(spark):
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(100):
+        a = rng.integers(0, 1 << 62, int(rng.integers(1, 700)))
+        b = np.concatenate([a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 62, int(rng.integers(1, 300)))])
+        sets += [np.unique(a).tolist(), np.unique(b).tolist()]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>")
+    made = {r["of"]: [r[f"s{i}"] & (1 << 64) - 1 for i in range(jaccard.SKETCH)] for r in jaccard.sketches(df).collect()}
+    for i in range(0, 200, 2):
+        bits = sum((x ^ y).bit_count() for x, y in zip(made[i], made[i + 1]))
+        apart = len(set(sets[i]) ^ set(sets[i + 1]))
+        assert bits <= apart and (apart < 60 or bits > 40)
+
+
 def test_join_with_odd_rows(spark):
     base = [f"b{i}" for i in range(120)]
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two three"), (7, "one two three"), (8, "one two"), (None, "one two"), (None, "null only"), (None, None)]
