@@ -108,10 +108,11 @@ def plain_transcripts(segments: DataFrame, limit: int = 24000, block: int = 1024
         F.coalesce(F.sum("_n").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"),
         (F.sum("_n").over(whole) - 1).alias("total_chars"),
     )
-    early = blocks.where(F.col("_from") < limit)
+    # The line end before a segment that starts at the clip is still inside of it.
+    early = blocks.where(F.col("_from") <= limit)
     inside = Window.partitionBy("doc_id", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = spoken.join(early, ["doc_id", "_block"]).withColumn("_at", F.col("_from") + F.coalesce(F.sum("_chars").over(inside), F.lit(0)))
-    texts = placed.where(F.col("_at") < limit).groupBy("doc_id").agg(
+    texts = placed.where(F.col("_at") <= limit).groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "_at", "text"))), lambda s: s["text"]).alias("_t"),
         F.first("total_chars").alias("total_chars"),
     )
