@@ -8,8 +8,9 @@ makes it an earlier line. Lines are in the order of document id, then line numbe
 2. Two lines one edit apart agree on their first or last half (rounded down, of the longer one's
    words less one). Lines none of whose halves another line has are left out; the others are
    marked in a bitmap of fixed size, and their words fetched by a second pass.
-3. Each emits its deletion variants as hashed keys: with the place of the gap, equal variants are
-   lines one exchange apart; without, they are equal to a line one word shorter. Of every group
+3. Each emits its deletion variants as hashed keys, for gaps outside of a half that another line has
+   too: with the place of the gap, equal variants are lines one exchange apart; without, they are equal
+   to a line one word shorter. Of every group
    of equal variants only the earliest line is kept, so no pairs are made however large it is,
    and every other line of the group is paired with that one.
 4. Pairs are verified word by word before a line is dropped.
@@ -82,7 +83,7 @@ def half_keys(lines: Lines, own: np.ndarray) -> np.ndarray:
 
 
 LINE = "line:int,n_words:int,h1:bigint,h2:bigint,halves:array<bigint>"
-VARIANTS = "h1 bigint, h2 bigint, doc bigint, line int, kind int, variant bigint, other bigint"
+VARIANTS = "id bigint, kind int, variant bigint, other bigint"
 
 
 def hash_lines(docs: DataFrame) -> DataFrame:
@@ -143,37 +144,45 @@ EXCHANGED, LONGER, SHORTER = 0, 1, 2
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """Hashed variants of ``lines(h1, h2, doc, line, words)``: kind, and a key in two parts."""
+    """Hashed variants of ``lines(id, shared, words)``: kind, and a key in two parts.
+
+    The bits of ``shared`` say which of a line's four half keys another line has too. Lines one edit apart
+    agree on the half that the gap is not in, so only gaps outside of a shared half make a variant.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            for a, _, words in slices(batch.column(4), NOT_SPACE):
+            ids, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for a, _, words in slices(batch.column(2), NOT_SPACE):
                 lines = Lines(words)
+                held = bits[a + lines.text]
                 own = np.repeat(np.arange(len(lines.first)), lines.size)
                 gap = np.arange(len(own))
+                # Bits 0 and 1: the first and the last half of a line of this length.
+                behind = gap - lines.first[own] >= ((lines.size - 1) // 2)[own]
+                made = np.where(behind, held[own] & 1, held[own] & 2) > 0
+                own, gap = own[made], gap[made]
                 first, last, size = lines.first[own], lines.last[own], lines.size[own]
                 rest = []
                 for k, base in ((0, STEP), (1, SECOND)):
                     # The words after the gap move up by one place.
                     shift = powers(base, int(size.max(initial=0)) + 1)[gap - first]
                     rest.append(lines.run(first, gap, k) + lines.run(gap + 1, last, k) * shift)
-                whole = [lines.run(lines.first, lines.last, k) for k in (0, 1)]
+                # Bits 2 and 3: the halves as those of a line one word longer.
+                whole = np.flatnonzero(held & 12)
+                short = [lines.run(lines.first[whole], lines.last[whole], k) for k in (0, 1)]
                 rows = [
                     (own, EXCHANGED, mixed(size, gap - first, rest[0]), mixed(size, gap - first, rest[1])),
                     (own, LONGER, mixed(size - 1, rest[0]), mixed(size - 1, rest[1])),
-                    (np.arange(len(lines.first)), SHORTER, mixed(lines.size, whole[0]), mixed(lines.size, whole[1])),
+                    (whole, SHORTER, mixed(lines.size[whole], short[0]), mixed(lines.size[whole], short[1])),
                 ]
                 for of, kind, one, two in rows:
                     at = a + lines.text[of]
                     for cut in range(0, len(at), 1 << 15):
                         c = slice(cut, cut + (1 << 15))
                         yield pa.RecordBatch.from_arrays(
-                            [
-                                *(pa.array(x[at[c]]) for x in names), pa.array(np.full(len(at[c]), kind, np.int32)),
-                                pa.array(one[c].view(np.int64)), pa.array(two[c].view(np.int64)),
-                            ],
-                            ["h1", "h2", "doc", "line", "kind", "variant", "other"],
+                            [pa.array(ids[at[c]]), pa.array(np.full(len(at[c]), kind, np.int32)), pa.array(one[c].view(np.int64)), pa.array(two[c].view(np.int64))],
+                            ["id", "kind", "variant", "other"],
                         )
 
     return lines.mapInArrow(run, VARIANTS)
@@ -191,32 +200,35 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``h1, h2`` of the distinct lines that are one edit from an earlier line."""
-    halves = first.select("h1", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select(F.col("half").alias("k"))
-    marked = halves.join(shared, F.col("half") == F.col("k"), "left_semi").select("h1").distinct()
-    bits = marked.select(F.shiftrightunsigned("h1", 64 - BITMAP).alias("b")).selectExpr("shiftright(b, 6) as at", "shiftleft(1L, cast(b & 63 as int)) as bits")
+    halves = first.select("h1", "h2", F.posexplode("halves").alias("i", "half"))
+    both = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select(F.col("half").alias("k"))
+    held = halves.join(both, F.col("half") == F.col("k"), "left_semi").groupBy(F.col("h1").alias("m1"), F.col("h2").alias("m2"))
+    held = stored(held.agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("shared")), "lines-shared")
+    bits = held.select(F.shiftrightunsigned("m1", 64 - BITMAP).alias("b")).selectExpr("shiftright(b, 6) as at", "shiftleft(1L, cast(b & 63 as int)) as bits")
     bitmap = np.zeros(1 << (BITMAP - 6), np.int64)
     for r in bits.groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():  # at most 2**BITMAP bits
         bitmap[r["at"]] = r["bits"]
     text = fetch_lines(docs, bitmap.view(np.uint8)).groupBy("h1", "h2").agg(F.min("words").alias("words"))
     place = first.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), "place")
-    lines = text.join(place, (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2"))).select("h1", "h2", "words", "place")
-    lines = stored(lines, "lines-text")
-    made = variants(lines.select("h1", "h2", "place.doc", "place.line", "words"))
-    made = made.select("h1", "h2", "kind", "variant", "other", F.struct("doc", "line").alias("place"))
-    mine = F.struct("place", "h1", "h2")
+    lines = text.join(held, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2"))).join(place, (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2")))
+    lines = stored(lines.select("h1", "h2", "shared", "words", "place"), "lines-text")  # sorted by samples, so read twice
+    # Numbers in the order of places: one number stands for a line and tells which is earlier.
+    ordered = lines.repartitionByRange("place", "h1").sortWithinPartitions("place", "h1")
+    lines = stored(ordered.withColumn("id", F.monotonically_increasing_id()), "lines-numbered")
+    made = variants(lines.select("id", "shared", "words"))
     group = made.groupBy((F.col("kind") != EXCHANGED).alias("moved"), "variant", "other").agg(
-        F.min(F.when(F.col("kind") != SHORTER, mine)).alias("long"), F.min(F.when(F.col("kind") == SHORTER, mine)).alias("short"),
-        F.min("h1").alias("a"), F.max("h1").alias("b"),
+        F.min(F.when(F.col("kind") != SHORTER, F.col("id"))).alias("long"), F.min(F.when(F.col("kind") == SHORTER, F.col("id"))).alias("short"),
+        F.min("id").alias("a"), F.max("id").alias("b"),
     )
     # A lone line pairs with nothing; of the others either the earliest long or the short one is the partner.
     group = stored(group.filter("a <> b and (not moved or (long is not null and short is not null))"), "lines-groups")
     group = group.select("moved", F.col("variant").alias("v"), F.col("other").alias("o"), "long", "short")
     met = made.join(group, ((F.col("kind") != EXCHANGED) == F.col("moved")) & (F.col("variant") == F.col("v")) & (F.col("other") == F.col("o")))
     partner = F.when(F.col("kind") == LONGER, F.col("short")).otherwise(F.col("long"))
-    pairs = met.select("h1", "h2", "place", partner.alias("p")).filter("p.place < place").select("h1", "h2", F.col("p.h1").alias("q1"), F.col("p.h2").alias("q2")).distinct()
-    a, b = lines.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("words").alias("x")), lines.select(F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("words").alias("y"))
-    pairs = pairs.join(a, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).join(b, (F.col("q1") == F.col("y1")) & (F.col("q2") == F.col("y2")))
+    pairs = met.select("id", partner.alias("q")).filter("q < id").distinct()
+    a = lines.select(F.col("id").alias("i"), "h1", "h2", F.col("place").alias("px"), F.col("words").alias("x"))
+    b = lines.select(F.col("id").alias("j"), F.col("place").alias("py"), F.col("words").alias("y"))
+    pairs = pairs.join(a, F.col("id") == F.col("i")).join(b, F.col("q") == F.col("j")).filter("py < px")
 
     @F.arrow_udf("boolean")
     def verified(x: pa.Array, y: pa.Array) -> pa.Array:
