@@ -155,9 +155,14 @@ def links(text: Column) -> Column:
 
 
 def first_by(items: Column, key) -> Column:
-    """Keep the first item for every ``key(item)``, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda item, i: F.array_position(keys, key(item)) == i + 1)
+    """Keep the first item for every ``key(item)``, in order; by two sorts, as lists may be long."""
+    marked = F.transform(items, lambda item, i: F.struct(key(item).alias("k"), i.alias("i"), item.alias("v")))
+
+    def firsts(by_key: Column) -> Column:
+        new = F.filter(by_key, lambda x, i: (i == 0) | (F.get(by_key, i - 1)["k"] != x["k"]))
+        return F.transform(F.array_sort(F.transform(new, lambda x: F.struct(x["i"], x["v"]))), lambda x: x["v"])
+
+    return let(F.array_sort(marked), firsts)
 
 
 def normalize_tags(raw: Column) -> Column:

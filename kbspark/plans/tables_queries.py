@@ -141,7 +141,7 @@ def voice_gallery_scan(spark, sf_dir):
     with_ctes(
         """
         SELECT doc_id, segment_id, CASE WHEN lang = 'en' THEN 'EN ' || text ELSE text END AS text FROM chunks
-        UNION ALL SELECT doc_id, 'summary', left(norm, 80) FROM docs WHERE lang = 'en'
+        UNION ALL SELECT doc_id, 'summary', norm FROM docs WHERE lang = 'en'
         """,
         "chunks",
     ),
@@ -153,7 +153,7 @@ def upsert_segments(spark, sf_dir):
     newer = english.withColumn("text", F.concat(F.lit("EN "), "text")).withColumn("updated", F.lit(2))
     added = b.source_documents(spark, sf_dir).where("lang = 'en'").select(
         "lang", "doc_id", F.lit("summary").alias("segment_id"),
-        F.substring(tx.normalize_space(F.col("text")), 1, 80).alias("text"), F.lit(1).alias("updated"),
+        tx.normalize_space(F.col("text")).alias("text"), F.lit(1).alias("updated"),
     )
     source = older.unionByName(newer).unionByName(added)
     merged = tables.upsert(target, source, schemas.KEYS["kb_segments"], F.col("updated").desc())
@@ -260,7 +260,7 @@ def segments_filtered(spark, sf_dir):
     with_ctes(
         """
         SELECT c.doc_id, c.segment_id, c.text, CASE WHEN l.doc_id IS NULL THEN '' ELSE c.lang || '|' || c.source END AS topics,
-               CASE WHEN l.quality = 1 THEN left(c.text, 40) ELSE '' END AS summary_short
+               CASE WHEN l.quality = 1 THEN c.text ELSE '' END AS summary_short
         FROM chunks c LEFT JOIN labels l ON l.doc_id = c.doc_num
         """,
         "chunks",
@@ -277,7 +277,7 @@ def publish_rows(spark, sf_dir):
         enriched.where("quality = 1").select(
             F.col("doc_id").alias("source_id"),
             F.col("segment_id").alias("source_version"),
-            F.substring("text", 1, 40).alias("summary_short"),
+            F.col("text").alias("summary_short"),
             F.lit(None).cast("string").alias("summary_long"),
         ),
     )

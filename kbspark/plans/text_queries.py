@@ -237,7 +237,7 @@ def stable_ids(spark, sf_dir):
 @query(
     "normalize_tags",
     """
-    WITH raw AS (SELECT doc_id, lang || ',' || upper(lang) || ', ' || source || chr(10) || left(text, 90) || ',' || upper(source) AS r FROM documents),
+    WITH raw AS (SELECT doc_id, lang || ',' || upper(lang) || ', ' || source || chr(10) || text || ',' || upper(source) AS r FROM documents),
     parts AS (SELECT doc_id, unnest(string_split(replace(r, chr(10), ','), ',')) AS p,
                      generate_subscripts(string_split(replace(r, chr(10), ','), ','), 1) AS i FROM raw),
     tags AS (SELECT doc_id, i, left(regexp_replace(p, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+$', '', 'g'), 64) AS tag FROM parts),
@@ -248,7 +248,7 @@ def stable_ids(spark, sf_dir):
 def normalize_tags(spark, sf_dir):
     raw = F.array(
         F.concat_ws(",", "lang", F.upper("lang")),
-        F.concat(F.lit(" "), "source", F.lit("\n"), F.substring("text", 1, 90)),
+        F.concat(F.lit(" "), "source", F.lit("\n"), "text"),
         F.upper("source"),
     )
     return (

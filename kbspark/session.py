@@ -53,9 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def work_mark() -> int:
+    """A mark for ``drop_work``: all paths given out so far come before it."""
+    return len(_made)
+
+
+def drop_work(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Delete the folders of the paths given out between two marks, once nothing reads them any more."""
+    for path in _made[since:until]:
+        delete_path(spark, path)
+    del _made[since:until]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbspark.operators import deletion
-from kbspark.session import work_path
+from kbspark.session import drop_work, path_exists, stored, work_mark, work_path
 
 
 def store(spark, base):
@@ -55,3 +55,13 @@ def test_files_that_left_a_listing_name_their_sources(spark):
     listing = spark.createDataFrame([("a/1", "v"), ("a/2", "v"), ("a/3", "v")], "path string, source_version string")
     now = listing.where("path <> 'a/2'").withColumn("source_version", F.lit("w"))
     assert [r["source_id"] for r in deletion.deleted_sources(listing, now).collect()] == ["file:a/2"]
+
+
+def test_work_folders_go_when_asked(spark):
+    mark = work_mark()
+    a, b = stored(spark.range(3), "a"), stored(spark.range(4), "b")
+    paths = [r.inputFiles()[0].rsplit("/", 1)[0] for r in (a, b)]
+    drop_work(spark, mark, work_mark() - 1)
+    assert [path_exists(spark, p) for p in paths] == [False, True] and b.count() == 4
+    drop_work(spark, mark)
+    assert not path_exists(spark, paths[1]) and work_mark() == mark
