@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm import decontaminate, line_dedup, line_quality, pieces, simhash
 from kbspark.llm.queries import small_batches
-from kbspark.session import stored
+from kbspark.session import drop_work, stored, work_mark
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -83,13 +83,18 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-# Component and edit-distance decisions have no SQL; tests compare every stage with brute force.
+# Component and edit-distance decisions have no SQL; tests compare every stage with its operator, and those with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``, each written and read again."""
+    """The stages one after another over ``documents``, each written and read again.
+
+    Once a stage is written, the one before and all that was stored on the way to it are deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = work_mark()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_work(spark, since, work_mark() - 1)
     return docs

@@ -61,3 +61,17 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
         rows = [(*r, "a", "s", 1) for r in [*clean, (5, bad), (None, bad)]]
         out = stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), SF_DIR)
         assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(clean, key=str)
+
+
+def test_the_whole_run_leaves_one_table_and_equals_its_stages(spark):
+    from kbspark.session import drop_work, work_mark
+
+    mark = work_mark()
+    out = corpus_pipeline.run(spark, SF_DIR)
+    assert work_mark() == mark + 1
+    got = sorted((r["doc_id"], r["text"], tuple(r["ids"]), r["round_trip"]) for r in out.collect())
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF_DIR), f"test-{name}")
+    assert got == sorted((r["doc_id"], r["text"], tuple(r["ids"]), r["round_trip"]) for r in docs.collect()) and got
+    drop_work(spark, mark)
