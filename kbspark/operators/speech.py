@@ -345,12 +345,12 @@ def match_counts(matches: DataFrame) -> DataFrame:
 # --- voice gallery --------------------------------------------------------------------------
 
 # Gallery fields by the way they merge.
-LIST_FIELDS = ("aliases", "tags", "roles", "organizations", "same_as")
+LIST_FIELDS = ("aliases", "tags", "roles", "organizations", "same_as", "identifiers", "contacts", "socials")
 SCALAR_FIELDS = (
     "given_name", "family_name", "display_name", "full_name", "title", "role", "affiliation", "notes", "person_id",
-    "bio",
+    "birth_date", "death_date", "gender", "nationality", "language", "country", "city", "bio", "homepage", "image",
 )
-MAP_FIELDS = ("source_refs",)
+MAP_FIELDS = ("credits", "source_refs", "ebucore")
 
 
 def merge_gallery(entries: DataFrame, incoming: DataFrame, overwrite: bool) -> DataFrame:
@@ -365,7 +365,7 @@ def merge_gallery(entries: DataFrame, incoming: DataFrame, overwrite: bool) -> D
     def side(prefix: str, name: str, have: set, kind: str) -> Column:
         return F.col(f"{prefix}.{name}") if name in have else F.lit(None).cast(kind)
 
-    out = [F.col("voiceprint_id")]
+    out, maps = [F.col("voiceprint_id")], set()
     for name in LIST_FIELDS:
         if name in known | fresh:
             both = [
@@ -382,14 +382,16 @@ def merge_gallery(entries: DataFrame, incoming: DataFrame, overwrite: bool) -> D
                 value = F.coalesce(F.nullif(value, F.lit("")), F.concat(F.lit("person_"), "voiceprint_id"))
             out.append(value.alias(name))
     for name in MAP_FIELDS:
-        if name in known | fresh:
+        # Such a field may also be stored as JSON text, which is kept by the rule of scalars below.
+        if name in known | fresh and all(t.startswith("map") for t in (dict(d.dtypes).get(name, "map") for d in (entries, incoming))):
+            maps.add(name)
             kind = "map<string,string>"
             old = F.coalesce(side("o", name, known, kind), F.create_map().cast(kind))
             new = F.coalesce(side("n", name, fresh, kind), F.create_map().cast(kind))
             merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
             out.append((merged if overwrite else F.when(F.size(old) > 0, old).otherwise(new)).alias(name))
-    # Fields of other names and kinds are kept by the same rule as scalars.
-    listed = {"voiceprint_id", *LIST_FIELDS, *SCALAR_FIELDS, *MAP_FIELDS}
+    # Fields of other names and kinds, such as the confidence, are kept by the same rule as scalars.
+    listed = {"voiceprint_id", *LIST_FIELDS, *SCALAR_FIELDS, *maps}
     for name in [*entries.columns, *(c for c in incoming.columns if c not in known)]:
         if name not in listed:
             both = [F.col(f"{p}.{name}") for p, have in (("n", fresh), ("o", known)) if name in have]
@@ -415,6 +417,7 @@ TEXT_SCALARS = (
     "display_name", "full_name", "given_name", "family_name", "title", "role", "affiliation", "bio", "notes",
 )
 TEXT_LISTS = ("roles", "organizations", "aliases", "tags", "same_as")
+TEXT_JSON = ("identifiers", "contacts", "socials", "source_refs", "ebucore")
 
 
 def gallery_text(entries: DataFrame) -> DataFrame:
@@ -426,9 +429,10 @@ def gallery_text(entries: DataFrame) -> DataFrame:
     parts += [
         F.when(F.size(n) > 0, F.concat(F.lit(f"{n}: "), F.array_join(n, ", "))) for n in TEXT_LISTS if n in have
     ]
-    parts += [
-        F.when(F.size(n) > 0, F.concat(F.lit(f"{n}: "), F.to_json(n))) for n in MAP_FIELDS if n in have
-    ]
+    kinds = dict(entries.dtypes)
+    for n in (n for n in TEXT_JSON if n in have):
+        filled, text = (F.coalesce(n, F.lit("")) != "", F.col(n)) if kinds[n] == "string" else (F.size(n) > 0, F.to_json(n))
+        parts.append(F.when(filled, F.concat(F.lit(f"{n}: "), text)))
     return entries.select("voiceprint_id", F.concat_ws("\n", *parts).alias("text")).withColumn(
         "text_hash", F.sha2("text", 256)
     )

@@ -97,3 +97,15 @@ def test_pseudonyms_keep_the_first_category_and_adjacent_matches(spark):
     assert got[None] is None
     assert all(got[t] == want for t, want in texts.items())
     assert got["ip 10.0.0.1 end"].startswith("ip [PII_") and got["ip 10.0.0.1 end"].endswith("] end")
+
+
+def test_gallery_fields_merge_and_are_part_of_the_text(spark):
+    schema = "voiceprint_id string, display_name string, city string, confidence double, contacts array<string>, credits map<string,string>, ebucore string"
+    old = spark.createDataFrame([("v", "Ann", "", 0.4, ["mail:a", None], {"film": "x"}, None)], schema)
+    new = spark.createDataFrame([("v", "Anna", "Lund", 0.9, ["mail:a", "tel:1"], {"film": "y", "tv": "z"}, '{"@id":1}'), ("w", "Bo", None, None, None, None, None)], schema)
+    put = {r["voiceprint_id"]: r for r in speech.merge_gallery(old, new, True).collect()}
+    kept = {r["voiceprint_id"]: r for r in speech.merge_gallery(old, new, False).collect()}
+    assert (put["v"]["city"], put["v"]["confidence"], put["v"]["contacts"], put["v"]["credits"]) == ("Lund", 0.9, ["mail:a", "tel:1"], {"film": "y", "tv": "z"})
+    assert (kept["v"]["display_name"], kept["v"]["city"], kept["v"]["confidence"], kept["v"]["credits"], kept["v"]["ebucore"]) == ("Ann", "Lund", 0.4, {"film": "x"}, '{"@id":1}')
+    texts = {r["voiceprint_id"]: r["text"] for r in speech.gallery_text(speech.merge_gallery(old, new, True)).collect()}
+    assert texts == {"v": 'display_name: Anna\ncontacts: ["mail:a","tel:1"]\nebucore: {"@id":1}', "w": "display_name: Bo"}
