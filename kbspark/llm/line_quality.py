@@ -31,7 +31,6 @@ from xxhash import xxh64_intdigest
 from kbspark.session import stored
 
 SHARE, LEAST_LIMIT, DEPLETED = 0.05, 4, 0.5
-SQL_LIMIT = 100  # in place of LEAST_LIMIT, as OP8_SQL states it
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -158,7 +157,7 @@ def remove_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", host: s
     return rows.select(*kept, done["n"].alias("n_lines_removed"))
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text FROM documents),
 w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -177,7 +176,7 @@ w AS (
   SELECT host, line, count(DISTINCT text) AS n, min(doc_id) AS first FROM l GROUP BY host, line
 ), hs AS (SELECT host, count(DISTINCT text) AS n_docs FROM d GROUP BY host),
 above AS (
-  SELECT f.host, line, first FROM f JOIN hs ON f.host IS NOT DISTINCT FROM hs.host WHERE n > 100 AND n > 0.05 * n_docs
+  SELECT f.host, line, first FROM f JOIN hs ON f.host IS NOT DISTINCT FROM hs.host WHERE n > {LEAST_LIMIT} AND n > {SHARE} * n_docs
 ), lost AS (
   SELECT l.doc_id, CAST(sum(len(l.line)) AS BIGINT) AS n_removed_words FROM l JOIN above a
   ON l.host IS NOT DISTINCT FROM a.host AND l.line = a.line WHERE l.doc_id IS DISTINCT FROM a.first GROUP BY l.doc_id
@@ -187,6 +186,6 @@ SELECT w.doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(wo
   len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   len(words) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(words) AS base_failed,
   coalesce(n_removed_words, 0) AS n_removed_words,
-  NOT (len(words) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(words)) AND coalesce(n_removed_words, 0) <= 0.5 * len(words) AS kept
+  NOT (len(words) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(words)) AND coalesce(n_removed_words, 0) <= {DEPLETED} * len(words) AS kept
 FROM w LEFT JOIN repw USING (doc_id) LEFT JOIN lost USING (doc_id)
 """

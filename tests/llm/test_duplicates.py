@@ -245,3 +245,16 @@ def test_a_small_host_loses_its_footer(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = sorted((r["doc_id"], r["text"]) for r in line_quality.remove_lines(df).collect())
     assert got == [(i, own(i) if 0 < i < 30 else t) for i, t, _ in rows]
+
+
+def test_the_registered_query_removes_lines(spark):
+    """With its own limits, on hosts of some dozens of documents."""
+    from kbspark.llm import queries
+
+    footer = "read more about us on the pages of this site"
+    rows = [(i, f"host{i % 2}", " ".join(f"w{i}x{k}" for k in range(70)) + (f"\n{footer}" if i % 4 < 3 else "")) for i in range(60)]
+    got = line_quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    # Host 0 holds documents 0 and 2, host 1 documents 1 and 3 of every four; the earliest keeps its line.
+    assert {r["doc_id"] for r in got if r["n_removed_words"] == 10} == {i for i in range(60) if i % 4 < 3} - {0, 1}
+    found = queries.op8_line_quality(spark, "/root/testdata/sf0.01").agg({"n_removed_words": "sum"}).first()[0]
+    assert found > 0
