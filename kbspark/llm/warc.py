@@ -14,7 +14,10 @@ Defined results: a null html is an empty payload; a null or empty URL is written
 read back as null; blanks and line ends in a URL are percent-encoded; a null page id is kept as null
 and never the target of a reference unless all equal payloads have none; repeated rows of a page
 id are records of their own and all of them are what the smallest id is; an empty table gives
-archives without records. Only ``page_id, url, html`` are read, further columns are ignored.
+archives without records; blocks and payloads in any encoding are carried as bytes, and header lines
+that are no UTF-8 are taken as Latin-1. Only ``page_id, url, html`` are read, further columns are ignored.
+
+A file is one gzip member, so its records are read in order and not by offset.
 """
 
 from __future__ import annotations
@@ -46,6 +49,14 @@ GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 # --- ARC -------------------------------------------------------------------------------
 
 
+def text_of(raw: bytes) -> str:
+    """Header bytes as text: UTF-8, or Latin-1 as older crawlers wrote it."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
 def version_block(version: int, name: str, date: str = ARC_DATE) -> str:
     body = f"{version} 0 kbspark\n{ARC_FIELDS[version]}\n"
     extra = "" if version == 1 else f" 200 - - 0 {name}"
@@ -89,26 +100,32 @@ def contents(pieces: Iterator[tuple[str, bytes]], end: bytes, size_of) -> Iterat
     """File, header and content of each record, from the pieces between two ends.
 
     ``size_of(header)`` is the declared length; the content is put together from as many pieces
-    as have that many bytes, ends between them included. Blank pieces between records are skipped.
+    as have that many bytes, ends between them included. A content that ends like half an end is parted too
+    early; what is left over is the start of the next record. Blank pieces between records are skipped.
     """
-    for file, header in pieces:
+    left: list[tuple[str, bytes]] = []
+    for file, header in iter(lambda: left.pop() if left else next(pieces, None), None):
         if not header.strip():
             continue
         size = size_of(file, header)
         parts, have = [], -len(end)
         while have < size:
-            where, piece = next(pieces, (None, b""))
+            where, piece = left.pop() if left else next(pieces, (None, b""))
             if where != file:
                 raise ValueError(f"a record of {file} ends before its declared length {size}")
             parts.append(piece)
             have += len(end) + len(piece)
+        content = end.join(parts)
         if have != size:
-            raise ValueError(f"a record of {file} has {have} bytes and declares {size}")
-        yield file, header, end.join(parts)
+            if content[size : size + len(end)] != end:
+                raise ValueError(f"a record of {file} has {have} bytes and declares {size}")
+            left.append((file, content[size + len(end) :]))
+        yield file, header, content[:size]
 
 
-def parse_arc(pieces: Iterator[tuple[str, bytes]]) -> Iterator[dict]:
-    """Records of ARC files given line by line; a file's version block names its header fields."""
+def parse_arc(pieces: Iterator[tuple[str, bytes]], blocks: bool = False) -> Iterator[dict]:
+    """Records of ARC files given line by line; a file's version block names its header fields, and is a row of its own
+    with ``info`` if ``blocks`` is set."""
     fields: dict[str, list[str]] = {}
 
     def size_of(file: str, header: bytes) -> int:
@@ -116,9 +133,13 @@ def parse_arc(pieces: Iterator[tuple[str, bytes]]) -> Iterator[dict]:
 
     for file, header, content in contents(pieces, b"\n", size_of):
         if header.startswith(b"filedesc://"):
-            fields[file] = content.decode().split("\n")[1].split(" ")
+            lines = text_of(content).split("\n")
+            fields[file] = lines[1].split(" ")
+            name, date = text_of(header).split(" ")[0].removeprefix("filedesc://"), text_of(header).split(" ")[2]
+            if blocks:
+                yield {"info": f"{lines[0].split(' ')[0]} {name}", "Archive-date": date, "content": content}
             continue
-        values = header.decode().split(" ")
+        values = text_of(header).split(" ")
         if file not in fields or len(values) != len(fields[file]):
             raise ValueError(f"the header of a record of {file} does not have the declared fields")
         yield dict(zip(fields[file], values)) | {"content": content}
@@ -145,20 +166,30 @@ def page_of(http: dict[str, str]) -> int | None:
     return int(http["x-page-id"]) if http.get("x-page-id") else None
 
 
-ARC_INDEX = "page_id bigint, payload_bytes bigint, payload_digest string"
-ARC_RECORDS = ARC_INDEX + ", url string, date string, http string, payload string"
+ARC_INDEX = "page_id bigint, payload_bytes bigint, payload_digest string, url string, date string"
+ARC_RECORDS = ARC_INDEX + ", http binary, payload binary, info string"
+ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def columns_of(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    names, kinds = zip(*(x.split(" ") for x in schema.split(", ")))
+    return list(names), [ARROW[k] for k in kinds]
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of ARC archives; without ``payloads`` only page id, length and digest."""
+    """Records of ARC archives, blocks and payloads as they are, whatever bytes they hold; ``info`` tells the version
+    and name of a file on the row of its version block. Without ``payloads`` only what references need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for r in parse_arc(pieces_of(batches)):
+        for r in parse_arc(pieces_of(batches), payloads):
+            if "info" in r:
+                rows.append([None, None, None, None, r["Archive-date"], None, None, r["info"]])
+                continue
             http, block, payload = http_parts(r["content"])
-            row = [page_of(http), len(payload), hashlib.sha256(payload).hexdigest()]
+            row = [page_of(http), len(payload), hashlib.sha256(payload).hexdigest(), None if r["URL"] == "-" else r["URL"], r["Archive-date"]]
             if payloads:
-                row += [None if r["URL"] == "-" else r["URL"], r["Archive-date"], block.decode(), payload.decode()]
+                row += [block, payload, None]
                 held += len(payload)
             rows.append(row)
             if len(rows) == 4096 or held > 8_000_000:
@@ -168,8 +199,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
             yield as_batch(rows, names, types)
 
     schema = ARC_RECORDS if payloads else ARC_INDEX
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    types = [pa.int64() if x.endswith("bigint") else pa.string() for x in schema.split(", ")]
+    names, types = columns_of(schema)
     return read_text(spark, path, ARC_END).mapInArrow(run, schema)
 
 
@@ -190,8 +220,19 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(page_id, size, digest, url, date, http, payload, first) -> str:
-    """The WARC record of one ARC record; ``first`` is the page id it repeats, or none."""
+def info_record(info: str, date: str) -> bytes:
+    """The ``warcinfo`` record that stands for the version block of an ARC file."""
+    version, name = info.split(" ", 1)
+    block = f"software: kbspark\r\nformat: WARC File Format 1.0\r\ndescription: converted from {name}, ARC version {version}\r\n".encode()
+    head = [
+        "WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(info, date, None, '')}", f"WARC-Date: {warc_date(date)}",
+        "Content-Type: application/warc-fields", f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block
+
+
+def warc_record(page_id, size, digest, url, date, http, payload, first, first_url, first_date) -> bytes:
+    """The WARC record of one ARC record; ``first`` is the page id it repeats, with its URL and date, or none."""
     head = ["WARC/1.0"]
     web = url is None or url.startswith(("http:", "https:"))
     kind = "revisit" if first is not None else "response" if web else "resource"
@@ -199,13 +240,22 @@ def warc_record(page_id, size, digest, url, date, http, payload, first) -> str:
     if url is not None:
         head.append(f"WARC-Target-URI: {url}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
-    block = http + "\r\n\r\n"
+    block, mime = http + b"\r\n\r\n", "application/http; msgtype=response"
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"X-Refers-To-Page: {first}"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To: {record_id(first_url, first_date, first, digest)}")
+        if first_url is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {first_url}")
+        head += [f"WARC-Refers-To-Date: {warc_date(first_date)}", f"X-Refers-To-Page: {first}", f"X-Payload-Length: {size}"]
+    elif kind == "resource":
+        # No exchange was recorded, only what was found; its own headers stay as fields of the record.
+        fields = http_parts(block)[0]
+        block, mime = payload, fields.get("content-type", "application/octet-stream")
+        head.append(f"X-Page-Id: {'' if page_id is None else page_id}")
     else:
         block += payload
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block.encode())}"]
-    return "\r\n".join(head) + "\r\n\r\n" + block
+    head += [f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
 def convert(spark: SparkSession, arc: str, warc: str) -> str:
@@ -216,18 +266,22 @@ def convert(spark: SparkSession, arc: str, warc: str) -> str:
     Spark to send to all tasks.
     """
     index = read_arc(spark, arc, payloads=False).filter(F.col("payload_bytes") >= MIN_SHARED)
-    again = index.groupBy(F.col("payload_digest").alias("shared")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    again = stored(again.filter((F.col("n") > 1) & F.col("first").isNotNull()).select("shared", "first"), "warc-again")
+    origin = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "date"))).alias("o")
+    again = index.groupBy(F.col("payload_digest").alias("shared")).agg(origin, F.count(F.lit(1)).alias("n"))
+    again = again.filter((F.col("n") > 1) & F.col("o").isNotNull())
+    again = stored(again.select("shared", F.col("o.page_id").alias("first"), F.col("o.url").alias("first_url"), F.col("o.date").alias("first_date")), "warc-again")
     records = read_arc(spark, arc).join(again, F.col("payload_digest") == F.col("shared"), "left")
     repeats = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
 
-    @F.arrow_udf("string")
-    def render(p: pa.Array, n: pa.Array, d: pa.Array, u: pa.Array, t: pa.Array, h: pa.Array, x: pa.Array, f: pa.Array) -> pa.Array:
-        return pa.array([warc_record(*row) for row in zip(*(c.to_pylist() for c in (p, n, d, u, t, h, x, f)))], pa.string())
+    @F.arrow_udf("binary")
+    def render(p: pa.Array, n: pa.Array, d: pa.Array, u: pa.Array, t: pa.Array, h: pa.Array, x: pa.Array, f: pa.Array, fu: pa.Array, ft: pa.Array, i: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (p, n, d, u, t, h, x, f, fu, ft, i)))
+        return pa.array([warc_record(*row[:-1]) if row[-1] is None else info_record(row[-1], row[4]) for row in rows], pa.binary())
 
     whole = records.withColumn("repeats", repeats).withColumn("payload", F.when(F.col("repeats").isNull(), F.col("payload")))
-    rows = whole.select(render("page_id", "payload_bytes", "payload_digest", "url", "date", "http", "payload", "repeats").alias("value"))
-    rows.write.options(**GZIP, lineSep=WARC_END).text(warc)
+    made = render("page_id", "payload_bytes", "payload_digest", "url", "date", "http", "payload", "repeats", "first_url", "first_date", "info")
+    # The text source writes the bytes of a string as they are.
+    whole.select(made.cast("string").alias("value")).write.options(**GZIP, lineSep=WARC_END).text(warc)
     return warc
 
 
@@ -251,9 +305,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             if lines[0] != "WARC/1.0":
                 raise ValueError(f"no WARC record starts where {file} should have one")
             head = dict(x.split(": ", 1) for x in lines[1:])
-            http, _, payload = http_parts(content)
+            if head["WARC-Type"] == "warcinfo":
+                continue
+            if head["WARC-Type"] == "resource":
+                http, payload = {"x-page-id": head["X-Page-Id"].strip()}, content
+            else:
+                http, _, payload = http_parts(content)
             again = head["WARC-Type"] == "revisit"
-            size = int(http["content-length"]) if again else len(payload)
+            size = int(head["X-Payload-Length"]) if again else len(payload)
             digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
             if not again and hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"a payload of {file} does not have its digest")
@@ -266,8 +325,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield as_batch(rows, names, types)
 
-    names = [x.split(" ")[0] for x in WARC_ROWS.split(", ")]
-    types = [pa.int64() if x.endswith("bigint") else pa.string() for x in WARC_ROWS.split(", ")]
+    names, types = columns_of(WARC_ROWS)
     return read_text(spark, path, WARC_END).mapInArrow(run, WARC_ROWS)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,6 +46,7 @@ def test_archives_keep_every_page(spark):
     rows = [
         (5, "http://a", big, "w"), (2, "http://b", big, "w"), (2, "http://b", big, "w"), (9, None, None, "w"), (7, "", "short", "w"), (8, "ftp://x y", "short", "w"),
         (None, "http://n", big, "w"), (11, "http://c", "a\r\n\r\nWARC/1.0\r\n\nb\n\n" * 30, "w"), (12, "http://d", "q" * 300_000, "w"), (13, "http://e", "\n", "w"),
+        *[(20 + i, f"http://f{i}", "crlf" * 30 + ending, "w") for i, ending in enumerate(("\r\n", "\r", "\r\n\r", "\r\n\r\n", "\n\r\n"))],
     ]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, value string").repartition(3)
     got = sorted(((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(df).collect()), key=str)
@@ -68,3 +70,30 @@ def test_both_header_versions_and_bad_lengths():
         list(warc.parse_arc(iter([("f", x.encode()) for x in cut[:-1]])))
     assert warc.warc_date("1999") == "1999-01-01T00:00:00Z"
     assert warc.record_id("u", "d", 1, "x") == warc.record_id("u", "d", 1, "x") != warc.record_id("u", "d", 2, "x")
+
+
+def test_archives_of_other_encodings_and_their_references(spark):
+    """Legacy files hold Latin-1 pages and header lines; nothing of a payload changes, and revisits name what they repeat."""
+    import gzip
+
+    from kbspark.session import work_path
+
+    page = "<p>été à Malmö</p>".encode("latin-1") * 10
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nX-Page-Id: %d\r\nX-Title: \xe9t\xe9\r\n\r\n"
+    rows = [(3, b"http://a/\xe9", page), (4, b"http://b/", page), (5, b"dns:host", b"10.0.0.1\xff"), (6, b"http://c/", bytes(range(256)))]
+    record = lambda i, url, body: b"%s 0.0.0.0 20010203040506 text/html %d\n%s%s\n" % (url, len(http % i) + len(body), http % i, body)
+    data = (warc.version_block(1, "old.arc") + "\n").encode() + b"".join(record(*r) for r in rows)
+    folder = work_path(spark, "legacy")
+    values = spark.createDataFrame([(bytearray(data),)], "value binary")
+    values.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
+    out = warc.convert(spark, folder, work_path(spark, "warc"))
+    got = {r["page_id"]: r for r in warc.read_warc(spark, out).collect()}
+    assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in got.items()} == {i: (len(b), hashlib.sha256(b).hexdigest()) for i, _, b in rows}
+    assert got[3]["url"] == "http://a/é" and got[4]["record_type"] == "revisit" and got[4]["refers_to"] == 3
+    raw = b"".join(gzip.decompress(r["content"]) for r in spark.read.format("binaryFile").load(f"{out}/*.gz").collect())
+    assert raw.count(b"WARC-Type: warcinfo") == 1 and b"converted from old.arc, ARC version 1" in raw
+    for line in (f"WARC-Refers-To: {got[3]['record_id']}", "WARC-Refers-To-Target-URI: http://a/é", "WARC-Refers-To-Date: 2001-02-03T04:05:06Z"):
+        assert line.encode() + b"\r\n" in raw
+    assert raw.count(page) == 1 and b"WARC-Type: resource" in raw
+    resource = raw[raw.index(b"WARC-Type: resource") :]
+    assert resource.startswith(b"WARC-Type: resource") and b"text/html; charset=iso-8859-1\r\nContent-Length: 9\r\n\r\n10.0.0.1\xff" in resource
