@@ -20,6 +20,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,24 @@ def load(ranks: bytes, key: str) -> tuple:
     return _loaded[key]
 
 
+# White space as the pattern has it. Of a run before other text the pattern takes all but the last character as
+# one piece, of one at the end all; runs this long are cut out there, as its matcher descends once a character.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def encode_whole(text: str, encoding) -> list[int]:
+    out, done = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[done : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
+        done = end
+    return out + encoding.encode_ordinary(text[done:])
+
+
 def token_spans(text: str, encoding, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of a text's tokens and the character span ``[start, end)`` of each."""
-    ids = np.array(encoding.encode_ordinary(text), np.int64)
+    ids = np.array(encode_whole(text, encoding), np.int64)
     ends = np.cumsum(sizes[ids])
     # chars[b]: how many characters have begun up to byte b.
     chars = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)

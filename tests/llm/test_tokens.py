@@ -112,3 +112,13 @@ def test_counts_of_odd_rows(spark):
     named = spark.createDataFrame([(1, "one two three", [("a", 0, 3), ("b", 4, 13)])], "doc_id bigint, text string, s array<struct<name:string,start:int,end:int>>")
     assert {r["section"]: r["n_tokens"] for r in token_counts.count_tokens(named, "s").collect()} == {"a": 1, "b": 2}
     assert token_counts.count_tokens(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u3000", "a", "!", " \n"])
+def test_runs_of_millions_of_characters(spark, unit):
+    encoding, _ = token_counts.load(open(token_counts.RANKS, "rb").read(), token_counts.RANKS)
+    for text in (unit * 3000, "x" + unit * 3000 + "y", "x  " + unit * 2500 + " y" + unit * 1200, unit * 1000 + "\x1c" + unit * 999):
+        assert token_counts.encode_whole(text, encoding) == encoding.encode_ordinary(text)
+    df = spark.createDataFrame([(1, unit * (2_000_000 // len(unit))), (2, "one two")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n"] for r in token_counts.count_tokens(df).groupBy("doc_id").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    assert got[2] == 2 and got[1] > 1000
