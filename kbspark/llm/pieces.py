@@ -17,6 +17,7 @@ among equally good paths the one whose last pieces start first wins. Further col
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from heapq import heappop, heappush
@@ -33,6 +34,8 @@ UNKNOWN_PENALTY = 10.0
 # Words kept between batches and the longest of them; words of more bytes than LONG_WORD are
 # searched one by one; characters encoded together.
 CACHE_WORDS, CACHE_CHARS, LONG_WORD, TOGETHER = 150_000, 48, 256, 500_000
+SOLVED = 1 << 14  # words that are solved together
+DECODED = 1 << 14  # ids that are decoded together: few, so that memory is not parted by large arrays that come and go
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 WORD = re.compile(" +[^ ]*|[^ ]+")
 # Bytes of a character by its first byte.
@@ -156,11 +159,14 @@ class Codec:
         self.scores = scores
         self.unknown = min(s for s in scores if s > -math.inf) - UNKNOWN_PENALTY
         self.byte_ids = [0] * 256
-        self.bytes: list[bytes] = []
+        made: list[bytes] = []
         for i, (text, _, kind) in enumerate(pieces):
             if kind == BYTE:
                 self.byte_ids[int(text[3:5], 16)] = i
-            self.bytes.append(bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARKER, " ").encode() if kind == NORMAL else b"")
+            made.append(bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARKER, " ").encode() if kind == NORMAL else b"")
+        self.piece_bytes = np.frombuffer(b"".join(made), np.uint8)
+        self.piece_size = np.array([len(b) for b in made], np.int32)
+        self.piece_start = (np.cumsum(self.piece_size) - self.piece_size).astype(np.int32)
         self.is_byte = np.array([k == BYTE for _, _, k in pieces])
         self.arrays = tuple(np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value))
         self.score_array = np.array(scores)
@@ -283,8 +289,8 @@ class Codec:
         cache = self.cache
         new = list({w for parts in words for part in parts for w in part if w not in cache})
         fresh = {}
-        for at in range(0, len(new), 1 << 15):
-            some = new[at : at + (1 << 15)]
+        for at in range(0, len(new), SOLVED):
+            some = new[at : at + SOLVED]
             fresh.update(zip(some, self.solve(some)))
         cache.update(fresh)
         get = cache.__getitem__
@@ -297,15 +303,34 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each list of ids; ``ends`` are the bounds of the lists in ``flat``.
+
+        The bytes of all pieces lie in one array, and those of the ids are gathered from it at once.
+        """
+        size = self.piece_size[flat]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        place = np.repeat((self.piece_start[flat] - upto[:-1]).astype(np.int32), size) + np.arange(upto[-1], dtype=np.int32)
+        data, cuts, out = self.piece_bytes[place].tobytes(), upto[ends].tolist(), []
+        for a, b in zip(cuts, cuts[1:]):
+            out.append(data[a + (data[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "")
+        return out
+
     def decode(self, ids: list[int]) -> str:
-        table = self.bytes
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 _codecs: dict[str, Codec] = {}
 
 
+def release() -> None:
+    """Give back what is free: a worker that has run other stages holds their memory, though nothing is in it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def codec(shared, key: str) -> Codec:
     """The codec of a model, unpacked once per worker process."""
     if key not in _codecs:
@@ -329,6 +354,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str = MOD
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
+        release()
         own = codec(data, model)
         rows, group, held = [], [], 0
         values = texts.to_pylist()
@@ -353,9 +379,14 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = M
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
         own = codec(data, model)
-        ends, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
-        rows = (None if null else own.decode(flat[a:b].tolist()) for null, a, b in zip(column.is_null().to_pylist(), ends, ends[1:]))
-        return pa.array(rows, pa.string())
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        rows, a = [], 0
+        while a < len(column):
+            # Some lists at a time, so that the gathered bytes stay few.
+            b = min(len(column), max(a + 1, int(np.searchsorted(ends, ends[a] + DECODED, "right")) - 1))
+            rows += own.decode_all(flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
+            a = b
+        return pa.array([None if null else t for null, t in zip(column.is_null().to_pylist(), rows)], pa.string())
 
     return df.withColumn(out, run(F.col(ids)))
 
