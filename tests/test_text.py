@@ -28,6 +28,12 @@ def test_readable_text(spark):
     assert one(spark, page, tx.readable_text) == "Hello World a&lt;b ♥"
 
 
+def test_entities_end_with_a_semicolon(spark):
+    # A title cut in the middle of an entity, and names that only start like one.
+    assert one(spark, "<p>in &amp ver &am &quo tail &hearts;</p>", tx.readable_text) == "in &amp ver &am &quo tail ♥"
+    assert one(spark, "a &amp;lt; &notit; &copy &#x41; &#66 &lt;", tx.readable_text) == "a &lt; &notit; &copy A &#66 <"
+
+
 def test_links_tags_ids(spark):
     assert one(spark, "see https://example.com/story).\nand https://example.com/story", tx.links) == ["https://example.com/story"]
     tags = spark.createDataFrame([(["Python,Graph", "graph\nops", " "],)], "t array<string>")
