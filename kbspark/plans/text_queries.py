@@ -23,10 +23,8 @@ from kbspark.plans.sql import WS, norm, overlap, toks, with_ctes
 def scan_documents(spark, sf_dir):
     # Every document becomes a text file of its own, and the files are scanned.
     path = work_path(spark, "documents")
-    b.source_documents(spark, sf_dir).select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    clean = files.read_text_documents(spark, path).select(
-        F.url_decode(F.regexp_extract("path", "/doc_id=([^/]+)/", 1)).alias("source_id"), "text"
-    )
+    files.write_text_documents(b.source_documents(spark, sf_dir).select("doc_id", "text"), path)
+    clean = files.split_heads(files.read_text_documents(spark, path)).withColumnRenamed("doc_id", "source_id")
     return clean.withColumn("source_version", ids.text_version(F.col("text")))
 
 

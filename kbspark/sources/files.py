@@ -10,6 +10,7 @@ from kbspark import schemas
 from kbspark.functions import text as tx
 from kbspark.operators import intake
 from kbspark.operators.tables import first_per_key
+from kbspark.session import local_folder, make_folder
 
 TEXT_SUFFIXES = (".txt", ".md")  # fixed values
 
@@ -32,6 +33,48 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", tx.normalize_space(text).alias("text"))
 
 
+def write_text_documents(docs: DataFrame, path: str) -> None:
+    """Each row of ``docs(doc_id, text)`` as a ``.txt`` file of its own below ``path``, headed by a line with its
+    encoded id, ``%`` for none.
+
+    In a shared local folder the tasks write the files themselves: Hadoop's local store starts several processes
+    for each new file. A task that runs again writes the same names again.
+    """
+    head = F.coalesce(F.url_encode("doc_id"), F.lit("%"))
+    rows = docs.select(F.concat_ws("\n", head, "text").alias("value"))
+    folder = local_folder(docs.sparkSession, path)
+    if folder is None:
+        rows.write.option("maxRecordsPerFile", 1).text(path)
+        return
+
+    def put(batches):
+        import os
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        below, n = f"{folder}/{TaskContext.get().partitionId():05d}", 0
+        os.makedirs(below, exist_ok=True)
+        for batch in batches:
+            for value in batch.column(0):
+                with open(f"{below}/{n:08d}.txt", "wb") as out:
+                    out.write(value.as_buffer())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    make_folder(docs.sparkSession, path)
+    rows.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+def split_heads(read: DataFrame) -> DataFrame:
+    """``doc_id, text`` of files that ``write_text_documents`` wrote, read by ``read_text_documents``."""
+    head = F.substring_index("text", " ", 1)
+    return read.select(
+        F.when(head != "%", F.url_decode(head)).alias("doc_id"),
+        F.expr("substring(text, length(substring_index(text, ' ', 1)) + 2)").alias("text"),
+    )
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with a declared schema; blank lines are skipped by the reader."""
     return spark.read.schema(schema).json(path)

@@ -19,6 +19,21 @@ def test_text_files_with_bad_bytes_and_other_suffixes(spark, tmp_path):
     assert got == {"a.txt": "abcd x", "B.MD": "ok \ufffd é"}
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_documents_as_files_of_their_own(spark, tmp_path, monkeypatch, local):
+    # Ids of any kind, repeated rows, texts of blanks; quick enough for large tables in a shared local folder.
+    if not local:
+        monkeypatch.setattr(files, "local_folder", lambda *_: None)
+    rows = [("file:a b/1", " x\r\n y "), ("file:a b/1", " x\r\n y "), ("%", " \n"), ("é/" + "l" * 300, "\u0301 é"), (None, "no id"), ("r", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    files.write_text_documents(df.repartition(2), str(tmp_path / "docs"))
+    got = files.split_heads(files.read_text_documents(spark, str(tmp_path / "docs"))).collect()
+    want = [("file:a b/1", "x y"), ("file:a b/1", "x y"), ("%", ""), ("é/" + "l" * 300, "\u0301 é"), (None, "no id"), ("r", "")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    files.write_text_documents(df.limit(0), str(tmp_path / "none"))
+    assert files.read_text_documents(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_every_file_of_a_folder_is_listed(spark, tmp_path):
     (tmp_path / "one").mkdir()
     for i in range(503):
