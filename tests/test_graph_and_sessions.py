@@ -1,3 +1,4 @@
+import re
 import random
 import time
 from datetime import datetime, timedelta, timezone
@@ -229,3 +230,23 @@ def test_a_merge_that_was_cut_off_is_finished_by_the_next_run(spark, monkeypatch
     tables.merge_buckets(update, f"{base}/t", f"{base}/s1", ["k"], order, buckets=4)
     got = sorted((r["k"], r["n"]) for r in spark.read.parquet(f"{base}/t").collect())
     assert got == sorted({**{i: 1 for i in range(20)}, **{i: 2 for i in range(0, 30, 3)}}.items())
+
+
+def test_resume_evidence_moves_a_digest_once(spark, capsys):
+    opened = spark.createDataFrame([(1, "a", True, 1), (2, "a", False, 1), (3, "a", True, 2), (4, "b", True, 1)], "turn_id int, session_id string, opens_session boolean, session_no int")
+    evidence = spark.createDataFrame(
+        [(1, "doc", "s", "x", 0.5, 1), (3, sessions.CONTEXT_DOC, "state", "own", 0.4, 0), (4, sessions.CONTEXT_DOC, "state", "own", 0.4, 0)],
+        "turn_id int, doc_id string, segment_id string, text_snippet string, score double, rank int",
+    )
+    digests = spark.createDataFrame([("a", "d" * 2000)], "session_id string, digest string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sessions.resume_evidence(opened, evidence, digests, ["session_no"])
+        out.explain("formatted")
+        got = sorted((r["turn_id"], r["session_no"], r["doc_id"], r["score"], len(r["text_snippet"])) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == [(1, 1, sessions.CONTEXT_DOC, 1.05, 1800), (1, 1, "doc", 0.5, 1), (3, 2, sessions.CONTEXT_DOC, 1.05, 3), (4, 1, sessions.CONTEXT_DOC, 0.4, 3)]
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", capsys.readouterr().out)
+    assert sum("digest#" in columns for columns in moved) == 1
