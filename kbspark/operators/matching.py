@@ -159,7 +159,8 @@ def contained_pairs(
         for m in masks
     ]
     numbered = asked.sparkSession.createDataFrame(list(enumerate(patterns)), "_no int, _q string")
-    wanted = asked.join(numbered, "_q").drop("_q")
+    # Stored, as the size of a join is overrated and the matches, with all they carry, would be shuffled.
+    wanted = stored(asked.join(numbered, "_q").drop("_q"), "wanted")
     filed = F.array(*[F.struct(F.lit(m).alias("_mask"), o.alias("_scope")) for m, o in zip(masks, own)]).cast("array<struct<_mask:int,_scope:string>>")
     found = holds(lowered, patterns, wildcards)
     placed = found.select("*", F.explode(filed).alias("_place")).select("*", "_place._mask", "_place._scope").drop("_place")

@@ -15,6 +15,7 @@ from kbspark.operators.ordered import newest
 from kbspark.operators.sessions import CONTEXT_DOC
 from kbspark.operators.tables import first_per_key
 from kbspark.operators.vectors import top_vectors
+from kbspark.session import stored
 
 # The head start of each source, and its place when scores tie.
 SOURCE_BIAS = {"embedding": 0.28, "memory": 0.24, "keyword": 0.18, "context": 0.16}
@@ -34,6 +35,8 @@ SEGMENT_FILTERS = {
     "topics": "array<string>", "entities": "array<string>", "source_type": "string",
     "date_from": "timestamp_ntz", "date_to": "timestamp_ntz",
 }
+# A member is common if more than one in so many segments has it.
+COMMON_SHARE = 64
 # What else is known of a piece of evidence; null where its source does not tell.
 EVIDENCE_FIELDS = {
     "start_ms": "long", "end_ms": "long", "speaker": "string", "source_refs": "string",
@@ -86,54 +89,67 @@ def _members(topics: Column, entities: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(marked("t", topics), marked("e", entities)), lambda m: m["value"].isNotNull()))
 
 
-def filtered_pairs(questions: DataFrame, segments: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def filtered_pairs(questions: DataFrame, segments: DataFrame, keep: tuple[str, ...], derived: dict[str, Column] | None = None) -> DataFrame:
     """All (question, segment) where the segment contains the question's text and passes its filters.
 
     ``questions(question_id, query)`` with the columns of ``SEGMENT_FILTERS`` under ``want_`` names;
-    ``segments(doc_id, segment_id, text, topics, entities, source_type, created_at)`` and ``keep``.
+    ``segments(doc_id, segment_id, text, topics, entities, source_type, created_at)`` and ``keep``. The columns
+    ``derived`` from those of a segment come along, worked out once for a segment that many questions meet.
 
     A question that asks for topics or entities is looked up by one of them, the one that fewest segments
-    have: the lists of segments by member are joined with that, and all other members, the text and the
-    ranges are tested on the rows found. So a common topic costs nothing where a rarer one is asked for
-    too. Questions without members are looked up by their text, the source type being part of the key.
+    have, if these are few: the lists of segments by member are joined with that, and all other members, the
+    text and the ranges are tested on the rows found. So a common topic costs nothing where a rarer one is
+    asked for too. Questions without members, or with common ones only, are looked up by their text, all in
+    one pass over the segments, the source type being part of the key, and their members are tested on the
+    rows found.
     """
+    derived = derived or {}
     wanted = questions.withColumn("_wanted", _members(F.col("want_topics"), F.col("want_entities")))
-    by_text = wanted.where(F.size("_wanted") == 0)
-    by_text = by_text.select("question_id", "query", "want_source_type", "want_date_from", "want_date_to")
-    pairs = contained_pairs(by_text, segments, "question_id", ["doc_id", "segment_id"], (*keep, "created_at"), scope={"want_source_type": "source_type"})
-    window = by_text.select("question_id", "want_date_from", "want_date_to")
-    out = ["question_id", "doc_id", "segment_id", *keep]
-    found = pairs.join(window, "question_id").where(_in_window("created_at", "want_date_from", "want_date_to")).select(*out)
-
-    asked = wanted.where((F.size("_wanted") > 0) & (F.col("query") != "")).withColumn("_member", F.explode("_wanted"))
-    held = segments.withColumn("_held", _members(F.col("topics"), F.col("entities"))).withColumn("_member", F.explode("_held"))
-    used = asked.select("_member").distinct()
+    with_members = segments.withColumn("_held", _members(F.col("topics"), F.col("entities")))
+    held = with_members.withColumn("_member", F.explode("_held"))
+    members = wanted.where((F.size("_wanted") > 0) & (F.col("query") != "")).select("question_id", F.explode("_wanted").alias("_member"))
+    used = members.select("_member").distinct()
     count = held.select("_member").join(used, "_member", "left_semi").groupBy("_member").agg(F.count(F.lit(1)).alias("_n"))
-    rated = asked.join(count, "_member", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = first_per_key(rated, ["question_id"], F.col("_n"), F.col("_member")).where("_n > 0")
-    rarest = rarest.select("question_id", F.lower("query").alias("_q"), "_wanted", "_member", "want_source_type", "want_date_from", "want_date_to")
-    met = held.select("doc_id", "segment_id", *keep, F.lower("text").alias("_text"), "_held", "_member", "source_type", "created_at").join(rarest, "_member")
+    rated = members.join(count, "_member", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = stored(first_per_key(rated, ["question_id"], F.col("_n"), F.col("_member")), "rarest")
+    common = F.col("_n") * COMMON_SHARE > segments.count()
+
+    by_text = wanted.where(F.size("_wanted") == 0).unionByName(wanted.join(rarest.where(common).select("question_id"), "question_id", "left_semi"))
+    by_text = by_text.select("question_id", "query", "_wanted", "want_source_type", "want_date_from", "want_date_to")
+    carried = tuple(dict.fromkeys((*keep, *derived, "created_at", "topics", "entities")))
+    pairs = contained_pairs(by_text, segments.withColumns(derived), "question_id", ["doc_id", "segment_id"], carried, scope={"want_source_type": "source_type"})
+    window = by_text.select("question_id", "_wanted", "want_date_from", "want_date_to")
+    out = ["question_id", "doc_id", "segment_id", *keep, *derived]
+    in_window = _in_window("created_at", "want_date_from", "want_date_to")
+    has_all = lambda have: F.size(F.array_except("_wanted", have)) == 0
+    found = pairs.join(window, "question_id").where(in_window & has_all(_members(F.col("topics"), F.col("entities")))).select(*out)
+
+    asked = wanted.join(rarest.where((F.col("_n") > 0) & ~common).select("question_id", "_member"), "question_id")
+    asked = asked.select("question_id", F.lower("query").alias("_q"), "_wanted", "_member", "want_source_type", "want_date_from", "want_date_to")
+    asked = stored(asked, "by-member")
+    met = held.select("doc_id", "segment_id", *dict.fromkeys((*keep, "text")), "_held", "_member", "source_type", "created_at").join(asked, "_member")
     passes = (
-        (F.size(F.array_except("_wanted", "_held")) == 0)
+        has_all("_held")
         & (F.col("want_source_type").isNull() | F.coalesce(F.col("source_type") == F.col("want_source_type"), F.lit(False)))
-        & _in_window("created_at", "want_date_from", "want_date_to")
-        & text_matches(F.col("_text"), F.col("_q"))
+        & in_window
+        & text_matches(F.lower("text"), F.col("_q"))
     )
-    return found.unionByName(met.where(passes).select(*out))
+    return found.unionByName(met.where(passes).withColumns(derived).select(*out))
 
 
 def keyword_candidates(questions: DataFrame, segments: DataFrame, limit: int) -> DataFrame:
     """Segments that contain the question's text and pass its filters, best token overlap first."""
     keep = ("text", *[n for n in EVIDENCE_FIELDS if n in segments.columns])
+    words = {"_words": F.array_distinct(tx.tokens(F.col("text")))}
     if any(f"want_{n}" in questions.columns for n in SEGMENT_FILTERS):
         asked = questions.select("question_id", "query", *[_have(questions, f"want_{n}", kind) for n, kind in SEGMENT_FILTERS.items()])
         kinds = {"topics": "array<string>", "entities": "array<string>", "source_type": "string", "created_at": "timestamp_ntz"}
         have = segments.select("doc_id", "segment_id", *keep, *[_have(segments, n, kind) for n, kind in kinds.items()])
-        pairs = filtered_pairs(asked, have, keep)
+        pairs = filtered_pairs(asked, have, keep, words)
     else:
-        pairs = contained_pairs(questions, segments, "question_id", ["doc_id", "segment_id"], keep)
+        pairs = contained_pairs(questions, segments.withColumns(words), "question_id", ["doc_id", "segment_id"], (*keep, *words))
     rows = pairs.join(questions.select("question_id", "_qt"), "question_id")
-    rows = rows.withColumn("_lex", tx.overlap_score(F.col("_qt"), tx.tokens(F.col("text"))))
+    rows = rows.withColumn("_lex", tx.overlap_score(F.col("_qt"), F.col("_words"))).drop("_words")
     best = newest(rows, ["question_id"], 2 * limit, F.col("_lex").desc(), F.col("doc_id"), F.col("segment_id"))
     return _evidence(best, "keyword", F.col("_lex"), "text")
 

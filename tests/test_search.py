@@ -109,6 +109,21 @@ def test_segment_filters_against_brute_force(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 300
 
 
+def test_common_members_are_looked_up_by_text(spark, monkeypatch):
+    schema = "doc_id string, segment_id string, text string, topics array<string>, entities array<string>, source_type string, created_at timestamp_ntz"
+    segments = [(f"d{i}", "s", f"Alpha {i} beta", ["en", *(["rare"] if i in (7, 70) else [])], [], None, None) for i in range(200)]
+    asked = [("common", "alpha 7", ["en"]), ("rare", "alpha 7", ["en", "rare"]), ("none", "alpha 7", ["en", "nobody"]), ("all", "alpha 19", None)]
+    nothing = {"want_entities": "array<string>", "want_source_type": "string", "want_date_from": "timestamp_ntz", "want_date_to": "timestamp_ntz"}
+    questions = spark.createDataFrame(asked, "question_id string, query string, want_topics array<string>")
+    questions = questions.withColumns({n: F.lit(None).cast(kind) for n, kind in nothing.items()})
+    by_text, search = [], retrieval.contained_pairs
+    monkeypatch.setattr(retrieval, "contained_pairs", lambda q, *rest, **named: by_text.extend(r[0] for r in q.select("question_id").collect()) or search(q, *rest, **named))
+    got = retrieval.filtered_pairs(questions, spark.createDataFrame(segments, schema), ("text",), {"n": F.length("text")}).collect()
+    assert sorted(by_text) == ["all", "common"]
+    want = {("common", f"d{i}") for i in range(200) if str(i).startswith("7")} | {("rare", "d7"), ("rare", "d70")} | {("all", f"d{i}") for i in (19, *range(190, 200))}
+    assert len(got) == len(want) and {(r["question_id"], r["doc_id"]) for r in got} == want and all(r["n"] == len(r["text"]) for r in got)
+
+
 def test_evidence_carries_times_speakers_and_references(spark):
     asked = spark.createDataFrame([("q", "harbor road", None, ["talk"], "u")], "question_id string, query string, embedding array<double>, want_topics array<string>, session_id string")
     segments = spark.createDataFrame(
