@@ -147,7 +147,8 @@ def keyword_candidates(questions: DataFrame, segments: DataFrame, limit: int) ->
         have = segments.select("doc_id", "segment_id", *keep, *[_have(segments, n, kind) for n, kind in kinds.items()])
         pairs = filtered_pairs(asked, have, keep, words)
     else:
-        pairs = contained_pairs(questions, segments.withColumns(words), "question_id", ["doc_id", "segment_id"], (*keep, *words))
+        # Whole questions are in few segments, so the words are worked out for those alone.
+        pairs = contained_pairs(questions, segments, "question_id", ["doc_id", "segment_id"], keep).withColumns(words)
     rows = pairs.join(questions.select("question_id", "_qt"), "question_id")
     rows = rows.withColumn("_lex", tx.overlap_score(F.col("_qt"), F.col("_words"))).drop("_words")
     best = newest(rows, ["question_id"], 2 * limit, F.col("_lex").desc(), F.col("doc_id"), F.col("segment_id"))
