@@ -19,36 +19,60 @@ def with_state(stream: DataFrame, key: str, processor: StatefulProcessor, schema
 
 
 class Leaving(StatefulProcessor):
-    """Items that leave at a time of their own: the newest row of an item sets its timer, and one that no
-    longer leaves has none. An item whose time has come is emitted and forgotten.
+    """Items that leave at a time of their own: the newest row of an item tells when, and one that no longer
+    leaves stays. An item whose time has come is emitted and forgotten.
+
+    A key holds a group of items, as every call to the state costs far more than a row in it. A micro-batch appends
+    one entry with its newest row of each item. One timer per key stands at its earliest leaving; there
+    what is due is emitted, and the rest put back as one entry.
 
     Rows: ``memory_id, ts_ms, leave_ms``.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "ts_ms bigint, leave_ms bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = tuple(self.item.get()) if self.item.exists() else None
-        newest = max((r["ts_ms"], -1 if r["leave_ms"] is None else r["leave_ms"]) for r in rows)
-        if held is None or newest[0] >= held[0]:
-            if held is not None:
-                self.handle.deleteTimer(self._wakes(held))
-            self.handle.registerTimer(self._wakes(newest))
-            self.item.update(newest)
-        return iter(())
+        self.waiting = handle.getListState("waiting", "memory_id array<string>, ts_ms array<bigint>, leave_ms array<bigint>")
+        self.timer = handle.getValueState("timer", "at_ms bigint")
 
     @staticmethod
-    def _wakes(item: tuple[int, int]) -> int:
+    def _wakes(ts: int, leave: int) -> int:
         """Once event time is past its leaving; one that stays is remembered while older rows of it may come."""
-        return (item[1] if item[1] >= 0 else item[0]) + 1
+        return (leave if leave >= 0 else ts) + 1
+
+    def _keep(self, items: dict[str, tuple[int, int]]) -> None:
+        self.waiting.appendValue((list(items), [ts for ts, _ in items.values()], [leave for _, leave in items.values()]))
+        at = min(self._wakes(*item) for item in items.values())
+        if self.timer.exists():
+            old = self.timer.get()[0]
+            if old <= at:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        fresh: dict[str, tuple[int, int]] = {}
+        for r in rows:
+            memory, item = r["memory_id"], (r["ts_ms"], -1 if r["leave_ms"] is None else r["leave_ms"])
+            fresh[memory] = max(fresh.get(memory, item), item)
+        self._keep(fresh)
+        return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        leave = self.item.get()[1]
-        self.item.clear()
-        if leave >= 0:
-            yield Row(memory_id=key[0], leave_ms=leave)
+        passed = timerValues.getCurrentWatermarkInMs()
+        held: dict[str, tuple[int, int]] = {}
+        for entry in self.waiting.get():
+            for memory, *item in zip(*entry):
+                if memory not in held or item[0] >= held[memory][0]:
+                    held[memory] = tuple(item)
+        rest = {m: item for m, item in held.items() if self._wakes(*item) > passed}
+        self.waiting.clear()
+        self.timer.clear()
+        if rest:
+            self._keep(rest)
+        for memory, item in held.items():
+            if memory not in rest and item[1] >= 0:
+                yield Row(memory_id=memory, leave_ms=item[1])
 
     def close(self) -> None:
         pass

@@ -176,13 +176,16 @@ def compaction_stream(turns: DataFrame, late: str, every: int = 12, idle_days: i
     return with_state(timed, "session_id", EveryNth(every, idle), "session_id long, turn_count long, turn_no long")
 
 
-def expiry_stream(items: DataFrame, late: str) -> DataFrame:
+def expiry_stream(items: DataFrame, late: str, groups: int = 4096) -> DataFrame:
     """Items that leave, with the time they leave, once the watermark has passed it.
 
     ``items(memory_id, ts, ts_ms, leave_ms)``: ``leave_ms`` is the later of expiry and pin, null for items that
-    stay; the newest row of an item counts. Each waiting item has one event-time timer.
+    stay; the newest row of an item counts. Items are dealt to ``groups`` keys by the hash of their id; each
+    has one event-time timer, and its waiting items are read and written together.
     """
-    return with_state(items.withWatermark("ts", late), "memory_id", Leaving(), "memory_id string, leave_ms long")
+    timed = items.withWatermark("ts", late)
+    dealt = timed.select(F.pmod(F.xxhash64("memory_id"), F.lit(groups)).alias("group"), "memory_id", "ts_ms", "leave_ms", "ts")
+    return with_state(dealt, "group", Leaving(), "memory_id string, leave_ms long")
 
 
 def upsert_stream(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -178,6 +178,81 @@ def test_items_leave_by_their_newest_row(spark):
     assert got == want and 20 < len(want) < 58
 
 
+class Held:
+    """State of one key in memory, with the calls to it counted."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), 0
+
+    def of(self, name, _):
+        held = self
+
+        class Value:
+            def exists(self):
+                return bool(held.rows.get(name))
+
+            def get(self):
+                held.calls += 1
+                return held.rows[name][0] if name == "timer" else iter(held.rows[name])
+
+            def update(self, value):
+                held.rows[name] = [value]
+                held.calls += 1
+
+            def appendValue(self, value):
+                held.rows.setdefault(name, []).append(value)
+                held.calls += 1
+
+            def clear(self):
+                held.rows.pop(name, None)
+
+        return Value()
+
+    getListState = getValueState = of
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.calls += 1
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_items_of_a_group_share_state_and_timer():
+    from pyspark.sql import Row
+
+    from kbspark.streaming.state import Leaving
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    dice, held, leaving, clock = random.Random(3), Held(), Leaving(), Clock()
+    leaving.init(held)
+    known, want, got = {}, [], []
+    for now in range(0, 1000, 100):
+        rows = []
+        for _ in range(2000):
+            ts = now + dice.randrange(100)
+            rows.append((f"m{dice.randrange(3000)}", ts, ts + dice.randrange(300) if dice.random() < 0.8 else None))
+        calls = held.calls
+        assert list(leaving.handleInputRows((0,), iter([Row(group=0, memory_id=m, ts_ms=ts, leave_ms=leave) for m, ts, leave in rows]), clock)) == []
+        clock.now = now + 50
+        if (at := min(held.timers)) <= clock.now:
+            got += [(now, *r) for r in leaving.handleExpiredTimer((0,), clock, None)]
+            held.timers.remove(at)  # as Spark does
+        assert len(held.timers) == 1 and held.calls - calls < 12
+        # An item at a time, as it is stated.
+        newest = {}
+        for m, ts, leave in rows:
+            newest[m] = max(newest.get(m, (-1, -1)), (ts, -1 if leave is None else leave))
+        known.update({m: x for m, x in newest.items() if m not in known or x[0] >= known[m][0]})
+        for m in [m for m, (ts, leave) in known.items() if (leave if leave >= 0 else ts) < clock.now]:
+            if known.pop(m)[1] >= 0:
+                want.append((now, m))
+    assert sorted(r[:2] for r in got) == sorted(want) and len(want) > 3000
+
+
 def test_digest_from_state_equals_the_batch_digest(spark):
     from kbspark.plans import bindings
 
