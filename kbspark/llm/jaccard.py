@@ -9,12 +9,12 @@ lacks at most ``n - t`` of a partner's, ``t`` being ``PERCENT`` of ``n`` rounded
    shingles no other set has are dropped, and then sets with fewer than ``c`` left, twice over. A second
    pass over the texts fetches the whole sets of those that are left, and the same is done with them: a set
    goes on if ``t`` of its shingles are in other sets too.
-2. Heavy and light. What is left of a set is ordered by rarity. Sets up to a size ``bound`` are light:
-   they file every pair of shingles among the first few, as linked sets agree on such a pair. Larger
-   ones are heavy: they scan the inverted lists of their first few single shingles, in which light
-   sets are listed too if they are large enough to link with a heavy one. Pairs of a set grow with the
-   square of its size but meet few others; the bound is where the pairs of all light sets and the list
-   entries that all heavy sets read cost least together.
+2. Heavy and light. What is left of a set is ordered by rarity. Sets up to a size are light: they file every
+   pair of shingles among the first few, as linked sets agree on such a pair. Larger ones are heavy: they scan
+   the inverted lists of their first few single shingles, in which light sets are listed too if they are large
+   enough to link with a heavy one. Pairs of a set grow with the square of its size but meet few others; list
+   entries grow with the size, and a list costs a step for each entry (see 3), not for each pair. So the
+   size is the one up to which a set files ``PAIRS`` pairs at most, whatever the number of sets.
 3. Groups of one key are not paired off. First each member meets one pivot, the member whose shingles are
    most common; sets linked by then have one label. Groups of one label are done. In the others only
    members of different labels meet, and these all do, but within the join parity sketches of the sets rule
@@ -29,7 +29,6 @@ result. Equal 64-bit hashes count as equal shingles. Only the two named columns
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +38,13 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.byte_words import BASE, NOT_SPACE, STEP, slices
 from kbspark.llm.components import components
-from kbspark.session import stored
+from kbspark.session import drop_work, stored, work_mark
 
 SIZE, PERCENT = 4, 85
 BITMAP = 26  # bits of the table that marks the sets to fetch
 MARKS = 6
 SKETCH = 16
+PAIRS = 10  # that a light set files
 
 
 # --- bounds; for numbers, arrays and columns alike ------------------------------------------
@@ -170,45 +170,37 @@ def bitmap_of(sets: DataFrame) -> np.ndarray:
 # --- keys ----------------------------------------------------------------------------------
 
 
-def shared(filed: DataFrame, sizes: DataFrame, enough: Column) -> DataFrame:
-    """``id, shingle``: what is left of ``filed(id, shingle)``, each once, when shingles of one set only are dropped, and
-    then sets with fewer than ``enough`` of them, twice over. ``sizes(id, n)`` tells the size of each set."""
-    sizes = sizes.select(F.col("id").alias("i"), "n")
-    for _ in range(2):
-        common = filed.groupBy("shingle").count().filter("count > 1").select(F.col("shingle").alias("s"))
-        left = stored(filed.join(common, F.col("shingle") == F.col("s"), "left_semi"), "jaccard-shared")
-        many = left.groupBy("id").agg(F.count(F.lit(1)).alias("m")).join(sizes, F.col("id") == F.col("i"))
-        many = many.filter(F.col("m") >= enough).select("i")
-        filed = left.join(many, F.col("id") == F.col("i"), "left_semi")
-    return stored(filed, "jaccard-left")
-
-
-def by_rarity(left: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """``id, n, q, first, fame``: for each set the first ``q + 1`` shared shingles, rarest first; linked sets have one of
-    the first ``q`` and two of the first ``q + 1`` in common. ``fame`` is how many sets have its shingles, on average."""
-    held = left.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("held_by"))
-    rated = left.join(held, F.col("shingle") == F.col("s")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held_by", "shingle"))).alias("all"))
-    rated = rated.join(sizes.select(F.col("id").alias("i"), "n"), F.col("id") == F.col("i")).drop("i")
+def shared(filed: DataFrame, sizes: DataFrame, enough: Column, each: Column) -> DataFrame:
+    """``id, n, all``: what is left of ``filed(id, shingle)`` when shingles of one set only are dropped, and then sets with
+    fewer than ``enough`` of them. ``all`` holds ``each`` of a set's shingles, made of ``shingle`` and ``held_by``, the number
+    of sets that have it. ``sizes(id, n)`` tells the size of each set."""
+    held = filed.groupBy(F.col("shingle").alias("s")).agg(F.count(F.lit(1)).alias("held_by")).filter("held_by > 1")
+    left = filed.join(held, F.col("shingle") == F.col("s")).groupBy("id").agg(F.collect_list(each).alias("all"))
+    left = left.join(sizes.select(F.col("id").alias("i"), "n"), F.col("id") == F.col("i")).drop("i")
+    return left.filter(F.size("all") >= enough)
+
+
+def shared_twice(filed: DataFrame, sizes: DataFrame, enough: Column) -> DataFrame:
+    """The same twice over, as the sets left out leave more shingles with one set only; each with ``held_by``."""
+    once = stored(shared(filed, sizes, enough, F.col("shingle")), "jaccard-shared")
+    return shared(once.select("id", F.explode("all").alias("shingle")), sizes, enough, F.struct("held_by", "shingle"))
+
+
+def by_rarity(left: DataFrame, percent: int) -> DataFrame:
+    """``id, n, q, first, fame``: for each set of ``left(id, n, all)`` the first ``q + 1`` shared shingles, rarest first; linked
+    sets have one of the first ``q`` and two of the first ``q + 1`` in common. ``fame`` is how many sets have its shingles, on
+    average."""
+    rated = left.withColumn("all", F.sort_array("all"))
     q = F.size("all") - overlap_column(F.col("n"), percent) + 1
     fame = F.aggregate("all", F.lit(0.0), lambda total, s: total + s["held_by"]) / F.col("n")
     return rated.withColumn("q", q).filter("q > 0").select("id", "n", "q", F.slice("all", F.lit(1), F.col("q") + 1).alias("first"), fame.alias("fame"))
 
 
 def cheapest_bound(rated: DataFrame, percent: int) -> int:
-    """The size up to which sets are light: pairs of the light and list entries read by the heavy are fewest."""
-    width = math.log(100 / min(percent, 99))
-    band = F.floor(F.log(F.col("n").cast("double")) / width)
-    pairs = F.col("q").cast("double") * (F.col("q") + 1) / 2
-    entries = F.aggregate(F.slice("first", F.lit(1), F.col("q")), F.lit(0.0), lambda total, s: total + s["held_by"])
-    # A row per band of sizes, and there are at most 64 / log2(100 / percent) of them.
-    rows = rated.groupBy(band.alias("band")).agg(F.max("n").alias("n"), F.sum(pairs).alias("pairs"), F.sum(entries).alias("entries")).collect()
-    rows.sort(key=lambda r: r["n"])
-    best, bound = sum(r["entries"] for r in rows), 0
-    for i, r in enumerate(rows):
-        cost = sum(x["pairs"] for x in rows[: i + 1]) + sum(x["entries"] for x in rows[i + 1 :])
-        if cost < best:
-            best, bound = cost, r["n"]
-    return bound
+    """The size up to which sets are light: none of them files more than ``PAIRS`` pairs, however many sets there are."""
+    many = F.col("q").cast("long") * (F.col("q") + 1) / 2 > PAIRS
+    least, most = rated.agg(F.min(F.when(many, F.col("n"))), F.max("n")).first()
+    return (most or 0) if least is None else least - 1
 
 
 def members(rated: DataFrame, bound: int, percent: int) -> DataFrame:
@@ -316,18 +308,27 @@ def across_labels(groups: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return pairs.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
 
-def links_of(sets: DataFrame, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """``u, v``: links that connect exactly the sets of ``sets(id, n, s1, s2, part)`` that a chain of links connects.
-    Links of two sets that others connect may be missing."""
+def may_link(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, n, s1, s2`` of those of ``sets(id, n, s1, s2, part)`` whose part does not rule out a link."""
+    since = work_mark()
     parts = sets.select("id", F.explode("part").alias("shingle"))
-    left = shared(parts, sets, needed_column(F.col("n"), percent)).select(F.col("id").alias("i")).distinct()
+    left = shared_twice(parts, sets, needed_column(F.col("n"), percent)).select(F.col("id").alias("i"))
     marked = stored(sets.select("id", "n", "s1", "s2").join(left, F.col("id") == F.col("i"), "left_semi"), "jaccard-marked")
+    drop_work(sets.sparkSession, since, work_mark() - 1)
+    return marked
+
+
+def links_of(marked: DataFrame, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """``u, v``: links that connect exactly the sets of ``marked(id, n, s1, s2)`` that a chain of links connects.
+    Links of two sets that others connect may be missing."""
+    spark, since = docs.sparkSession, work_mark()
     found = whole_sets(docs, text, size, bitmap_of(marked)).groupBy(F.col("s1").alias("h1"), F.col("s2").alias("h2")).agg(F.first("shingles").alias("shingles"))
-    whole = stored(marked.join(found, (F.col("s1") == F.col("h1")) & (F.col("s2") == F.col("h2"))).select("id", "n", "shingles"), "jaccard-whole")
-    rated = shared(whole.select("id", F.explode("shingles").alias("shingle")), whole, overlap_column(F.col("n"), percent))
-    rated = stored(by_rarity(rated, whole, percent), "jaccard-rated")
+    all_sets = stored(marked.join(found, (F.col("s1") == F.col("h1")) & (F.col("s2") == F.col("h2"))).select("id", "n", "shingles"), "jaccard-whole")
+    left = shared_twice(all_sets.select("id", F.explode("shingles").alias("shingle")), all_sets, overlap_column(F.col("n"), percent))
+    rated = stored(by_rarity(left, percent), "jaccard-rated")
     own = rated.select(F.col("id").alias("i"))
-    whole = stored(whole.join(own, F.col("id") == F.col("i"), "left_semi"), "jaccard-left-whole")
+    whole = stored(all_sets.join(own, F.col("id") == F.col("i"), "left_semi"), "jaccard-left-whole")
+    drop_work(spark, since, work_mark() - 2)
     groups = members(rated, cheapest_bound(rated, percent), percent)
     # Groups of one member, and lists without a heavy set, make no pairs.
     more = groups.groupBy(F.col("key").alias("k"), F.col("listed").alias("l")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("heavy").alias("h"))
@@ -342,10 +343,17 @@ def links_of(sets: DataFrame, docs: DataFrame, text: str, size: int, percent: in
 def near_sets(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``df``; the component's name is the smallest id that a
     chain of links reaches."""
-    rows = stored(hashed_sets(df, doc, text, size, percent), "jaccard-rows")
-    sets = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("part").alias("part"))
-    sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
-    groups = components(links_of(sets, df, text, size, percent))
+    spark, since = df.sparkSession, work_mark()
+    hashed = stored(hashed_sets(df, doc, text, size, percent), "jaccard-hashed")
+    filed = hashed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("part").alias("part"))
+    filed = stored(filed.withColumn("id", F.monotonically_increasing_id()), "jaccard-filed")
+    rows = stored(hashed.drop("part"), "jaccard-rows")
+    sets = stored(filed.drop("part"), "jaccard-sets")
+    drop_work(spark, since, since + 1)  # hashed
+    marked = may_link(filed, percent)
+    drop_work(spark, since, since + 1)  # filed
+    groups = components(links_of(marked, df, text, size, percent))
+    drop_work(spark, since + 2, work_mark() - 1)  # all but rows, sets and the last edges
     named = sets.select("id", "s1", "s2", "least").join(groups, F.col("id") == F.col("node"), "left").select("s1", "s2", "least", F.coalesce("root", "id").alias("root"))
     name = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("name"))
     named = named.join(name, F.col("root") == F.col("r")).select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), "name")

@@ -238,6 +238,15 @@ def test_both_sides_of_the_bound_find_every_link(spark, monkeypatch):
         assert joined(spark, rows) == brute_sets(rows)
 
 
+def test_rows_filed_grow_with_the_sets_alone(spark):
+    """A set files as many keys in a large group of near copies as in a small one."""
+    for copies in (20, 2000):
+        rows = [(i, 146, 22, [(copies, k) for k in range(23)], 22.0) for i in range(20)] + [(100 + i, 20, 3, [(copies, k) for k in range(4)], 3.0) for i in range(20)]
+        rated = spark.createDataFrame(rows, "id long, n long, q int, first array<struct<held_by:long,shingle:long>>, fame double")
+        made = {r["heavy"]: r["count"] for r in jaccard.members(rated, jaccard.cheapest_bound(rated, 85), 85).groupBy("heavy").count().collect()}
+        assert made == {True: 20 * 22, False: 20 * 6}
+
+
 def test_parts_of_linked_sets_share_enough():
     rng = np.random.default_rng(3)
     for _ in range(3000):
