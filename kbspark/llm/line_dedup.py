@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm.byte_words import BASE, NOT_SPACE, STEP, Words, powers, slices
-from kbspark.session import stored
+from kbspark.session import drop_work, stored, work_mark
 
 MIN_WORDS = 10
 BITMAP = 26
@@ -200,6 +200,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``h1, h2`` of the distinct lines that are one edit from an earlier line."""
+    since = work_mark()
     halves = first.select("h1", "h2", F.posexplode("halves").alias("i", "half"))
     both = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select(F.col("half").alias("k"))
     held = halves.join(both, F.col("half") == F.col("k"), "left_semi").groupBy(F.col("h1").alias("m1"), F.col("h2").alias("m2"))
@@ -215,6 +216,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     # Numbers in the order of places: one number stands for a line and tells which is earlier.
     ordered = lines.repartitionByRange("place", "h1").sortWithinPartitions("place", "h1")
     lines = stored(ordered.withColumn("id", F.monotonically_increasing_id()), "lines-numbered")
+    drop_work(docs.sparkSession, since, work_mark() - 1)
     made = variants(lines.select("id", "shared", "words"))
     group = made.groupBy((F.col("kind") != EXCHANGED).alias("moved"), "variant", "other").agg(
         F.min(F.when(F.col("kind") != SHORTER, F.col("id"))).alias("long"), F.min(F.when(F.col("kind") == SHORTER, F.col("id"))).alias("short"),
@@ -241,10 +243,14 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
     """``df`` with ``text`` cut to the lines that stay, and ``n_lines_dropped``, ``n_lines_near``
     (of them, those one edit from an earlier line)."""
     docs = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    lines = stored(hash_lines(docs), "lines")
+    spark, since = df.sparkSession, work_mark()
+    hashed = stored(hash_lines(docs), "lines-hashed")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line")
-    first = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "lines-first")
+    first = stored(hashed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "lines-first")
+    lines = stored(hashed.drop("n_words", "halves"), "lines")
+    drop_work(spark, since, since + 1)  # hashed
     near = stored(near_lines(docs, first), "lines-near")
+    drop_work(spark, since + 2, work_mark() - 1)  # all but first, lines and near
     known = first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "place")
     known = known.join(near, (F.col("f1") == F.col("n1")) & (F.col("f2") == F.col("n2")), "left").select("f1", "f2", "place", F.col("n1").isNotNull().alias("near"))
     judged = lines.select("doc_id", "text_hash", "line", "h1", "h2").join(known, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))

@@ -258,3 +258,16 @@ def test_the_registered_query_removes_lines(spark):
     assert {r["doc_id"] for r in got if r["n_removed_words"] == 10} == {i for i in range(60) if i % 4 < 3} - {0, 1}
     found = queries.op8_line_quality(spark, "/root/testdata/sf0.01").agg({"n_removed_words": "sum"}).first()[0]
     assert found > 0
+
+
+def test_line_dedup_leaves_only_the_tables_its_result_reads(spark):
+    from kbspark.session import path_exists, work_mark
+    from kbspark.session import _made as made
+
+    words = [f"w{i}" for i in range(14)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[1:]])), (3, " ".join(words))]
+    before = work_mark()
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made[before:]] == ["lines-first", "lines", "lines-near"]
+    assert all(path_exists(spark, p) for p in made[before:])
+    assert sorted((r["doc_id"], r["n_lines_dropped"], r["n_lines_near"]) for r in out.collect()) == [(1, 0, 0), (2, 1, 1), (3, 1, 0)]
