@@ -31,9 +31,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
+LITERAL, BLANK = MARKER.encode(), ord(" ")
 # Words kept between batches and the longest of them; words of more bytes than LONG_WORD are
-# searched one by one; characters encoded together.
-CACHE_WORDS, CACHE_CHARS, LONG_WORD, TOGETHER = 150_000, 48, 256, 500_000
+# searched one by one; bytes encoded together.
+CACHE_WORDS, CACHE_BYTES, LONG_WORD, TOGETHER = 150_000, 48, 256, 500_000
+FACTOR = 0x9E3779B97F4A7C15  # of the hash of a word's bytes
 SOLVED = 1 << 14  # words that are solved together
 DECODED = 1 << 14  # ids that are decoded together: few, so that memory is not parted by large arrays that come and go
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -172,7 +174,10 @@ class Codec:
         self.score_array = np.array(scores)
         self.byte_array = np.array(self.byte_ids, np.int32)
         self.width = np.array(WIDTH)
-        self.cache: dict[str, bytes] = {}
+        self.literal = np.array([self.byte_ids[b] for b in LITERAL], np.int32).tobytes()
+        self.powers = np.zeros(0, np.uint64)
+        self.cache: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()  # words found in the cache since it was last cleared out
 
     def best_path(self, word: bytes) -> list[int]:
         """Ids of the best segmentation of a word in UTF-8."""
@@ -206,102 +211,159 @@ class Codec:
         return out[::-1]
 
     def solve(self, words: list[str]) -> list[bytes]:
-        """``best_path`` of many words at once, as packed ids: the trie is walked from every
-        character of all words together, and the best paths grow by one byte per step."""
-        coded = [w.replace(" ", MARKER).encode() for w in words]
-        short = [i for i, w in enumerate(coded) if len(w) <= LONG_WORD]
+        """``best_path`` of many words at once, as packed ids.
+
+        The longest words come first, and the places of all words lie row by row: first the starts of
+        all, then their places after one byte, and so on. A row's best paths are known once the rows
+        before it are done, so the trie is walked from all words of a row together.
+        """
+        text = "".join(words).replace(" ", MARKER).encode()
+        buf = np.frombuffer(text, np.uint8)
+        chars = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+        stop = chars[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+        size = np.diff(stop, prepend=0)
         out = [b""] * len(words)
-        for i, w in enumerate(coded):
-            if len(w) > LONG_WORD:
-                out[i] = np.array(self.best_path(w), np.int32).tobytes()
-        if not short:
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = np.array(self.best_path(text[stop[i] - size[i] : stop[i]]), np.int32).tobytes()
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] <= LONG_WORD]
+        if not len(order):
             return out
-        buf = np.frombuffer(b"".join(coded[i] for i in short), np.uint8)
-        size = np.array([len(coded[i]) for i in short])
-        word_end = np.cumsum(size)
-        own = np.repeat(np.arange(len(short)), size)
+        size, start = size[order], (stop - size)[order]
+        # A row holds the words of at least so many bytes, so those that go on come first in it.
+        longest = int(size[0])
+        many = len(size) - np.searchsorted(size[::-1], np.arange(longest + 1))
+        row = np.cumsum(many) - many
+        many, places = many.tolist(), int(many.sum())
+        own = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        byte = np.zeros(places, np.uint8)
+        byte[row[at] + own] = buf[start[own] + at]
+        width = self.width[byte]
         base, check, value = self.arrays
-        # All pieces that start at some character: where, how long, which.
-        start = np.flatnonzero((buf & 0xC0) != 0x80)
-        width = self.width[buf]
-        whole = np.zeros(len(buf), bool)
-        found, node, at, depth = [], np.zeros(len(start), np.int32), start, 0
-        while len(at):
-            inside = at + depth < word_end[own[at]]
-            at, node = at[inside], node[inside]
-            child = base[node] + buf[at + depth]
-            known = check[child] == node
-            at, node, depth = at[known], child[known], depth + 1
-            piece = value[node]
-            ends = piece >= 0
-            found.append((at[ends], np.full(int(ends.sum()), depth), piece[ends]))
-            whole[at[ends & (width[at] == depth)]] = True
-        alone = start[~whole[start]]
-        found.append((alone, width[alone], np.full(len(alone), -1, np.int32)))
-        first, length, piece = (np.concatenate(x) for x in zip(*found))
-        score = np.where(piece >= 0, self.score_array[piece], self.unknown)
-        # A word of n bytes has n + 1 places; pieces are taken by the place they reach.
-        source = first + own[first]
-        target = source + length
-        step = first + length - (word_end - size)[own[first]]
-        # Pieces were found shortest first, so those of a target come latest start first.
-        order = np.argsort(step.astype(np.int16), kind="stable")
-        source, target, score, piece = source[order], target[order], score[order], piece[order]
-        step, length = step[order], length[order]
-        places = len(buf) + len(short)
-        best, back, last = np.full(places, -np.inf), np.zeros(places, np.int64), np.zeros(places, np.int32)
-        roots = word_end - size + np.arange(len(short))
-        best[roots] = 0.0
-        # Of one step and length each place is reached once; among equals the earliest start wins.
-        cuts = (np.flatnonzero((np.diff(step) != 0) | (np.diff(length) != 0)) + 1).tolist()
-        for lo, hi in zip([0, *cuts], [*cuts, len(step)]):
-            to, new = target[lo:hi], best[source[lo:hi]] + score[lo:hi]
-            top = new >= best[to]
+        best, back, last = np.full(places, -np.inf), np.zeros(places, np.int16), np.zeros(places, np.int32)
+        best[: len(size)] = 0.0
+
+        def reach(to: np.ndarray, score: np.ndarray, piece: np.ndarray | int, source: int) -> None:
+            # Sources come in order, so among equals the earliest start wins.
+            top = np.flatnonzero(score > best[to])
             to = to[top]
-            best[to], back[to], last[to] = new[top], source[lo:hi][top], piece[lo:hi][top]
-        used = np.zeros(places, bool)
-        here = roots + size
-        while len(here):
-            used[here] = True
-            here = back[here]
-            here = here[best[here] != 0.0]
+            best[to], back[to], last[to] = score[top], source, piece if isinstance(piece, int) else piece[top]
+
+        rows = row.tolist()
+        for source in range(longest):
+            lo, on = rows[source], many[source + 1]
+            word = np.flatnonzero(best[lo : lo + on] > -np.inf)  # characters start there
+            if not len(word):
+                continue
+            first, so_far, lone = word, best[lo + word], np.ones(on, bool)
+            score, node, depth = so_far, np.zeros(len(word), np.int32), 0
+            while source + depth < longest:
+                inside = int(np.searchsorted(word, many[source + depth + 1]))
+                child = base[node[:inside]] + byte[rows[source + depth] + word[:inside]]
+                known = np.flatnonzero(check[child] == node[:inside])
+                if not len(known):
+                    break
+                word, node, score, depth = word[known], child[known], score[known], depth + 1
+                piece = value[node]
+                ends = np.flatnonzero(piece >= 0)
+                if len(ends):
+                    of, piece = word[ends], piece[ends]
+                    reach(rows[source + depth] + of, score[ends] + self.score_array[piece], piece, source)
+                    if depth <= 4:
+                        lone[of[width[lo + of] == depth]] = False
+            alone = np.flatnonzero(lone[first])
+            if len(alone):
+                word = first[alone]
+                reach(row[source + width[lo + word]] + word, so_far[alone] + self.unknown, -1, source)
+
+        # The paths backwards, put down word by word.
+        bounds = np.cumsum(size + 1) - size - 1
+        used, ids, length = np.zeros(places, bool), np.zeros(places, np.int32), np.zeros(places, np.int16)
+        word, here = np.arange(len(size)), size
+        while len(word):
+            place, to = row[here] + word, bounds[word] + here
+            before = back[place]
+            used[to], ids[to], length[to] = True, last[place], here - before
+            on = np.flatnonzero(before > 0)
+            word, here = word[on], before[on].astype(np.int64)
         path = np.flatnonzero(used)
-        ids, word = last[path], np.searchsorted(roots, path, "right") - 1
+        ids, word = ids[path], np.searchsorted(bounds, path, "right") - 1
         # An unknown character becomes as many byte pieces as it has bytes.
-        many = np.where(ids < 0, path - back[path], 1)
-        ends = np.cumsum(many)
-        wide = np.repeat(ids, many)
+        count = np.where(ids < 0, length[path], 1)
+        ends = np.cumsum(count)
+        wide = np.repeat(ids, count)
         lost = np.flatnonzero(wide < 0)
-        of = np.repeat(np.arange(len(path)), many)[lost]
-        wide[lost] = self.byte_array[buf[path[of] - word[of] - (ends[of] - lost)]]
-        bounds = [0, *(np.cumsum(np.bincount(word, many, minlength=len(short))).astype(np.int64) * 4).tolist()]
+        of = np.repeat(np.arange(len(path)), count)[lost]
+        wide[lost] = self.byte_array[buf[start[word[of]] + path[of] - bounds[word[of]] - (ends[of] - lost)]]
+        cuts = [0, *(np.cumsum(np.bincount(word, count, minlength=len(size))).astype(np.int64) * 4).tolist()]
         packed = wide.astype(np.int32).tobytes()
-        for i, begin, end in zip(short, bounds, bounds[1:]):
+        for i, begin, end in zip(order.tolist(), cuts, cuts[1:]):
             out[i] = packed[begin:end]
         return out
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Words that are not in the cache are solved together."""
-        literal = np.array([self.byte_ids[b] for b in MARKER.encode()], np.int32).tobytes()
-        words = [[WORD.findall(part) for part in (" " + t).split(MARKER)] for t in texts]
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words. Those that are not in the cache are solved together."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for parts in words for part in parts for w in part if w not in cache})
-        fresh = {}
+            # Words that were met again stay, if they leave room for as many new ones.
+            again = self.again if len(self.again) <= CACHE_WORDS // 2 else ()
+            self.cache, self.again = {w: self.cache[w] for w in again}, set()
+        found = list(map(self.cache.get, words))
+        self.again.update([w for w, ids in zip(words, found) if ids is not None])
+        new = [i for i, ids in enumerate(found) if ids is None]
         for at in range(0, len(new), SOLVED):
             some = new[at : at + SOLVED]
-            fresh.update(zip(some, self.solve(some)))
-        cache.update(fresh)
-        get = cache.__getitem__
-        out = [np.frombuffer(literal.join([b"".join(map(get, part)) for part in parts]), np.int32) for parts in words]
-        for w in fresh:
-            if len(w) > CACHE_CHARS:
-                del cache[w]
-        return out
+            for i, ids in zip(some, self.solve([words[i].decode() for i in some])):
+                found[i] = ids
+        self.cache.update([(words[i], found[i]) for i in new if len(words[i]) <= CACHE_BYTES])
+        return found
+
+    def encode_all(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and their bounds; ``ends`` are the bounds of the texts in the bytes ``data``.
+
+        A word is its blanks and what follows; a marker of the text itself is one too. Equal words have one hash, and
+        only one of each is looked up; words that share a hash but not their bytes have all words looked up instead.
+        """
+        first = ends[:-1] + np.arange(len(ends) - 1)  # of each text, with a blank before it
+        buf = np.full(len(data) + len(first), BLANK, np.uint8)
+        given = np.ones(len(buf), bool)
+        given[first] = False
+        buf[given] = data
+        blank = buf == BLANK
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[first] = True
+        whole = buf.tobytes()
+        literal = np.zeros(0, np.int64)
+        if LITERAL in whole:
+            literal = np.flatnonzero((buf[:-2] == LITERAL[0]) & (buf[1:-1] == LITERAL[1]) & (buf[2:] == LITERAL[2]))
+            begins[literal] = True
+            begins[literal[literal + len(LITERAL) < len(buf)] + len(LITERAL)] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(start, append=len(buf))
+        place = np.arange(len(buf), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+        if len(self.powers) < size.max(initial=0):
+            self.powers = np.cumprod(np.full(int(size.max()), FACTOR, np.uint64))
+        hashes = np.add.reduceat(buf * self.powers[place], start) if len(start) else np.zeros(0, np.uint64)
+        _, one, same = np.unique(hashes, return_index=True, return_inverse=True)
+        other = start[one][same]
+        if (size[one][same] != size).any() or (buf[np.repeat(other, size) + place] != buf).any():
+            one = same = np.arange(len(start))
+        words = [whole[a:b] for a, b in zip(start[one].tolist(), (start + size)[one].tolist())]
+        known = self.look_up([w for w in words if w != LITERAL]) if len(literal) else self.look_up(words)
+        if len(literal):
+            rest = iter(known)
+            known = [self.literal if w == LITERAL else next(rest) for w in words]
+        packed = np.frombuffer(b"".join(known), np.int32)
+        count = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        own = count[same]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        ids = packed[np.repeat((np.cumsum(count) - count)[same] - upto[:-1], own) + np.arange(upto[-1])]
+        return ids, np.append(upto[np.searchsorted(start, first)], upto[-1])
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_all(data, np.array([0, len(data)]))[0]
 
     def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
         """The text of each list of ids; ``ends`` are the bounds of the lists in ``flat``.
@@ -356,18 +418,22 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", model: str = MOD
     def run(texts: pa.Array) -> pa.Array:
         release()
         own = codec(data, model)
-        rows, group, held = [], [], 0
-        values = texts.to_pylist()
-        for i, t in enumerate(values):
-            group.append(t or "")
-            held += len(t or "")
-            if held >= TOGETHER or i == len(values) - 1:
-                rows += own.encode_all(group)
-                group, held = [], 0
-        rows = [r if t is not None else r[:0] for r, t in zip(rows, values)]
-        ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
-        flat = np.concatenate([np.empty(0, np.int32), *rows])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=texts.is_null())
+        filled = texts.fill_null("").cast(pa.large_string())
+        offsets, whole = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1], filled.buffers()[2]
+        whole = np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)
+        flat, sizes, a = [], [], 0
+        while a < len(filled):
+            b = min(len(filled), max(a + 1, int(np.searchsorted(offsets, offsets[a] + TOGETHER, "right")) - 1))
+            ids, bounds = own.encode_all(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            flat.append(ids)
+            sizes.append(np.diff(bounds))
+            a = b
+        ids, count = np.concatenate([np.empty(0, np.int32), *flat]), np.concatenate([np.empty(0, np.int64), *sizes])
+        if texts.null_count:
+            full = texts.is_valid().to_numpy(zero_copy_only=False)
+            ids, count = ids[np.repeat(full, count)], count * full
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
 
     return df.withColumn(out, run(F.col(text)))
 

@@ -64,6 +64,28 @@ def test_library_gives_the_same_pieces(codec, spark):
         assert own == ids or score(own) == pytest.approx(score(ids), abs=1e-3)
 
 
+def test_words_met_again_stay_in_the_cache(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 8)
+    with open(pieces.MODEL, "rb") as f:
+        codec = pieces.Codec(f.read())
+    solved, solve = [], codec.solve
+    monkeypatch.setattr(codec, "solve", lambda words: solved.extend(words) or solve(words))
+    for text in ["the one", "the two", "the three four five six seven eight nine", "the ten"]:
+        codec.encode(text)
+    assert solved.count(" the") == 1 and len(codec.cache) <= 8
+
+
+@pytest.mark.parametrize("text", ["", " ", "  a  b ", "▁", "a▁▁b ▁ c", "the the▁the", "日本 日本 é🎉 \n\nthe", "x" * 300 + " x"])
+def test_words_of_one_hash_are_told_apart(codec, monkeypatch, text):
+    parts = [[np.frombuffer(b"".join(codec.solve([w])), np.int32) for w in pieces.WORD.findall(p)] for p in (" " + text).split("▁")]
+    literal = [codec.byte_ids[b] for b in "▁".encode()]
+    want = [i for k, part in enumerate(parts) for i in (literal if k else []) + [int(x) for ids in part for x in ids]]
+    assert codec.encode(text).tolist() == want and codec.decode(want) == text
+    monkeypatch.setattr(pieces, "FACTOR", 0)
+    monkeypatch.setattr(codec, "powers", np.zeros(0, np.uint64))
+    assert codec.encode(text).tolist() == want
+
+
 def test_pieces_of_odd_rows(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "x" * 150_000, 0), (4, " a  b ", 0), (4, " a  b ", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, decoded int")
