@@ -116,7 +116,8 @@ def hash_lines(docs: DataFrame) -> DataFrame:
         kind = pa.struct([("line", pa.int32()), ("n_words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("halves", pa.list_(pa.int64()))])
         return pa.ListArray.from_arrays(ends, pa.concat_arrays(parts) if parts else pa.array([], kind))
 
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), run("text").alias("lines"))
+    # Called nondeterministic, or Spark has texts without a line filtered out by a run of its own, in further workers.
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), run.asNondeterministic()("text").alias("lines"))
     return hashed.select("doc_id", "text_hash", F.explode("lines").alias("l")).select("doc_id", "text_hash", "l.*")
 
 
@@ -272,5 +273,6 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataF
 
     count = {"n_lines_dropped": drops["_drop"], "n_lines_near": drops["_near"]}
     counts = [F.greatest(F.coalesce(F.size(v), F.lit(0)), F.lit(0)).cast("long").alias(k) for k, v in count.items()]
-    kept = [cut(df[c], drops["_drop"]).alias(c) if c == text else df[c] for c in df.columns if c not in count]
+    once = cut.asNondeterministic()  # or a filter of the text has it cut twice
+    kept = [once(df[c], drops["_drop"]).alias(c) if c == text else df[c] for c in df.columns if c not in count]
     return rows.select(*kept, *counts)

@@ -75,3 +75,14 @@ def test_the_whole_run_leaves_one_table_and_equals_its_stages(spark):
         docs = stored(stage(spark, docs, SF_DIR), f"test-{name}")
     assert got == sorted((r["doc_id"], r["text"], tuple(r["ids"]), r["round_trip"]) for r in docs.collect()) and got
     drop_work(spark, mark)
+
+
+def test_line_functions_run_once(spark):
+    """A function of the lines that Spark evaluates twice also takes twice the Python workers."""
+    docs = spark.createDataFrame([(1, "a b\n\na b"), (2, None), (3, "")], "doc_id bigint, text string")
+    hashed = line_dedup.hash_lines(docs)
+    assert hashed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], r["line"]) for r in hashed.collect()) == [(1, 0), (1, 2)]
+    kept = line_dedup.dedup_lines(docs).filter("text like 'a%'")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [cut(") == 1
+    assert [r["text"] for r in kept.collect()] == ["a b\n"]
