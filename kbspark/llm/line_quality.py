@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from kbspark.llm.marked import split_marked
 from kbspark.session import stored
 
 SHARE, LEAST_LIMIT, DEPLETED = 0.05, 4, 0.5
@@ -139,7 +140,9 @@ def remove_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", host: s
     found = stored(found.distinct(), "quality-found")  # repeated rows have one verdict
     # Columns are named by their table, whatever columns ``df`` has besides.
     same = df[doc].eqNullSafe(found["_of_doc"]) & (F.xxhash64(df[text]) == found["_of_text"]) & df[host].eqNullSafe(found["_of_host"])
-    rows = df.join(found, same, "left").filter(F.coalesce(found["_kept"], F.lit(True)))
+    # Most documents lose nothing, and stay where they are.
+    marked, others = split_marked(df, F.xxhash64(df[text]), found, "_of_text")
+    rows = marked.join(found, same, "left").filter(F.coalesce(found["_kept"], F.lit(True)))
 
     @F.arrow_udf("struct<text:string,n:bigint>")
     def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -153,8 +156,10 @@ def remove_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", host: s
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int64())], ["text", "n"])
 
     done = cut(df[text], found["_removed"])
-    kept = [done["text"].alias(c) if c == text else df[c] for c in df.columns if c != "n_lines_removed"]
-    return rows.select(*kept, done["n"].alias("n_lines_removed"))
+    names = [c for c in df.columns if c != "n_lines_removed"]
+    kept = [done["text"].alias(c) if c == text else df[c] for c in names]
+    whole = others.select(*[df[c] for c in names], F.lit(0).cast("long").alias("n_lines_removed"))
+    return rows.select(*kept, done["n"].alias("n_lines_removed")).unionByName(whole)
 
 
 OP8_SQL = rf"""

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 import xxhash
 
 from kbspark.llm import components, decontaminate, line_dedup, line_quality, simhash
+from kbspark.session import stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -271,3 +273,24 @@ def test_line_dedup_leaves_only_the_tables_its_result_reads(spark):
     assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made[before:]] == ["lines-first", "lines", "lines-near"]
     assert all(path_exists(spark, p) for p in made[before:])
     assert sorted((r["doc_id"], r["n_lines_dropped"], r["n_lines_near"]) for r in out.collect()) == [(1, 0, 0), (2, 1, 1), (3, 1, 0)]
+
+
+def test_documents_that_lose_no_line_do_not_move(spark):
+    """The few documents that lose a line meet the findings by a shuffle, the others stay."""
+    draw = random.Random(7)
+    own = lambda: " ".join("%032x" % draw.getrandbits(128) for _ in range(6000))
+    rows = [(i, own() + ("\n" + " ".join(f"shared{k}" for k in range(12)) if i < 8 else ""), "h") for i in range(40)]
+    df = stored(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "test-unmoved")
+    moved = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_quality.remove_lines(df)
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        before = moved()
+        got = sorted((r["doc_id"], r["text"]) for r in out.collect())
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        # Random hexadecimal digits are stored in half their size at the least.
+        assert moved() - before < sum(len(t) for _, t, _ in rows) // 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(i, t.split("\n")[0] if 0 < i < 8 else t) for i, t, _ in rows]
