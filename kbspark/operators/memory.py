@@ -245,6 +245,10 @@ def revision_events(items: DataFrame, block: int = 4096) -> DataFrame:
 
 
 _POLICY = {"importance": 0.7, "confidence": 0.7, "access_count": 0}  # fixed values of long-term rows
+# The columns of stored items that ``recall`` and ``long_term_table`` read.
+RECALL_COLUMNS = (
+    "memory_id", "memory_type", "memory_kind", "text", "topics", "entities", *SCOPE, "created_at", "expires_at", *_POLICY, "pinned_until",
+)
 
 
 def searchable(items: DataFrame, source: str) -> DataFrame:

@@ -142,7 +142,7 @@ def hybrid(spark, sf_dir):
         vectors=stored(b.evidence_vectors(spark, sf_dir, segments), "vectors"),
         segments=segments.drop("chunk_index"),
         digests=digests,
-        items=b.stored_memories(spark, sf_dir),
+        items=b.recallable_memories(spark, sf_dir),
         history=stored(b.feedback_history(spark, sf_dir), "feedback"),
         scopes=asked_scope,
     )

@@ -135,3 +135,19 @@ def test_evidence_carries_times_speakers_and_references(spark):
     assert [(r["segment_id"], r["start_ms"], r["end_ms"], r["speaker"], r["source_refs"]) for r in rows] == [
         ("s1", 10, 20, "ann", None), ("state", None, None, "context", '{"kind":"auto_handoff"}'),
     ]
+
+
+def test_hybrid_works_out_no_more_than_it_reads_per_event(spark):
+    """Tokens of a question belong to the question, and recall reads neither slots nor reasons of a memory."""
+    from kbspark.operators import memory
+    from kbspark.plans import bindings as b
+
+    sf_dir = "/root/testdata/sf0.001"
+    history = b.feedback_history(spark, sf_dir)
+    assert "regexp_extract_all" not in history._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["query_tokens"] for r in history.collect()) and history.count() > 0
+    slim, whole = b.recallable_memories(spark, sf_dir), b.stored_memories(spark, sf_dir)
+    assert "memory_slot" not in slim.columns
+    asked = b.recall_queries(spark, sf_dir)
+    first, second = (memory.recall(asked, items, b.as_of(), 4, memory.long_term_table(items)) for items in (slim, whole))
+    assert first.exceptAll(second).count() == 0 and second.exceptAll(first).count() == 0 and first.count() > 0
