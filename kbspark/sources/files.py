@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,27 +16,143 @@ from kbspark import schemas
 from kbspark.functions import text as tx
 from kbspark.operators import intake
 from kbspark.operators.tables import first_per_key
-from kbspark.session import local_folder, make_folder
+from kbspark.session import local_folder, make_folder, work_path
 
 TEXT_SUFFIXES = (".txt", ".md")  # fixed values
+LISTED = 50_000  # files that the driver lists at once, a fixed value
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole ``.txt`` and ``.md`` files below ``path``, white space normalised.
 
-    Bytes that are no UTF-8 are left out. Other files are passed over by name, not read.
+    Bytes that are no UTF-8 are left out. Other files are passed over by name, not read, and so are empty ones. The driver
+    never holds the list of all files: in a shared local folder tasks list them; of other stores, and of paths with
+    wildcards, Spark's reader takes parts of ``LISTED`` files at most, one after the other, into a table in the work folder.
     """
+    folder = local_folder(spark, path)
+    if folder is not None and os.path.exists(folder):
+        return _normalized(_read_in_tasks(spark, folder))
+    parts = _parts(spark, path)
+    first = list(itertools.islice(parts, 2))
+    if len(first) < 2:
+        return _normalized(_read_listed(spark, first[0] if first else [path]))
+    out, tasks = work_path(spark, "texts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in itertools.chain(first, parts):
+        _normalized(_read_listed(spark, part).coalesce(tasks)).write.mode("append").parquet(out)
+    return spark.read.schema("path string, text string").parquet(out)
+
+
+def _normalized(read: DataFrame) -> DataFrame:
+    """``path, text`` of ``read(path, content)``."""
+    raw = read.select("path", F.col("content").cast("string").alias("value"))
+    mended = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(mended)
+    return raw.select("path", tx.normalize_space(text).alias("text"))
+
+
+def _hidden(name: str) -> bool:
+    """Names of folders that Spark's readers pass over."""
+    marked = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    return marked and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _is_text(name: str) -> bool:
+    """Names of files that Spark's readers take, with a suffix of text."""
+    return name.lower().endswith(TEXT_SUFFIXES) and name[:1] != "." and (name[:1] != "_" or "=" in name)
+
+
+def _read_in_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, content`` of the text files below a shared local folder, without empty ones, as Spark's readers.
+
+    One task lists the folder itself, several what lies below its entries, and the files found are dealt out by name.
+    """
+
+    def found(path: str, deep: bool) -> Iterator[str]:
+        if not os.path.isdir(path):
+            yield from [path] if _is_text(os.path.basename(path)) else []
+            return
+        with os.scandir(path) as entries:
+            for e in entries:
+                if e.is_dir():
+                    if not _hidden(e.name):
+                        yield from found(e.path, deep) if deep else [e.path]
+                elif _is_text(e.name) and e.is_file():
+                    yield e.path
+
+    def listing(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            paths = itertools.chain.from_iterable(found(os.fsdecode(x.as_py()), deep) for b in batches for x in b.column(0))
+            while some := [os.fsencode(x) for x in itertools.islice(paths, 4096)]:
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["path"])
+
+        return run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(contents, pa.binary())], ["path", "content"])
+
+        paths, contents, size = [], [], 0
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with open(path, "rb") as file:
+                    content = file.read()
+                if not content:
+                    continue
+                paths.append(path)
+                contents.append(content)
+                size += len(content)
+                if size > 1 << 22 or len(paths) == 1024:
+                    yield batch()
+                    paths, contents, size = [], [], 0
+        yield batch()
+
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions")), "path"
+    root = spark.range(0, 1, 1, 1).select(F.lit(folder).cast("binary").alias("path"))
+    entries = root.mapInArrow(listing(False), "path binary").repartition(*dealt)
+    files = entries.mapInArrow(listing(True), "path binary").repartition(*dealt)
+    read_files = files.mapInArrow(read, "path binary, content binary")
+    return read_files.select(F.concat(F.lit("file:"), F.col("path").cast("string")).alias("path"), "content")
+
+
+def _read_listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of the text files below ``paths``, which the driver lists."""
     either = lambda s: "".join(f"[{c}{c.upper()}]" for c in s[1:])
-    raw = (
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{" + ",".join(either(s) for s in TEXT_SUFFIXES) + "}")
-        .load(path)
-        .select("path", F.col("content").cast("string").alias("value"))
+        .load(paths)
+        .select("path", "content")
     )
-    mended = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(mended)
-    return raw.select("path", tx.normalize_space(text).alias("text"))
+
+
+def _parts(spark: SparkSession, path: str) -> Iterator[list[str]]:
+    """Lists of paths, in whatever store, that hold all text files below ``path``, each ``LISTED`` files at most."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def pieces(status) -> Iterator[tuple[str, int]]:
+        at = status.getPath()
+        n = store.getContentSummary(at).getFileCount() if status.isDirectory() else int(_is_text(at.getName()))
+        if n <= LISTED:
+            yield re.sub(r"([\[\]{}*?\\])", r"\\\1", at.toString()), n
+            return
+        entries = store.listStatusIterator(at)
+        while entries.hasNext():
+            entry = entries.next()
+            if not _hidden(entry.getPath().getName()):
+                yield from pieces(entry)
+
+    part, held = [], 0
+    for piece, n in itertools.chain.from_iterable(pieces(s) for s in store.globStatus(place) or ()):
+        if part and held + n > LISTED:
+            yield part
+            part, held = [], 0
+        if n:
+            part.append(piece)
+            held += n
+    if part:
+        yield part
 
 
 def write_text_documents(docs: DataFrame, path: str) -> None:
@@ -44,13 +166,12 @@ def write_text_documents(docs: DataFrame, path: str) -> None:
     rows = docs.select(F.concat_ws("\n", head, "text").alias("value"))
     folder = local_folder(docs.sparkSession, path)
     if folder is None:
-        rows.write.option("maxRecordsPerFile", 1).text(path)
+        # A folder of its own for every 8192 rows of a task, so that readers can list the files in parts.
+        rows = rows.withColumn("part", F.shiftright(F.monotonically_increasing_id(), 13))
+        rows.write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
         return
 
     def put(batches):
-        import os
-
-        import pyarrow as pa
         from pyspark import TaskContext
 
         below, n = f"{folder}/{TaskContext.get().partitionId():05d}", 0

@@ -3,6 +3,8 @@
 import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from kbspark.functions import ids, routing
@@ -34,6 +36,51 @@ def test_documents_as_files_of_their_own(spark, tmp_path, monkeypatch, local):
     assert files.read_text_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_the_driver_never_holds_a_list_of_all_documents(spark, tmp_path, monkeypatch, local):
+    if not local:
+        monkeypatch.setattr(files, "local_folder", lambda *_: None)
+    df = spark.range(0, 40, 1, 4).selectExpr("cast(id as string) doc_id", "concat('text ', id) text")
+    files.write_text_documents(df, str(tmp_path / "docs"))
+    most, load = [], DataFrameReader.load
+
+    def watched(self, *args, **kwargs):
+        read = load(self, *args, **kwargs)
+        most.append(len(read.inputFiles()))
+        return read
+
+    monkeypatch.setattr(DataFrameReader, "load", watched)
+    monkeypatch.setattr(files, "LISTED", 15, raising=False)
+    read = files.read_text_documents(spark, str(tmp_path / "docs"))
+    got = files.split_heads(read).collect()
+    assert sorted(map(tuple, got)) == sorted((str(i), f"text {i}") for i in range(40))
+    assert max(most, default=0) <= 15 and len(read.inputFiles()) < 40
+
+
+@pytest.mark.parametrize("listed", [None, 100, 2, 1])
+def test_names_of_text_files(spark, tmp_path, monkeypatch, listed):
+    # None: listed by tasks; else by the driver in parts of so many files. The same files as Spark's reader finds.
+    names = ["a.txt", "B.MD", "sub/c.TxT", "sub/d.txt/e.md", "_a.txt", ".b.txt", "_k=v.txt", "_k=v/f.txt", "_tmp/g.txt", ".git/h.txt", "_metadata/i.md"]
+    names += ["a b%41é.txt", "x[1]{y,z}?*.txt", "p[q]/r\\s.md", "n.txt.bak", "o.txt._COPYING_", "txt", "deep/1/2/3/empty.txt", "none.bin"]
+    for name in names:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("" if "empty" in name else name)
+    (tmp_path / "in" / "hollow").mkdir()
+    (tmp_path / "in" / "link.txt").symlink_to(tmp_path / "in" / "a.txt")
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "in"))
+    want = {r["path"]: r["content"].decode() for r in want.collect() if r["path"].lower().endswith((".txt", ".md"))}
+    assert len(want) == 11
+    if listed is not None:
+        monkeypatch.setattr(files, "local_folder", lambda *_: None)
+        monkeypatch.setattr(files, "LISTED", listed)
+    got = files.read_text_documents(spark, str(tmp_path / "in")).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    for one, n in (("in/*.txt", 5), ("in/a.txt", 1), ("in/none.bin", 0), ("in/hollow", 0)):
+        assert files.read_text_documents(spark, str(tmp_path / one)).count() == n, one
+    with pytest.raises(AnalysisException):
+        files.read_text_documents(spark, str(tmp_path / "missing"))
+
+
 def test_every_file_of_a_folder_is_listed(spark, tmp_path):
     (tmp_path / "one").mkdir()
     for i in range(503):
